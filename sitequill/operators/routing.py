@@ -134,6 +134,7 @@ def redirects(
     ).filter(
         F.col("endpoint").isNull()
         & F.col("agent").isNotNull()
+        & F.col("enabled")
         & F.col("redirect_enabled")
         & F.col("item_endpoints_enabled")
     )

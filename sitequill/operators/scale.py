@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +43,10 @@ def lookup_join(
         .select(*on, F.lit(True).alias("_hot"))
     )
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    # A null key matches nothing, so its rows may go anywhere.
+    unmatched = reduce(or_, [F.col(k).isNull() for k in on])
     salted = fact.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | unmatched, salt).otherwise(F.lit(0))
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
@@ -88,20 +92,19 @@ def newest_first_position(
     ts: str,
     unique_id: str,
     position: str,
-    coarse_s: int = 3600,
     ids_per_block: int = 65_536,
 ) -> DataFrame:
     """Number all rows per key, newest first, without sorting a whole key in one task.
 
-    Rows fall into coarse time buckets and, inside one timestamp, into blocks of the unique
+    Rows fall into days and, inside one timestamp, into blocks of the unique
     id. Counts of both levels (combined on the map side) give every block the number of rows
     before it; a window then numbers rows only inside a block, which holds at most
     ``ids_per_block`` rows because the id is unique.
     """
     keys = list(keys)
-    marked = rows.withColumn(
-        "_bucket", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / coarse_s)
-    ).withColumn("_block", F.floor(F.col(unique_id) / ids_per_block))
+    marked = rows.withColumn("_bucket", F.col(ts).cast("date")).withColumn(
+        "_block", F.floor(F.col(unique_id) / ids_per_block)
+    )
     blocks = marked.groupBy(*keys, "_bucket", ts, "_block").agg(F.count("*").alias("_n"))
     buckets = blocks.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bucket_n"))
 

@@ -23,7 +23,6 @@ USER_AGENTS = [
     "Meta-ExternalAgent/1.1 GPTBot",
     "inhouse-crawler/3 (+mailto:x@example.com)",
 ]
-EVENT_TIME_PATTERN = "yyyy-MM-dd HH:mm:ss"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +37,11 @@ def _mod(name: str, n: int) -> Column:
     return F.col(name) % n
 
 
+def utc(ts: str) -> Column:
+    """The sample's zone-free times are UTC; this makes them instants in any session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(ts)).cast("timestamp")
+
+
 def _host() -> Column:
     return F.regexp_extract("url", "^https?://([^/?#]+)", 1)
 
@@ -251,7 +255,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(targets, "target_id")
         .select(
             event.alias("request_id"),
-            "ts",
+            utc("ts").alias("ts"),
             "site_id",
             path.alias("path"),
             _pick(USER_AGENTS, event % len(USER_AGENTS)).alias("user_agent"),
@@ -273,6 +277,34 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point reads, one per event, with slugs as a client may write them."""
+    pages = table(spark, sf_dir, "pages")
+    event = F.col("event_id")
+    count = pages.agg((F.max("page_id") + 1).alias("n")).scalar()
+    targets = pages.select(
+        F.col("page_id").alias("post_id"),
+        _host().alias("site_id"),
+        _page_type().alias("post_type"),
+        _page_slug().alias("slug"),
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .select(event.alias("lookup_id"), (event % count).alias("post_id"))
+        .join(targets, "post_id")
+        .select(
+            "lookup_id",
+            "site_id",
+            "post_id",
+            "post_type",
+            F.when(F.col("lookup_id") % 4 == 0, F.upper("slug"))
+            .when(F.col("lookup_id") % 4 == 1, F.concat("slug", F.lit("?")))
+            .otherwise(F.col("slug"))
+            .alias("slug"),
+        )
+    )
+
+
 def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     event = F.col("event_id")
@@ -286,7 +318,7 @@ def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(owners, "post_id", "left")
         .select(
             event.alias("change_id"),
-            "ts",
+            utc("ts").alias("ts"),
             F.coalesce("site_id", F.lit("gone.example.com")).alias("site_id"),
             "post_id",
             F.when(F.col("event_type") == "click", "save")
