@@ -54,8 +54,8 @@ def decode(expr: str) -> str:
         f" WHEN {hexa} <> '' THEN CAST(('0x' || {hexa}) AS INT) ELSE {named} END"
     )
     one = (
-        f"CASE WHEN t[1] = '&' AND length(t) > 1 AND {_allowed(f'({code})')}"
-        f" THEN chr({code}) ELSE t END"
+        f"CASE WHEN t[1] = '&' AND length(t) > 1 THEN list_transform([{code}],"
+        f" lambda n: CASE WHEN {_allowed('n')} THEN chr(n) ELSE t END)[1] ELSE t END"
     )
     return (
         f"array_to_string(list_transform(regexp_extract_all({expr}, {q(ENTITY_TOKENS)}),"

@@ -1 +1,876 @@
-ORACLE = {}
+"""The oracle: for each query, DuckDB SQL over the given tables that has the same result."""
+
+from __future__ import annotations
+
+from oracle.helpers import (
+    block,
+    chain,
+    clean,
+    cut,
+    decode,
+    every,
+    nonempty,
+    q,
+    replace_all,
+    strip,
+    trim,
+)
+from sitequill.functions import html as rules
+from sitequill.functions.markup import ALLOWED_SCHEMES, ALLOWED_TAGS, ATTRIBUTE, LINK_ATTRIBUTES
+from sitequill.operators.agents import AGENT_PATTERN
+from sitequill.operators.routing import ERRORS
+from sitequill.queries import LIMIT, NOW_S, WINDOW_S
+from sitequill.sources.sample import USER_AGENTS
+
+ORACLE: dict[str, str] = {}
+HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
+PUBLISHED = "status = 'publish'"
+
+# --- derived tables ---------------------------------------------------------------------
+
+PG = f"""pg AS (
+  SELECT page_id, html, {HOST} AS site_id,
+    CASE page_id % 3 WHEN 0 THEN 'post' WHEN 1 THEN 'page' ELSE 'product' END AS post_type,
+    CASE page_id % 12 WHEN 1 THEN 'about' WHEN 4 THEN 'contact' WHEN 7 THEN 'faq'
+      ELSE 'p' || page_id END AS slug
+  FROM pages)"""
+CONTENT = PG + """,
+content AS (
+  SELECT site_id, page_id AS post_id, post_type, slug,
+    CASE WHEN page_id % 10 = 0 THEN 'draft' ELSE 'publish' END AS status,
+    regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+    CASE WHEN page_id % 7 = 0 THEN regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1)
+      WHEN page_id % 11 = 0 THEN '0' ELSE '' END AS excerpt,
+    html AS content, page_id % 12 AS author_id,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(page_id // 2 AS INT)) AS published_at,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(page_id // 2 + 24 AS INT)) AS modified_at,
+    'https://' || site_id || '/' || post_type || '/' || slug || '/' AS permalink
+  FROM pg)"""
+SITES = """sites AS (
+  SELECT site_id, site_id AS site_name,
+    CASE WHEN length(site_id) % 2 = 1 THEN '' ELSE 'Pages of ' || site_id END AS description,
+    'https://' || site_id AS home_url, 'admin@' || site_id AS admin_email,
+    min(CASE WHEN page_id % 3 = 1 THEN page_id END) AS front_page_id
+  FROM pg GROUP BY site_id)"""
+TERMS = """terms AS (
+  SELECT site_id, page_id AS post_id, t.taxonomy, t.term_order, t.name FROM (
+    SELECT site_id, page_id, unnest([
+      CASE WHEN page_id % 13 <> 0 THEN
+        {'taxonomy': 'category', 'term_order': 1, 'name': 'cat' || page_id % 5} END,
+      CASE WHEN page_id % 13 <> 0 THEN
+        {'taxonomy': 'post_tag', 'term_order': 2, 'name': 'tag' || page_id % 7} END,
+      CASE WHEN page_id % 4 = 0 THEN
+        {'taxonomy': 'post_tag', 'term_order': 3, 'name': 'cat' || page_id % 5} END,
+      CASE WHEN page_id % 2 = 0 THEN
+        {'taxonomy': 'post_format', 'term_order': 4, 'name': 'aside'} END,
+      {'taxonomy': '_internal', 'term_order': 5, 'name': 'hidden'}]) AS t
+    FROM pg) WHERE t IS NOT NULL),
+term_strings AS (
+  SELECT site_id, post_id, string_agg(name, ', ' ORDER BY first_at) AS terms FROM (
+    SELECT site_id, post_id, name, min(term_order) AS first_at FROM terms
+    WHERE taxonomy <> 'post_format' AND NOT starts_with(taxonomy, '_')
+    GROUP BY ALL) GROUP BY ALL)"""
+AUTHORS = """authors AS (
+  SELECT s_suppkey AS author_id, CASE WHEN s_suppkey % 5 = 4 THEN '' ELSE s_name END AS display_name,
+    'https://authors.example.com/author/' || s_suppkey || '/' AS archive_url FROM supplier)"""
+MEDIA = """media AS (
+  SELECT site_id, page_id AS post_id, 'https://img.example.com/' || page_id || '.jpg' AS image_url,
+    CASE WHEN page_id % 8 = 0 THEN '' ELSE 'Image ' || page_id END AS image_alt
+  FROM pg WHERE page_id % 4 = 0)"""
+LABEL = """CASE post_type WHEN 'post' THEN 'Posts' WHEN 'page' THEN 'Pages'
+  ELSE upper(post_type[1]) || substr(post_type, 2) END"""
+
+
+def _ip_table(name: str, source: str, column: str) -> str:
+    """CTEs for ``name(ip, bits)``: the bit text of every distinct address in a column."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = rf"{octet}(?:\.{octet}){{3}}"
+
+    def side(n: int) -> str:
+        return f"CASE WHEN sides[{n}] = '' THEN [] ELSE string_split(sides[{n}], ':') END"
+
+    def byte(n: int) -> str:
+        return f"TRY_CAST(string_split(tail, '.')[{n}] AS INT)"
+
+    plain = (
+        "CASE WHEN tail = '' THEN ip ELSE substr(ip, 1, length(ip) - length(tail))"
+        f" || format('{{:x}}', {byte(1)} * 256 + {byte(2)}) || ':'"
+        f" || format('{{:x}}', {byte(3)} * 256 + {byte(4)}) END"
+    )
+    return f"""{name}_1 AS (
+  SELECT DISTINCT {column} AS ip, regexp_extract({column}, {q(f':({v4})$')}, 1) AS tail
+  FROM {source} WHERE {column} IS NOT NULL),
+{name}_2 AS (SELECT ip, string_split({plain}, '::') AS sides FROM {name}_1),
+{name}_3 AS (SELECT ip, sides, {side(1)} AS l, {side(2)} AS r FROM {name}_2),
+{name}_4 AS (
+  SELECT ip, CASE WHEN len(sides) = 1 THEN l
+    WHEN len(sides) = 2 AND len(l) + len(r) <= 7 THEN
+      list_concat(list_concat(l, list_transform(range(8 - len(l) - len(r)), lambda i: '0')), r)
+    END AS g FROM {name}_3),
+{name} AS (
+  SELECT ip, CASE
+    WHEN regexp_matches(ip, {q(f'^{v4}$')}) THEN '4:' || array_to_string(list_transform(
+      string_split(ip, '.'), lambda o: lpad(bin(TRY_CAST(o AS INT)), 8, '0')), '')
+    WHEN contains(ip, ':') AND regexp_matches(ip, '^[0-9a-fA-F:.]+$') AND len(g) = 8
+      AND len(list_filter(g, lambda x: regexp_matches(x, '^[0-9a-fA-F]{{1,4}}$'))) = 8
+    THEN '6:' || array_to_string(list_transform(
+      g, lambda x: lpad(bin(TRY_CAST('0x' || x AS INT)), 16, '0')), '') END AS bits
+  FROM {name}_4)"""
+
+
+SETTINGS = (
+    SITES
+    + f""",
+raw_settings AS (
+  SELECT site_id,
+    CASE WHEN n % 9 = 0 THEN '0' WHEN n % 2 = 0 THEN '1' END AS enabled,
+    CASE WHEN n % 7 = 0 THEN '' WHEN n % 3 = 0 THEN '1' END AS index_enabled,
+    CASE WHEN n % 11 = 0 THEN '0' END AS item_endpoints_enabled,
+    CASE WHEN n % 13 = 0 THEN '0' END AS redirect_enabled,
+    CASE n % 3 WHEN 0 THEN ['post', 'page', 'product'] WHEN 1 THEN ['post', 'page'] END AS post_types,
+    CASE n % 4 WHEN 0 THEN 5 WHEN 1 THEN -7200 END AS index_ttl_s,
+    CASE WHEN n % 5 = 0 THEN 1000000 END AS item_ttl_s,
+    CASE WHEN n % 8 = 0 THEN '0' END AS limit_enabled,
+    CASE WHEN n % 2 = 0 THEN 3 WHEN n % 3 = 0 THEN -20 END AS limit_requests,
+    CASE WHEN n % 2 = 0 THEN 90000 WHEN n % 5 = 0 THEN 1 END AS limit_window_s,
+    CASE WHEN n % 2 = 0 THEN
+      E'10.0.0.0/9\\n 10.200.0.7 \\nbad/entry\\n2001:db8::/32\\n10.0.0.0/x'
+      WHEN n % 3 = 0 THEN '192.0.2.0/24' END AS trusted_proxies,
+    CASE n % 5 WHEN 0 THEN '<i>About</i> ' || site_id WHEN 1 THEN '0' END AS site_description,
+    CASE n % 4 WHEN 0 THEN 'in fo(at)@example.org' WHEN 2 THEN '' END AS contact_email,
+    CASE WHEN n % 6 = 0 THEN '' END AS noindex,
+    CASE WHEN n % 2 = 0 THEN E'Inhouse-Crawler\\n\\n anotherbot \\n0\\n' END AS custom_agents
+  FROM (SELECT site_id, length(site_id) AS n FROM sites)),
+proxy_lines AS (
+  SELECT site_id, trim(line) AS entry, pos,
+    regexp_extract(trim(line), '^([^/]+)', 1) AS ip,
+    TRY_CAST(regexp_extract(trim(line), '/([0-9]{{1,3}})$', 1) AS INT) AS size
+  FROM (SELECT site_id, unnest(string_split(trusted_proxies, E'\\n')) AS line,
+    generate_subscripts(string_split(trusted_proxies, E'\\n'), 1) AS pos FROM raw_settings)),
+{_ip_table("proxy_ips", "proxy_lines", "ip")},
+proxies AS (
+  SELECT site_id, entry, pos, CASE WHEN contains(entry, '/') THEN substr(bits, 1, size + 2) END AS prefix
+  FROM proxy_lines JOIN proxy_ips USING (ip)
+  WHERE bits IS NOT NULL AND (NOT contains(entry, '/') OR size <= length(bits) - 2)),
+proxy_lists AS (
+  SELECT site_id, list({{'entry': entry, 'prefix': prefix}} ORDER BY pos) AS proxies
+  FROM proxies GROUP BY site_id),
+settings AS (
+  SELECT r.site_id,
+    {", ".join(f"CASE WHEN {f} IS NULL THEN true ELSE {nonempty(f)} END AS {f}"
+               for f in ["enabled", "index_enabled", "item_endpoints_enabled",
+                         "redirect_enabled", "limit_enabled", "noindex"])},
+    {", ".join(f"CAST(greatest({low}, least({high}, abs(coalesce({f}, {d})))) AS BIGINT) AS {f}"
+               for f, low, high, d in [("index_ttl_s", 60, 86400, 3600),
+                                       ("item_ttl_s", 60, 86400, 600),
+                                       ("limit_requests", 10, 1000, 60),
+                                       ("limit_window_s", 10, 3600, 60)])},
+    coalesce(post_types, ['post', 'page']) AS post_types,
+    coalesce(proxies, []) AS proxies,
+    {trim(strip("coalesce(site_description, '')"))} AS site_description,
+    regexp_replace(coalesce(contact_email, ''),
+      '[^A-Za-z0-9!#$%&''*+\\-=?^_`{{|}}~@.\\[\\]]', '', 'g') AS contact_email,
+    list_filter(list_transform(string_split(coalesce(custom_agents, ''), E'\\n'),
+      lambda x: trim(x)), lambda x: x <> '' AND x <> '0') AS custom_agents
+  FROM raw_settings r LEFT JOIN proxy_lists USING (site_id))"""
+)
+
+TARGETS = "(SELECT max(page_id) + 1 FROM pages)"
+_UA = " ".join(
+    f"WHEN {i} THEN {'NULL' if ua is None else q(ua)}" for i, ua in enumerate(USER_AGENTS)
+)
+REQUESTS = f"""requests AS (
+  SELECT event_id AS request_id, ts, site_id,
+    CASE event_id % {len(USER_AGENTS)} {_UA} END AS user_agent,
+    CASE WHEN event_id % 17 = 0 THEN 'text/html, text/markdown;q=0.9'
+      WHEN event_id % 5 = 0 THEN NULL ELSE 'text/html' END AS accept,
+    CASE WHEN event_id % 97 = 0 THEN 'not-an-address' WHEN event_id % 89 = 0 THEN NULL
+      WHEN event_id % 10 = 3 THEN '2001:db8::' || format('{{:x}}', user_id)
+      WHEN event_id % 10 = 5 THEN '10.200.0.7'
+      ELSE '10.' || user_id % 256 || '.' || user_id // 256 || '.1' END AS peer,
+    CASE event_id % 6 WHEN 0 THEN client WHEN 1 THEN 'unknown' END AS h1,
+    CASE event_id % 3 WHEN 1 THEN client || ' , 10.0.0.1' WHEN 2 THEN '999.1.1.1' END AS h2,
+    CASE WHEN event_id % 4 = 2 THEN '2001:db8:1::' || format('{{:x}}', user_id) END AS h3,
+    CASE WHEN event_id % 2 = 0 THEN client END AS h4,
+    CASE event_id % 8 WHEN 0 THEN '/llms.txt' WHEN 1 THEN item WHEN 2 THEN item || '/'
+      WHEN 3 THEN '/ai/content/' || slug WHEN 4 THEN '/'
+      WHEN 5 THEN '/' || post_type || '/' || slug || '/'
+      WHEN 6 THEN CASE event_id % 3 WHEN 0 THEN item || '-gone'
+        WHEN 1 THEN '/ai/content/secret/p1' ELSE '/ai/content/***/p1' END
+      ELSE '/tag/t' || event_id % 5 || '/' END AS path
+  FROM (SELECT *, '203.0.' || user_id // 256 || '.' || user_id % 256 AS client,
+      '/ai/content/' || post_type || '/' || slug AS item
+    FROM events JOIN pg ON pg.page_id = event_id % {TARGETS}))"""
+ARTIFACTS = """artifacts AS (
+  SELECT site_id, 'item' AS kind,
+    'content_' || post_type || '_' || slug AS artifact_key,
+    1704067200 + post_id * 60 AS made_s, CASE WHEN post_id % 3 = 0 THEN 300 ELSE 600 END AS ttl_s
+  FROM content
+  UNION ALL
+  SELECT site_id, 'listing', 'listing_' || md5('post,page'), 1704067200, 3600 FROM sites)"""
+CHANGES = f"""content_changes AS (
+  SELECT e.event_id AS change_id, coalesce(site_id, 'gone.example.com') AS site_id, e.post_id,
+    CASE event_type WHEN 'click' THEN 'save' WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'trash'
+      ELSE 'transition' END AS event,
+    CASE event_id % 3 WHEN 0 THEN 'publish' WHEN 1 THEN 'draft' ELSE 'pending' END AS old_status,
+    CASE event_id % 2 WHEN 0 THEN 'publish' ELSE 'draft' END AS new_status,
+    event_id % 19 = 0 AS is_autosave, event_id % 23 = 0 AS is_revision
+  FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN event_id % {TARGETS} + {TARGETS}
+    ELSE event_id % {TARGETS} END AS post_id FROM events) e
+  LEFT JOIN pg ON pg.page_id = e.post_id)"""
+
+# --- selecting content ------------------------------------------------------------------
+
+NEWEST = """found AS (
+  SELECT site_id, post_type, slug, post_id, permalink FROM content WHERE status = 'publish'
+  QUALIFY row_number() OVER (PARTITION BY site_id, post_type, slug
+    ORDER BY published_at DESC, post_id DESC) = 1)"""
+LOOKUPS = f"""lookups AS (
+  SELECT event_id AS lookup_id, page_id AS post_id, site_id, post_type,
+    CASE event_id % 4 WHEN 0 THEN upper(slug) WHEN 1 THEN slug || '?' ELSE slug END AS slug
+  FROM events JOIN pg ON pg.page_id = event_id % {TARGETS})"""
+
+ORACLE["published_topn"] = f"""WITH {CONTENT}, {SETTINGS}
+SELECT site_id, post_id, post_type,
+  row_number() OVER (PARTITION BY site_id ORDER BY published_at DESC, post_id DESC) AS site_rank
+FROM content JOIN settings USING (site_id)
+WHERE {PUBLISHED} AND list_contains(post_types, post_type)
+QUALIFY site_rank <= 5"""
+
+ORACLE["lookup_by_slug"] = f"""WITH {CONTENT}, {SETTINGS}, {NEWEST}, {LOOKUPS},
+wanted AS (SELECT lookup_id, site_id, post_type,
+  regexp_replace(lower(slug), '[^a-z0-9-]', '-', 'g') AS slug FROM lookups)
+SELECT lookup_id, w.slug, f.post_id, f.permalink FROM wanted w
+LEFT JOIN (SELECT found.* FROM found JOIN settings USING (site_id)
+  WHERE list_contains(post_types, post_type)) f
+ON f.site_id = w.site_id AND f.post_type = w.post_type AND f.slug = w.slug"""
+
+ORACLE["lookup_by_id"] = f"""WITH {CONTENT}, {LOOKUPS}
+SELECT l.lookup_id, l.post_id, c.post_type, c.slug, c.title FROM lookups l
+LEFT JOIN content c ON c.site_id = l.site_id AND c.post_id = l.post_id
+  AND c.status = 'publish' AND c.post_type IN ('post', 'page')"""
+
+ORACLE["counts_by_type"] = f"""WITH {CONTENT}, {SETTINGS}
+SELECT w.site_id, w.post_type, count(c.post_id) AS items
+FROM (SELECT site_id, unnest(post_types) AS post_type FROM settings) w
+LEFT JOIN content c ON c.site_id = w.site_id AND c.post_type = w.post_type
+  AND c.status = 'publish'
+GROUP BY ALL"""
+
+ORACLE["total_count"] = f"""WITH {CONTENT}
+SELECT site_id, count(*) FILTER (status = 'publish' AND post_type IN ('post', 'page', 'secret'))
+  AS items FROM content GROUP BY site_id"""
+
+# --- text -------------------------------------------------------------------------------
+
+ORACLE["clean_text"] = f"SELECT page_id, {clean('html')} AS cleaned FROM pages"
+ORACLE["excerpt"] = f"""WITH c AS (
+  SELECT doc_id, {clean("text")} AS t FROM documents)
+SELECT doc_id, {cut("t", 300)} AS excerpt, {cut("t", 50)} AS teaser FROM c"""
+ORACLE["page_keys"] = f"""WITH {CONTENT}
+SELECT site_id, post_id,
+  'content_' || post_type || '_' || regexp_replace(lower(slug), '[^a-z0-9_-]', '', 'g') AS slug_key,
+  'content_' || post_type || '_' || post_id AS id_key,
+  'listing_' || md5(post_type || ',page') AS listing_key, md5(site_id) AS client_key,
+  strftime(published_at, '%B %-d, %Y') AS shown_date
+FROM content"""
+ORACLE["slug_keys"] = f"""WITH {CONTENT}
+SELECT post_id,
+  regexp_replace(lower(title), '[^a-z0-9-]', '-', 'g') AS title_slug,
+  regexp_replace(lower(title), '[^a-z0-9_-]', '', 'g') AS title_key,
+  upper(slug[1]) || substr(slug, 2) AS raised,
+  {trim(strip("content"))} AS plain,
+  regexp_replace(title, '[^A-Za-z0-9!#$%&''*+\\-=?^_`{{|}}~@.\\[\\]]', '', 'g') AS email_chars
+FROM content"""
+ORACLE["document_lines"] = f"""WITH kept AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, E'\\n'), lambda x: {trim("x")}),
+    lambda x: x <> '' AND x <> '0') AS parts FROM documents)
+SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line FROM kept"""
+
+# --- site index -------------------------------------------------------------------------
+
+ORACLE["term_strings"] = f"WITH {PG}, {TERMS} SELECT * FROM term_strings"
+
+
+def _entries(types: str) -> str:
+    """CTE ``entries`` without a limit; ``types`` filters the content."""
+    chosen = f"CASE WHEN {nonempty('excerpt')} THEN excerpt ELSE content END"
+    return f"""listed AS (
+  SELECT site_id, post_id, post_type, published_at, permalink, author_id, {LABEL} AS label,
+    {clean("title")} AS t, {clean(chosen)} AS x
+  FROM content {types}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY published_at DESC, post_id DESC)
+    AS site_rank FROM listed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id, label ORDER BY site_rank) AS position,
+    min(site_rank) OVER (PARTITION BY site_id, label) AS section_order FROM ranked
+  WHERE site_rank <= @limit),
+entries AS (
+  SELECT p.site_id, p.post_id, label, section_order, position, concat_ws(E'\\n',
+    '### ' || position || '. ' || t, '',
+    CASE WHEN {nonempty("x")} THEN {cut("x", 300)} || E'\\n' END,
+    '- **Published:** ' || strftime(published_at, '%B %-d, %Y'),
+    CASE WHEN {nonempty("terms")} THEN '- **Categories:** ' || terms END,
+    CASE WHEN {nonempty("display_name")} THEN '- **Author:** ' || display_name END,
+    '- **Read More:** [' || permalink || '](' || permalink || ')', '') AS entry
+  FROM placed p LEFT JOIN term_strings USING (site_id, post_id) LEFT JOIN authors USING (author_id))"""
+
+
+_ALL = f"WHERE {PUBLISHED} AND post_type IN ('post', 'page', 'product')"
+_INDEX = f"{CONTENT}, {TERMS}, {AUTHORS}, " + _entries(_ALL).replace("@limit", "500")
+ORACLE["index_entries"] = f"WITH {_INDEX} SELECT * FROM entries"
+
+LINKS = """common AS (
+  SELECT site_id, slug, title, permalink FROM content
+  WHERE status = 'publish' AND post_type = 'page' AND slug IN ('about', 'contact', 'faq')
+  QUALIFY row_number() OVER (PARTITION BY site_id, slug
+    ORDER BY published_at DESC, post_id DESC) = 1),
+links AS (
+  SELECT s.site_id, concat_ws(E'\\n', '- [Home](' || any_value(home_url) || ')',
+    string_agg('- [' || title || '](' || permalink || ')', E'\\n' ORDER BY slug)) AS links
+  FROM sites s LEFT JOIN common c ON c.site_id = s.site_id GROUP BY s.site_id)"""
+ORACLE["quick_links"] = f"WITH {CONTENT}, {SITES}, {LINKS} SELECT * FROM links"
+
+ORACLE["site_index"] = f"""WITH {_INDEX}, {SETTINGS}, {LINKS},
+sections AS (
+  SELECT site_id, count(*) AS items, string_agg(
+    CASE WHEN position = 1 THEN '## ' || label || E'\\n\\n' ELSE '' END || entry,
+    E'\\n' ORDER BY section_order, position) AS body FROM entries GROUP BY site_id),
+facts AS (
+  SELECT site_id, site_name, home_url,
+    CASE WHEN {nonempty("site_description")} THEN site_description ELSE description END AS about,
+    CASE WHEN {nonempty("contact_email")} THEN contact_email ELSE admin_email END AS contact
+  FROM sites JOIN settings USING (site_id))
+SELECT f.site_id, coalesce(items, 0) AS items, concat_ws(E'\\n', '# ' || site_name, '',
+  CASE WHEN {nonempty("about")} THEN '> ' || about || E'\\n' END,
+  '> Website: ' || home_url, '> Contact: ' || contact, '', '---', '', body,
+  '---', '', '## Quick Links', '', links, '') AS content
+FROM facts f LEFT JOIN sections USING (site_id) JOIN links USING (site_id)"""
+
+_BY_SITE = (
+    "JOIN settings USING (site_id) WHERE status = 'publish' AND list_contains(post_types, post_type)"
+)
+ORACLE["index_listing"] = f"""WITH {CONTENT}, {TERMS}, {AUTHORS}, {SETTINGS},
+{_entries(_BY_SITE).replace("@limit", str(10**15))}
+SELECT site_id, post_id, label, position, entry,
+  dense_rank() OVER (PARTITION BY site_id ORDER BY section_order) AS section FROM entries"""
+
+# --- HTML to Markdown -------------------------------------------------------------------
+
+
+def _rules(table: list, bounded: bool = False) -> list[str]:
+    return [
+        replace_all("h", rules._bounded(p) if bounded else p, r) for _, _, p, r in table
+    ]
+
+
+DROP = [replace_all("h", p, "") for p in (rules.SCRIPT, rules.STYLE, rules.COMMENT)]
+PIPES = "'| ' || array_to_string({cells}, ' | ') || E' |\\n'"
+
+
+def _table_step() -> str:
+    """Tables: rows of the head section, then of the body section or of the whole table."""
+
+    def row_list(source: str, first: str) -> str:
+        cells = (
+            f"list_transform(list_concat({every('r', rules.HEADER_CELL)},"
+            f" {every('r', rules.DATA_CELL)}), lambda c: {clean('c')})"
+        )
+        header = f"(({first}) AND i = 1) OR len({every('r', rules.HEADER_CELL)}) > 0"
+        made = (
+            f"list_transform({every(source, rules.TABLE_ROW)},"
+            f" lambda r, i: {{'is_header': {header}, 'cells': {cells}}})"
+        )
+        return f"list_filter({made}, lambda r: len(r.cells) > 0)"
+
+    has_head = f"regexp_matches(b, {q(rules.TABLE_HEAD)})"
+    has_body = f"regexp_matches(b, {q(rules.TABLE_BODY)})"
+    head = row_list(f"regexp_extract(b, {q(rules.TABLE_HEAD)}, 1)", "true")
+    body = row_list(
+        f"(CASE WHEN {has_body} THEN regexp_extract(b, {q(rules.TABLE_BODY)}, 1) ELSE b END)",
+        f"NOT {has_head} AND NOT {has_body}",
+    )
+    rows = f"list_concat({head}, {body})"
+    line = PIPES.format(cells="r.cells")
+    dashes = PIPES.format(cells="list_transform(r.cells, lambda c: '---')")
+    text = (
+        f"array_to_string(list_transform({rows}, lambda r, i: {line} ||"
+        f" CASE WHEN i = 1 AND (r.is_header OR {has_head}) THEN {dashes} ELSE '' END), '')"
+    )
+    return block(
+        rules.TABLE, f"CASE WHEN len({rows}) = 0 THEN '' ELSE E'\\n' || {text} || E'\\n' END"
+    )
+
+
+def _definition_step() -> str:
+    pair = (
+        f"CASE WHEN z[1] IS NULL THEN '' ELSE '**' || {strip('z[1]')} || E'**\\n' ||"
+        f" coalesce(': ' || {strip('z[2]')} || E'\\n\\n', '') END"
+    )
+    terms, texts = every("b", rules.DEFINITION_TERM), every("b", rules.DEFINITION_TEXT)
+    return block(
+        rules.DEFINITIONS,
+        f"E'\\n' || array_to_string(list_transform(list_zip({terms}, {texts}), lambda z: {pair}), '')",
+    )
+
+
+def _figure_step() -> str:
+    def part(pattern: str, n: int) -> str:
+        return f"regexp_extract(b, {q(pattern)}, {n})"
+
+    image = (
+        f"CASE WHEN regexp_matches(b, {q(rules.IMAGE_SRC_ALT)}) THEN"
+        f" '![' || {part(rules.IMAGE_SRC_ALT, 2)} || '](' || {part(rules.IMAGE_SRC_ALT, 1)} || E')\\n'"
+        f" WHEN regexp_matches(b, {q(rules.IMAGE_SRC)}) THEN"
+        f" '![](' || {part(rules.IMAGE_SRC, 1)} || E')\\n' ELSE '' END"
+    )
+    caption = (
+        f"CASE WHEN regexp_matches(b, {q(rules.FIGURE_CAPTION)}) THEN"
+        f" '*' || {strip(part(rules.FIGURE_CAPTION, 1))} || E'*\\n' ELSE '' END"
+    )
+    return block(rules.FIGURE, f"E'\\n' || {image} || {caption} || E'\\n'")
+
+
+def _list_step() -> str:
+    items = (
+        f"list_transform({every('b', rules.LIST_ITEM)},"
+        f" lambda x, i: i || '. ' || {clean('x')} || E'\\n')"
+    )
+    return block(rules.ORDERED_LIST, f"E'\\n' || array_to_string({items}, '') || E'\\n'")
+
+
+def _quote_step() -> str:
+    text = trim(decode(strip("b")))
+    kept = (
+        f"list_filter(list_transform(string_split({text}, E'\\n'), lambda x: {trim('x')}),"
+        " lambda x: x <> '')"
+    )
+    return block(
+        rules.QUOTE,
+        "E'\\n' || array_to_string(list_transform("
+        f"{kept}, lambda x: '> ' || x || E'\\n'), '') || E'\\n'",
+    )
+
+
+def _code_steps() -> list[str]:
+    language = f"regexp_extract(b, {q(rules.CODE_WITH_LANGUAGE)}, 1)"
+    code = trim(decode(f"regexp_extract(b, {q(rules.CODE_WITH_LANGUAGE)}, 2)"))
+    plain = trim(replace_all(decode("b"), rules.CODE_TAG, ""))
+    return [
+        block(
+            rules.CODE_WITH_LANGUAGE,
+            f"E'\\n```' || {language} || E'\\n' || {code} || E'\\n```\\n'",
+            0,
+        ),
+        block(rules.PREFORMATTED, f"E'\\n```\\n' || {plain} || E'\\n```\\n'"),
+    ]
+
+
+TIDY = [
+    strip("h"),
+    decode("h"),
+    replace_all("h", rules.NEWLINE_RUNS, "\n\n"),
+    replace_all("h", "[ \\t]+", " "),
+    replace_all("h", rules.LINE_START_SPACES, ""),
+    trim("h"),
+]
+
+
+def _markdown(bounded: bool = False) -> list[str]:
+    return [
+        *DROP,
+        _table_step(),
+        _definition_step(),
+        _figure_step(),
+        *_rules(rules.INLINE_RULES, bounded),
+        _list_step(),
+        *_rules(rules.UNORDERED_RULES, bounded),
+        _quote_step(),
+        *_code_steps(),
+        *_rules(rules.CLOSING_RULES, bounded),
+        *TIDY,
+    ]
+
+
+def _converted(source_cte: str, source: str, key: str, steps: list[str]) -> str:
+    before = f"{source_cte}, " if source_cte else ""
+    return f"WITH {before}{chain('md', key, 'html', source, steps)}\nSELECT {key}, h AS markdown FROM md"
+
+
+ORACLE["md_inline"] = (
+    f"WITH {chain('md', 'page_id', 'html', 'pages', [*DROP, *_rules(rules.INLINE_RULES)])}\n"
+    "SELECT page_id, h AS marked FROM md"
+)
+ORACLE["html_to_markdown"] = _converted("", "pages", "page_id", _markdown())
+ORACLE["html_to_markdown_bounded"] = _converted("", "pages", "page_id", _markdown(True))
+
+LIST_PAGES = """list_pages AS (
+  SELECT doc_id, '<p>Lines</p><' || tag || ' class="x">' || array_to_string(list_transform(
+    string_split(text, E'\\n'), lambda x: '<li>' || x || '</li>'), E'\\n')
+    || '</' || tag || '><p>after &amp; end</p>' AS html
+  FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'ol' ELSE 'ul' END AS tag FROM documents))"""
+ORACLE["md_lists"] = _converted(LIST_PAGES, "list_pages", "doc_id", _markdown())
+
+BLOCK_PAGES = """block_pages AS (
+  SELECT doc_id, CASE doc_id % 6
+    WHEN 0 THEN '<blockquote><p>' || text || '</p>&lt;q&gt;</blockquote>'
+    WHEN 1 THEN '<pre><code class="hl language-' || lang || '">' || text || ' &amp;&amp; x</code></pre>'
+    WHEN 2 THEN '<pre><code>' || text || '</code></pre><hr/>'
+    WHEN 3 THEN '<dl><dt>doc ' || doc_id || '</dt><dd>' || text || '</dd><dt><b>bare</b></dt></dl>'
+    WHEN 4 THEN '<figure><img class="c" src="/i/' || doc_id || '.png" alt="doc ' || doc_id
+      || '"><figcaption><i>' || text || '</i></figcaption></figure>'
+    ELSE '<h2>Notes</h2><p><abbr class="a" title="Document">D</abbr> <mark>' || text
+      || '</mark> <code>c</code> <strong>s</strong> <em>e</em> <del>d</del></p>' END AS html
+  FROM documents)"""
+ORACLE["md_blocks"] = _converted(BLOCK_PAGES, "block_pages", "doc_id", _markdown())
+
+_HEAD = "<tr><th>No</th><th>Flag</th><th>Part</th></tr>"
+ORDER_TABLES = f"""order_rows AS (
+  SELECT l_orderkey, string_agg('<tr>' ||
+    CASE WHEN l_orderkey % 5 = 4 THEN '<th>' || l_linenumber || '</th>'
+      ELSE '<td>' || l_linenumber || '</td>' END
+    || '<td> <b>' || l_returnflag || E'</b> &amp;\\n' || l_linestatus || '</td>'
+    || '<td>' || l_partkey || '</td></tr>', ''
+    ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS rows
+  FROM lineitem GROUP BY l_orderkey),
+order_tables AS (
+  SELECT l_orderkey AS order_id, CASE l_orderkey % 5
+    WHEN 0 THEN '<table><thead>{_HEAD}</thead><tbody>' || rows || '</tbody></table>'
+    WHEN 1 THEN '<table><tbody>' || rows || '</tbody></table>'
+    WHEN 2 THEN '<table><thead>{_HEAD}</thead>' || rows || '</table>'
+    ELSE '<table>' || rows || '</table><p>x</p>' END AS html
+  FROM order_rows)"""
+ORACLE["md_tables"] = _converted(ORDER_TABLES, "order_tables", "order_id", _markdown())
+
+ORACLE["page_documents"] = f"""WITH {CONTENT}, {TERMS}, {AUTHORS}, {MEDIA}, {SETTINGS},
+allowed AS (SELECT content.* FROM content {_BY_SITE}),
+{chain("md", "site_id, post_id", "content", "allowed", _markdown())}
+SELECT c.site_id, c.post_id, c.post_type, c.slug, concat_ws(E'\\n',
+  '# ' || {clean("c.title")}, '', CASE WHEN {nonempty("h")} THEN h || E'\\n' END,
+  '---', '', '## Details', '',
+  '- **Published:** ' || strftime(published_at, '%B %-d, %Y'),
+  '- **Last Updated:** ' || strftime(modified_at, '%B %-d, %Y'),
+  CASE WHEN {nonempty("display_name")} THEN
+    '- **Author:** [' || display_name || '](' || archive_url || ')' END,
+  CASE WHEN {nonempty("terms")} THEN '- **Categories:** ' || terms END,
+  '- **Permalink:** [' || permalink || '](' || permalink || ')', '',
+  CASE WHEN image_url IS NOT NULL THEN
+    E'## Featured Image\\n\\n![' || image_alt || '](' || image_url || E')\\n' END,
+  '---', '', '*From [' || site_name || '](' || home_url || ')*') AS content
+FROM allowed c JOIN md USING (site_id, post_id) LEFT JOIN term_strings USING (site_id, post_id)
+LEFT JOIN media USING (site_id, post_id) LEFT JOIN authors USING (author_id)
+LEFT JOIN sites USING (site_id)"""
+
+
+def _safe() -> str:
+    tags = ", ".join(q(t) for t in ALLOWED_TAGS)
+    pairs = ", ".join(q(f"{t} {a}") for t, names in ALLOWED_TAGS.items() for a in names)
+    links = ", ".join(q(a) for a in LINK_ATTRIBUTES)
+    schemes = ", ".join(q(s) for s in ALLOWED_SCHEMES)
+    name = "lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
+    attr = f"lower(regexp_extract(a, {q(ATTRIBUTE)}, 1))"
+    value = f"regexp_replace(regexp_extract(a, {q(ATTRIBUTE)}, 2), '^[\"'']|[\"'']$', '', 'g')"
+    scheme = (
+        f"lower(regexp_replace(regexp_extract({value},"
+        r" '^[\s\x00-\x20]*([a-zA-Z][a-zA-Z0-9+.\s-]*):', 1), '\s', '', 'g'))"
+    )
+    keep = (
+        f"({name} || ' ' || {attr}) IN ({pairs}) AND"
+        f" ({attr} NOT IN ({links}) OR {scheme} = '' OR {scheme} IN ({schemes}))"
+    )
+    kept = f"list_filter(regexp_extract_all(t, {q(ATTRIBUTE)}, 0), lambda a: {keep})"
+    token = (
+        f"CASE WHEN starts_with(t, '<!--') THEN ''"
+        f" WHEN NOT regexp_matches(t, '^</?[a-zA-Z]') THEN t"
+        f" WHEN {name} NOT IN ({tags}) THEN ''"
+        f" WHEN starts_with(t, '</') THEN '</' || {name} || '>'"
+        f" ELSE '<' || array_to_string(list_concat([{name}], {kept}), ' ')"
+        r" || CASE WHEN regexp_matches(t, '/\s*>$') THEN ' />' ELSE '>' END END"
+    )
+    tokens = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+|<"
+    return (
+        f"array_to_string(list_transform(regexp_extract_all(html, {q(tokens)}),"
+        f" lambda t: {token}), '')"
+    )
+
+
+ORACLE["safe_markup"] = f"SELECT page_id, {_safe()} AS safe FROM pages"
+
+# --- agents -----------------------------------------------------------------------------
+
+_UA_TEXT = trim(strip("coalesce(user_agent, '')"))
+_KNOWN = f"nullif(regexp_extract({_UA_TEXT}, {q(AGENT_PATTERN)}, 1), '')"
+_MARKDOWN = "CASE WHEN contains(coalesce(accept, ''), 'text/markdown') THEN 'markdown-client' END"
+_CUSTOM = (
+    "'custom:' || list_filter(custom_agents,"
+    f" lambda x: contains(lower({_UA_TEXT}), lower(x)))[1]"
+)
+AGENT = f"coalesce({_KNOWN}, {_MARKDOWN})"
+ORACLE["agent_names"] = f"WITH {PG}, {REQUESTS} SELECT request_id, {AGENT} AS agent FROM requests"
+ORACLE["agent_flags"] = (
+    f"WITH {PG}, {REQUESTS} SELECT request_id, {AGENT} IS NOT NULL AS is_agent FROM requests"
+)
+ORACLE["custom_agents"] = f"""WITH {PG}, {SETTINGS}, {REQUESTS}
+SELECT request_id, coalesce({AGENT}, {_CUSTOM}) AS agent,
+  coalesce({AGENT}, {_CUSTOM}) IS NOT NULL AS is_agent
+FROM requests LEFT JOIN settings USING (site_id)"""
+ORACLE["agent_activity"] = f"""WITH {PG}, {REQUESTS}
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start_s, {AGENT} AS agent,
+  count(*) AS requests FROM requests WHERE {AGENT} IS NOT NULL GROUP BY ALL"""
+
+# --- addresses and settings -------------------------------------------------------------
+
+CLIENTS = f"""addressed AS (
+  SELECT *, coalesce(peer, '0.0.0.0') AS address,
+    list_transform([h1, h2, h3, h4], lambda x: {trim("string_split(coalesce(x, ''), ',')[1]")})
+      AS candidates
+  FROM requests LEFT JOIN settings USING (site_id)),
+seen_ips AS (
+  SELECT address AS ip FROM addressed UNION SELECT unnest(candidates) FROM addressed),
+{_ip_table("known_ips", "seen_ips", "ip")},
+valid_ips AS (SELECT list(ip) AS ok FROM known_ips WHERE bits IS NOT NULL),
+clients AS (
+  SELECT *, CASE WHEN trusted AND first_ok IS NOT NULL THEN first_ok
+    WHEN bits IS NOT NULL THEN address ELSE '0.0.0.0' END AS client_ip
+  FROM (SELECT a.*, bits, len(list_filter(proxies, lambda p: p.entry = address
+      OR coalesce(starts_with(bits, p.prefix), false))) > 0 AS trusted, f.first_ok
+    FROM addressed a LEFT JOIN known_ips k ON k.ip = a.address
+    LEFT JOIN (
+      SELECT request_id, arg_min(c, pos) AS first_ok FROM (
+        SELECT request_id, unnest(candidates) AS c, generate_subscripts(candidates, 1) AS pos
+        FROM addressed) u JOIN known_ips k2 ON k2.ip = u.c AND k2.bits IS NOT NULL
+      GROUP BY request_id) f USING (request_id)))"""
+ORACLE["client_ip"] = f"""WITH {PG}, {SETTINGS}, {REQUESTS}, {CLIENTS}
+SELECT request_id, client_ip, md5(client_ip) AS client_key FROM clients"""
+ORACLE["trusted_peers"] = f"""WITH {PG}, {SETTINGS}, {REQUESTS}, {CLIENTS}
+SELECT request_id, peer IS NOT NULL AND trusted AS trusted FROM clients"""
+ORACLE["peers_in_ranges"] = f"""WITH {PG}, {SETTINGS}, {REQUESTS},
+{_ip_table("peer_ips", "requests", "peer")}
+SELECT DISTINCT r.site_id, k.bits FROM requests r JOIN peer_ips k ON k.ip = r.peer
+JOIN proxies p ON p.site_id = r.site_id AND p.prefix IS NOT NULL AND starts_with(k.bits, p.prefix)"""
+
+ORACLE["valid_ranges"] = f"""WITH entries AS (
+  SELECT event_id, CASE event_id % 9
+    WHEN 0 THEN '10.' || user_id % 300 || '.0.0/' || event_id % 40
+    WHEN 1 THEN '2001:db8:' || user_id || '::/' || event_id % 140
+    WHEN 2 THEN '::ffff:192.0.2.' || user_id % 300
+    WHEN 3 THEN '192.0.2.0' || user_id
+    WHEN 4 THEN '1:2:3:4:5:6:7:' || user_id
+    WHEN 5 THEN 'fe80::1::' || user_id
+    WHEN 6 THEN '198.51.100.' || user_id || '/x'
+    WHEN 7 THEN '::' || user_id
+    ELSE 'host' || user_id END AS entry FROM events),
+parts AS (
+  SELECT event_id, entry, regexp_extract(entry, '^([^/]+)/', 1) AS net,
+    TRY_CAST(regexp_extract(entry, '/([0-9]{{1,3}})$', 1) AS INT) AS size FROM entries),
+candidates AS (SELECT entry AS ip FROM parts UNION SELECT net FROM parts),
+{_ip_table("ips", "candidates", "ip")}
+SELECT event_id, entry, i.bits AS bits,
+  CASE WHEN size <= length(n.bits) - 2 THEN substr(n.bits, 1, size + 2) END AS prefix,
+  CASE WHEN contains(entry, '/') THEN coalesce(size <= length(n.bits) - 2, false)
+    ELSE i.bits IS NOT NULL END AS valid
+FROM parts LEFT JOIN ips i ON i.ip = entry LEFT JOIN ips n ON n.ip = net"""
+
+ORACLE["settings_merged"] = f"""WITH {PG}, {SETTINGS}
+SELECT site_id, enabled, index_enabled, item_endpoints_enabled, redirect_enabled, limit_enabled,
+  noindex, index_ttl_s, item_ttl_s, limit_requests, limit_window_s,
+  array_to_string(post_types, ',') AS post_types,
+  array_to_string(list_transform(proxies, lambda p: p.entry), ',') AS trusted_proxies,
+  site_description, contact_email, array_to_string(custom_agents, ',') AS custom_agents
+FROM settings"""
+
+# --- limits -----------------------------------------------------------------------------
+
+_SEC = "epoch_us(ts) // 1000000"
+
+
+def _fold(source: str, refreshed: bool) -> str:
+    """CTE ``folded``: one request after another per client; ``start`` is the window start,
+    or the expiry under the refreshed rule."""
+    if refreshed:
+        live = "CASE WHEN e.sec >= f.start THEN 0 ELSE f.cnt END"
+        first = "CASE WHEN top > 0 THEN sec + w END, CASE WHEN top > 0 THEN 1 ELSE 0 END, top <= 0"
+        step = (
+            f"CASE WHEN {live} >= e.top THEN f.start ELSE e.sec + e.w END,"
+            f" CASE WHEN {live} >= e.top THEN {live} ELSE {live} + 1 END, {live} >= e.top"
+        )
+    else:
+        opened = "e.sec >= f.start + e.w"
+        first = "sec, 1, 1 > top"
+        step = (
+            f"CASE WHEN {opened} THEN e.sec ELSE f.start END,"
+            f" CASE WHEN {opened} THEN 1 ELSE f.cnt + 1 END,"
+            f" CASE WHEN {opened} THEN 1 ELSE f.cnt + 1 END > e.top"
+        )
+    return f"""ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS rn FROM {source}),
+folded(client, rn, request_id, sec, top, w, start, cnt, limited) AS (
+  SELECT client, rn, request_id, sec, top, w, {first} FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT e.client, e.rn, e.request_id, e.sec, e.top, e.w, {step}
+  FROM folded f JOIN ordered e ON e.client = f.client AND e.rn = f.rn + 1)"""
+
+
+_USERS = f"""by_user AS (
+  SELECT event_id AS request_id, ts, CAST(user_id AS VARCHAR) AS client, {_SEC} AS sec,
+    {LIMIT} AS top, {WINDOW_S} AS w FROM events)"""
+for _name, _refreshed in [("limit_fixed", False), ("limit_refresh", True)]:
+    ORACLE[_name] = f"""WITH RECURSIVE {_USERS}, {_fold("by_user", _refreshed)}
+SELECT request_id, client, CAST(cnt AS BIGINT) AS request_count, limited,
+  CAST(greatest(0, top - cnt) AS BIGINT) AS remaining FROM folded"""
+ORACLE["limit_headers"] = f"""WITH RECURSIVE {_USERS}, {_fold("by_user", False)}
+SELECT request_id, CAST(top AS BIGINT) AS header_limit, sec + w AS header_reset,
+  CAST(CASE WHEN CAST(client AS INT) % 7 <> 0 THEN greatest(0, top - cnt) ELSE 0 END AS BIGINT)
+    AS header_remaining FROM folded"""
+ORACLE["limit_events"] = f"""WITH RECURSIVE {_USERS}, {_fold("by_user", True)}
+SELECT request_id, client, CAST(cnt AS BIGINT) AS request_count, CAST(top AS BIGINT) AS max_requests
+FROM folded WHERE limited"""
+
+# --- routing ----------------------------------------------------------------------------
+
+_ITEM = "'^/ai/content/([^/]+)/([^/]+)/?$'"
+_PAGE = "'^/ai/content/([^/]+)/?$'"
+
+
+def _routes(source: str) -> str:
+    key = "regexp_replace(lower({}), '[^a-z0-9_-]', '', 'g')"
+    slug = "regexp_replace(lower({}), '[^a-z0-9-]', '-', 'g')"
+    item, page = f"regexp_matches(path, {_ITEM})", f"regexp_matches(path, {_PAGE})"
+    return f"""routes AS (
+  SELECT *, CASE WHEN path = '/llms.txt' THEN 'index' WHEN {item} THEN 'item'
+      WHEN {page} THEN 'page' END AS endpoint,
+    CASE WHEN {item} THEN {key.format(f"regexp_extract(path, {_ITEM}, 1)")} END AS route_type,
+    CASE WHEN {item} THEN {slug.format(f"regexp_extract(path, {_ITEM}, 2)")} END AS route_slug,
+    CASE WHEN {page} THEN {key.format(f"regexp_extract(path, {_PAGE}, 1)")} END AS route_page
+  FROM {source})"""
+
+
+ORACLE["route_paths"] = f"""WITH {PG}, {REQUESTS}, {_routes("requests")}
+SELECT request_id, endpoint, route_type, route_slug, route_page FROM routes"""
+
+ORACLE["redirects"] = f"""WITH {CONTENT}, {SETTINGS}, {REQUESTS}, {_routes("requests")},
+agents AS (
+  SELECT * FROM (SELECT routes.*, post_types, coalesce({AGENT}, {_CUSTOM}) AS agent
+    FROM routes JOIN settings USING (site_id)
+    WHERE endpoint IS NULL AND enabled AND redirect_enabled AND item_endpoints_enabled)
+  WHERE agent IS NOT NULL),
+viewed AS (
+  SELECT site_id, regexp_extract(permalink, '^https?://[^/]+(/.*)$', 1) AS path, post_type, slug
+  FROM content WHERE status = 'publish'
+  QUALIFY row_number() OVER (PARTITION BY site_id, path ORDER BY post_id DESC) = 1),
+homes AS (
+  SELECT s.site_id, home_url, c.slug AS front_slug FROM sites s
+  LEFT JOIN content c ON c.site_id = s.site_id AND c.post_id = s.front_page_id),
+sent AS (
+  SELECT request_id, agent, CASE
+    WHEN v.slug IS NOT NULL AND list_contains(post_types, v.post_type)
+      THEN home_url || '/ai/content/' || v.post_type || '/' || v.slug
+    WHEN a.path = '/' AND front_slug IS NOT NULL THEN home_url || '/ai/content/page/' || front_slug
+    WHEN a.path = '/' THEN home_url || '/llms.txt' END AS target
+  FROM agents a LEFT JOIN homes USING (site_id)
+  LEFT JOIN viewed v ON v.site_id = a.site_id AND v.path = a.path)
+SELECT request_id, agent, target, CASE WHEN target IS NOT NULL THEN 307 END AS status FROM sent"""
+
+_STATUS = " ".join(f"WHEN {q(n)} THEN {e[0]}" for n, e in ERRORS.items())
+OUTCOMES = f"""{CONTENT}, {SETTINGS}, {REQUESTS}, {NEWEST}, {CLIENTS}, {_routes("clients")},
+endpoint_rows AS (
+  SELECT *, {_SEC} AS sec, coalesce(enabled AND limit_enabled, false) AS counted
+  FROM routes WHERE endpoint IS NOT NULL),
+counted_rows AS (
+  SELECT request_id, ts, sec, site_id || '|' || client_ip AS client, limit_requests AS top,
+    limit_window_s AS w FROM endpoint_rows WHERE counted),
+{_fold("counted_rows", False)},
+targets AS (
+  SELECT site_id, post_type, slug, post_id AS found_id FROM found JOIN settings USING (site_id)
+  WHERE list_contains(post_types, post_type)),
+judged AS (
+  SELECT e.*, CAST(f.cnt AS BIGINT) AS request_count, coalesce(f.limited, false) AS limited,
+    t.found_id, CASE WHEN route_page = 'p1' THEN length(e.site_id) % 2 = 0 END AS fixed
+  FROM endpoint_rows e LEFT JOIN folded f USING (request_id)
+  LEFT JOIN targets t ON t.site_id = e.site_id
+    AND t.post_type = coalesce(route_type, CASE WHEN endpoint = 'page' THEN 'page' END)
+    AND t.slug = coalesce(route_slug, regexp_replace(route_page, '[^a-z0-9-]', '-', 'g'))),
+reasons AS (
+  SELECT *, CASE
+    WHEN NOT enabled THEN 'disabled'
+    WHEN limited THEN 'limited'
+    WHEN endpoint = 'index' AND NOT index_enabled THEN 'index off'
+    WHEN endpoint <> 'index' AND NOT item_endpoints_enabled THEN 'items off'
+    WHEN endpoint = 'item' AND (route_type IN ('', '0') OR route_slug IN ('', '0'))
+      THEN 'missing part'
+    WHEN endpoint = 'item' AND found_id IS NULL THEN 'no item'
+    WHEN endpoint = 'page' AND NOT coalesce(fixed, found_id IS NOT NULL) THEN 'no page'
+    ELSE 'ok' END AS reason FROM judged),
+outcome_rows AS (
+  SELECT *, CAST(CASE reason {_STATUS} ELSE 200 END AS INT) AS status FROM reasons)"""
+ORACLE["outcomes"] = f"""WITH RECURSIVE {OUTCOMES}
+SELECT request_id, client_ip, endpoint, request_count, limited, found_id, reason, status
+FROM outcome_rows"""
+ORACLE["response_headers"] = f"""WITH RECURSIVE {OUTCOMES}
+SELECT request_id, 'text/markdown; charset=utf-8' AS content_type,
+  CASE WHEN reason = 'ok' THEN 'public, max-age=' ||
+    CASE WHEN endpoint = 'index' THEN index_ttl_s ELSE item_ttl_s END ELSE 'no-cache' END
+    AS cache_control,
+  CASE WHEN reason = 'ok' AND noindex THEN 'noindex' END AS robots_tag,
+  CASE WHEN reason = 'limited' THEN limit_window_s END AS retry_after,
+  CASE WHEN reason IN ('ok', 'limited') THEN limit_requests END AS header_limit,
+  CAST(CASE WHEN reason IN ('ok', 'limited') THEN
+    coalesce(greatest(0, limit_requests - request_count), 0) END AS BIGINT) AS header_remaining,
+  CASE WHEN reason IN ('ok', 'limited') THEN sec + limit_window_s END AS header_reset
+FROM outcome_rows"""
+
+
+def _bodies() -> str:
+    end = r"E'\n---\n\n*Site index*\n'"
+    cases = []
+    for name, (code, title, message, suggestion) in ERRORS.items():
+        if name == "limited":
+            cases.append(
+                "WHEN 'limited' THEN E'# 429 Too Many Requests\\n\\nRate limit exceeded. You have"
+                " made too many requests.\\n\\n## Limits\\n\\n- **Maximum requests:** '"
+                " || limit_requests || ' per ' || limit_window_s || E' seconds\\n"
+                "- **Retry after:** ' || limit_window_s || E' seconds\\n\\n---\\n\\n*Site index*\\n'"
+            )
+            continue
+        told = q(message.replace("{service}", "Site index")).replace(
+            "{page}", "' || route_page || '"
+        )
+        more = f"|| E'\\n## Suggestion\\n\\n' || {q(suggestion)} || E'\\n'" if suggestion else ""
+        cases.append(
+            f"WHEN {q(name)} THEN E'# {code} {title}\\n\\n' || {told} || E'\\n' {more} || {end}"
+        )
+    return "CASE reason " + " ".join(cases) + " END"
+
+
+ORACLE["error_documents"] = f"""WITH RECURSIVE {OUTCOMES}
+SELECT request_id, status, reason, {_bodies()} AS content FROM outcome_rows WHERE reason <> 'ok'"""
+
+# --- incremental rebuild ----------------------------------------------------------------
+
+STALE = f"""{CONTENT}, {SETTINGS}, {CHANGES},
+changed AS (
+  SELECT DISTINCT c.site_id, c.post_id, p.post_type, p.slug FROM content_changes c
+  JOIN content p ON p.site_id = c.site_id AND p.post_id = c.post_id
+  WHERE NOT is_autosave AND NOT is_revision AND (event <> 'transition'
+    OR (old_status <> new_status AND (old_status = 'publish' OR new_status = 'publish')))),
+stale AS (
+  SELECT site_id, 'item' AS kind, 'content_' || post_type || '_' || post_id AS artifact_key
+  FROM changed
+  UNION SELECT site_id, 'item', 'content_' || post_type || '_' || slug FROM changed
+  UNION SELECT c.site_id, 'listing', 'listing_' || md5(array_to_string(post_types, ','))
+  FROM changed c JOIN settings USING (site_id))"""
+OLD = f"{ARTIFACTS}, old AS (SELECT * FROM artifacts WHERE made_s + ttl_s <= {NOW_S})"
+ORACLE["stale_keys"] = f"WITH {STALE} SELECT * FROM stale"
+ORACLE["expired"] = f"""WITH {CONTENT}, {SITES}, {OLD}
+SELECT site_id, kind, artifact_key, CAST(ttl_s AS BIGINT) AS ttl_s FROM old"""
+ORACLE["rebuild_set"] = f"""WITH {STALE}, {OLD},
+keys AS (SELECT site_id, kind, artifact_key FROM stale
+  UNION SELECT site_id, kind, artifact_key FROM old),
+items AS (SELECT c.site_id, c.post_id, 'content_' || post_type || '_' || slug AS artifact_key
+  FROM content c {_BY_SITE})
+SELECT i.site_id, i.post_id, i.artifact_key FROM items i
+SEMI JOIN keys k ON k.kind = 'item' AND k.site_id = i.site_id AND k.artifact_key = i.artifact_key"""
+ORACLE["cleared_counts"] = f"""WITH {CONTENT}, {SITES}, {ARTIFACTS}
+SELECT site_id, kind, count(*) AS cleared FROM artifacts WHERE starts_with(artifact_key, 'content_')
+GROUP BY ALL"""
