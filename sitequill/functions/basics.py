@@ -52,13 +52,3 @@ def block_replace(
         return rebuilt if guard is None else F.when(guard, rebuilt).otherwise(text)
 
     return let(c, rebuild)
-
-
-def guarded_replace(c: Column, pattern: str, replacement: str, guard: Column | None) -> Column:
-    """``regexp_replace`` that skips the scan where ``guard`` is false."""
-    if guard is None:
-        return F.regexp_replace(c, pattern, replacement)
-    return let(
-        c,
-        lambda text: F.when(guard, F.regexp_replace(text, pattern, replacement)).otherwise(text),
-    )

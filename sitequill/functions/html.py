@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitequill.functions.basics import block_replace, guarded_replace, let
+from sitequill.functions.basics import block_replace, let
 from sitequill.functions.text import clean_text, decode_entities, strip_tags, trim_all
 
 # ---------------------------------------------------------------------------------------
@@ -125,10 +125,26 @@ def _has(seen: Column | None, fragment: str) -> Column | None:
 def _apply(
     c: Column, rules: list[tuple[str, str, str, str]], strict: bool, seen: Column | None
 ) -> Column:
-    for _, tag, pattern, replacement in rules:
-        pattern = pattern if strict else _bounded(pattern)
-        c = guarded_replace(c, pattern, replacement, _has(seen, tag))
-    return c
+    """Fold the text through a list of rules held as data."""
+    steps = F.array(
+        *[
+            F.struct(
+                F.lit(tag).alias("tag"),
+                F.lit(pattern if strict else _bounded(pattern)).alias("pattern"),
+                F.lit(replacement).alias("replacement"),
+            )
+            for _, tag, pattern, replacement in rules
+        ]
+    )
+
+    def step(text: Column, rule: Column) -> Column:
+        replaced = F.regexp_replace(text, rule["pattern"], rule["replacement"])
+        if seen is None:
+            return replaced
+        wanted = F.coalesce(F.contains(seen, rule["tag"]), F.lit(True))
+        return F.when(wanted, replaced).otherwise(text)
+
+    return F.aggregate(steps, c, step)
 
 
 def drop_invisible(c: Column) -> Column:
@@ -146,16 +162,19 @@ def _every(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
-def _table_rows(html: Column, first_is_header: Column) -> Column:
+def _section_rows(section: Column) -> Column:
+    """Rows of one table section: header cells, then data cells; empty rows are dropped."""
+
     def row(source: Column, index: Column) -> Column:
         heads = _every(source, HEADER_CELL)
         cells = F.concat(heads, _every(source, DATA_CELL))
         return F.struct(
-            (((index == 0) & first_is_header) | (F.size(heads) > 0)).alias("is_header"),
+            (((index == 0) & section["first_is_header"]) | (F.size(heads) > 0)).alias("is_header"),
             F.transform(cells, lambda cell: clean_text(cell)).alias("cells"),
         )
 
-    return F.filter(F.transform(_every(html, TABLE_ROW), row), lambda r: F.size(r["cells"]) > 0)
+    rows = F.transform(_every(section["html"], TABLE_ROW), row)
+    return F.filter(rows, lambda r: F.size(r["cells"]) > 0)
 
 
 def _pipe_line(cells: Column) -> Column:
@@ -166,14 +185,18 @@ def _table(strict: bool):
     def render(inner: Column) -> Column:
         has_head = inner.rlike(TABLE_HEAD)
         has_body = inner.rlike(TABLE_BODY)
-        head_rows = _table_rows(
-            F.when(has_head, F.regexp_extract(inner, TABLE_HEAD, 1)).otherwise(F.lit("")),
-            F.lit(True),
-        )
         unsectioned = inner if strict else F.regexp_replace(inner, TABLE_HEAD, "")
-        body_rows = _table_rows(
-            F.when(has_body, F.regexp_extract(inner, TABLE_BODY, 1)).otherwise(unsectioned),
-            ~has_head & ~has_body,
+        sections = F.array(
+            F.struct(
+                F.regexp_extract(inner, TABLE_HEAD, 1).alias("html"),
+                F.lit(True).alias("first_is_header"),
+            ),
+            F.struct(
+                F.when(has_body, F.regexp_extract(inner, TABLE_BODY, 1))
+                .otherwise(unsectioned)
+                .alias("html"),
+                (~has_head & ~has_body).alias("first_is_header"),
+            ),
         )
 
         def layout(rows: Column) -> Column:
@@ -190,7 +213,7 @@ def _table(strict: bool):
                 F.concat(F.lit("\n"), text, F.lit("\n"))
             )
 
-        return let(F.concat(head_rows, body_rows), layout)
+        return let(F.flatten(F.transform(sections, _section_rows)), layout)
 
     return render
 

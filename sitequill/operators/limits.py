@@ -16,14 +16,19 @@ its seconds.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors get these few functions with the query and need no installed package.
+register_pickle_by_value(sys.modules[__name__])
+
 ANCHORED = "anchored"
 REFRESHED = "refreshed"
 
