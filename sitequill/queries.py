@@ -19,7 +19,13 @@ from sitequill.operators import (
     settings,
     terms,
 )
+from sitequill.plans import rebuild
+from sitequill.plans.tables import Tables
+from sitequill.session import work_folder
 from sitequill.sources import sample
+from sitequill.sources.tables import read_artifacts
+from sitequill.streaming import jobs
+from sitequill.streaming.limits import stream_limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,3 +497,77 @@ def cleared_counts(spark: SparkSession, sf: str) -> DataFrame:
     return changes.cleared_counts(
         changes.of_kind(sample.artifacts(spark, sf), text.ITEM_PREFIX)
     )
+
+
+@query
+def rebuilt_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = rebuild.rebuilt(
+        Tables.sample(spark, sf),
+        sample.content_changes(spark, sf),
+        sample.artifacts(spark, sf),
+        F.timestamp_seconds(F.lit(NOW_S)),
+    )
+    return rows.select(
+        "site_id", "artifact_key", "kind", "ttl_s", F.col("source_hash").alias("content_md5")
+    )
+
+
+# --- streams ----------------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = sample.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+
+
+def _stream_limited(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    folder = work_folder(spark, f"stream-{mode}")
+    rows = _event_stream(spark, sf).select(
+        F.col("event_id").alias("request_id"),
+        sample.utc("ts").alias("ts"),
+        F.col("user_id").cast("string").alias("client"),
+        F.lit(LIMIT).cast("bigint").alias("max_requests"),
+        F.lit(WINDOW_S).cast("bigint").alias("window_s"),
+    )
+    verdicts = stream_limits(rows, ["client"], mode)
+    jobs.append_stream(verdicts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        "request_id", "client", "request_count", "limited"
+    )
+
+
+@query
+def stream_limit_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream_limited(spark, sf, limits.ANCHORED)
+
+
+@query
+def stream_limit_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream_limited(spark, sf, limits.REFRESHED)
+
+
+@query
+def stream_agent_activity(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_folder(spark, "stream-activity")
+    rows = sample.requests_from(_event_stream(spark, sf), spark, sf)
+    jobs.activity_stream(
+        agents.with_agent(rows), f"{folder}/out", f"{folder}/state", "1 day", "1 hour"
+    ).awaitTermination()
+    return jobs.read_activity(spark, f"{folder}/out").select(
+        F.unix_seconds("window_start").alias("window_start_s"), "agent", "requests"
+    )
+
+
+@query
+def stream_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_folder(spark, "stream-rebuild")
+    jobs.rebuild_stream(
+        sample.changes_from(_event_stream(spark, sf), spark, sf),
+        Tables.sample(spark, sf),
+        f"{folder}/out",
+        f"{folder}/state",
+        F.timestamp_seconds(F.lit(NOW_S)),
+    ).awaitTermination()
+    return read_artifacts(spark, f"{folder}/out").select(
+        "site_id", "artifact_key", "kind", "ttl_s", F.col("source_hash").alias("content_md5")
+    )

@@ -209,6 +209,10 @@ def site_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from(table(spark, sf_dir, "events"), spark, sf_dir)
+
+
+def requests_from(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per event, on the site of the page with number event_id modulo page count."""
     pages = table(spark, sf_dir, "pages")
     targets = pages.select(
@@ -250,8 +254,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     client = F.concat(F.lit("203.0."), F.floor(user / 256), F.lit("."), user % 256)
     return (
-        table(spark, sf_dir, "events")
-        .withColumn("target_id", event % count)
+        events.withColumn("target_id", event % count)
         .join(targets, "target_id")
         .select(
             event.alias("request_id"),
@@ -306,6 +309,10 @@ def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes_from(table(spark, sf_dir, "events"), spark, sf_dir)
+
+
+def changes_from(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     event = F.col("event_id")
     count = pages.agg((F.max("page_id") + 1).alias("n")).scalar()
@@ -313,8 +320,7 @@ def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.when(event % 50 == 0, event % count + count).otherwise(event % count)
     owners = pages.select(F.col("page_id").alias("post_id"), _host().alias("site_id"))
     return (
-        table(spark, sf_dir, "events")
-        .withColumn("post_id", target)
+        events.withColumn("post_id", target)
         .join(owners, "post_id", "left")
         .select(
             event.alias("change_id"),
