@@ -14,67 +14,60 @@ from sitequill.functions.basics import let, nonempty
 from sitequill.functions.text import header_text, trim_all
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
-HEX_GROUP = "^[0-9a-fA-F]{1,4}$"
+IPV4 = f"{_OCTET}(?:[.]{_OCTET}){{3}}"
 NO_ADDRESS = "0.0.0.0"
 
 
-def _v4_number(ip: Column) -> Column:
-    return F.aggregate(
-        F.split(ip, r"\."),
-        F.lit(0).cast("bigint"),
-        lambda total, octet: total * 256 + octet.cast("bigint"),
-    )
-
+def _number(ip: str) -> str:
+    return f"aggregate(split({ip}, '[.]'), 0L, (total, o) -> total * 256 + CAST(o AS BIGINT))"
 
-def _groups_of(side: Column) -> Column:
-    return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _with_plain_tail(ip: Column) -> Column:
-    """Write a trailing dotted IPv4 part as two hexadecimal groups."""
 
-    def rewrite(tail: Column) -> Column:
-        head = F.substring(ip, F.lit(1), F.length(ip) - F.length(tail))
-        return F.when(tail == "", ip).otherwise(
-            let(
-                _v4_number(tail),
-                lambda n: F.concat(
-                    head,
-                    F.hex(F.shiftright(n, 16)),
-                    F.lit(":"),
-                    F.hex(n.bitwiseAND(F.lit(65535))),
-                ),
-            )
-        )
+def _side(n: int) -> str:
+    side = f"get(sides, {n})"
+    return f"CASE WHEN {side} = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split({side}, ':', -1) END"
 
-    return let(F.regexp_extract(ip, f":({IPV4})$", 1), rewrite)
 
+# SQL lambdas, so that the driver sends one expression. A dotted tail is first written as two
+# hexadecimal groups, then "::" is filled up to eight groups.
+_PLAIN = _let(
+    f"regexp_extract(ip, ':({IPV4})$', 1)",
+    "tail",
+    f"""CASE WHEN tail = '' THEN ip ELSE concat(substr(ip, 1, length(ip) - length(tail)),
+      hex(shiftright({_number("tail")}, 16)), ':', hex({_number("tail")} & 65535L)) END""",
+)
+_GROUPS = f"""CASE
+  WHEN size(sides) = 1 THEN split(get(sides, 0), ':', -1)
+  WHEN size(sides) = 2 THEN {_let(
+      f"named_struct('l', {_side(0)}, 'r', {_side(1)})",
+      "h",
+      "CASE WHEN size(h.l) + size(h.r) <= 7 THEN"
+      " concat(h.l, array_repeat('0', 8 - size(h.l) - size(h.r)), h.r) END",
+  )} END"""
+_V6_BITS = """CASE
+  WHEN size(g) = 8 AND forall(g, x -> x RLIKE '^[0-9a-fA-F]{1,4}$')
+  THEN concat('6:', array_join(transform(g, x -> lpad(conv(x, 16, 2), 16, '0')), '')) END"""
+_IP_BITS = f"""ip -> CASE
+  WHEN ip RLIKE '^{IPV4}$' THEN concat('4:', lpad(bin({_number("ip")}), 32, '0'))
+  WHEN ip RLIKE '^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$'
+  THEN {_let(f"split({_PLAIN}, '::', -1)", "sides", _let(_GROUPS, "g", _V6_BITS))} END"""
+_RANGE_PREFIX = f"""entry -> CASE WHEN entry RLIKE '^[^/]+/[0-9]{{1,3}}$' THEN
+  get(transform(
+    transform(array(named_struct('net', split_part(entry, '/', 1),
+      'size', CAST(split_part(entry, '/', 2) AS INT))),
+      r -> named_struct('size', r.size, 'bits', get(transform(array(r.net), {_IP_BITS}), 0))),
+    r -> CASE WHEN r.size <= length(r.bits) - 2 THEN substr(r.bits, 1, r.size + 2) END), 0) END"""
 
-def _v6_bits(ip: Column) -> Column:
-    def expand(sides: Column) -> Column:
-        left, right = _groups_of(F.get(sides, F.lit(0))), _groups_of(F.get(sides, F.lit(1)))
-        return F.when(
-            (F.size(sides) == 2) & (F.size(left) + F.size(right) <= 7),
-            F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right),
-        ).when(F.size(sides) == 1, left)
 
-    def bits(groups: Column) -> Column:
-        valid = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike(HEX_GROUP))
-        words = F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0"))
-        return F.when(valid, F.concat(F.lit("6:"), F.array_join(words, "")))
-
-    return let(let(F.split(_with_plain_tail(ip), "::", -1), expand), bits)
+def _apply(sql_lambda: str, c: Column) -> Column:
+    return F.get(F.call_function("transform", F.array(c), F.expr(sql_lambda)), F.lit(0))
 
 
 def ip_bits(ip: Column) -> Column:
-    def parse(c: Column) -> Column:
-        v4 = F.concat(F.lit("4:"), F.lpad(F.bin(_v4_number(c)), 32, "0"))
-        return F.when(c.rlike(f"^{IPV4}$"), v4).when(
-            c.contains(":") & c.rlike("^[0-9a-fA-F:.]+$"), _v6_bits(c)
-        )
-
-    return let(ip, parse)
+    return _apply(_IP_BITS, ip)
 
 
 def is_ip(ip: Column) -> Column:
@@ -86,16 +79,7 @@ def range_prefix(entry: Column) -> Column:
 
     The length has to be a number: a word after the slash is rejected, not read as zero.
     """
-
-    def cut(bits: Column) -> Column:
-        length = F.regexp_extract(entry, "/([0-9]{1,3})$", 1)
-        size = F.when(length != "", length).cast("int")
-        return F.when(size <= F.length(bits) - 2, F.substring(bits, F.lit(1), size + 2))
-
-    return F.when(
-        entry.rlike("^[^/]+/[0-9]{1,3}$"),
-        let(ip_bits(F.regexp_extract(entry, "^([^/]+)/", 1)), cut),
-    )
+    return _apply(_RANGE_PREFIX, entry)
 
 
 def is_ip_or_range(entry: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequill.functions.text import slug_normalise
-from sitequill.operators.scale import lookup_join, top_n
+from sitequill.operators.scale import lookup_join, spread_join, top_n
 
 PUBLISHED = "publish"
 DEFAULT_LIMIT = 500
@@ -76,7 +76,7 @@ def by_slug(
     """
     found = of_types(newest_by_slug(query_hook(content) if query_hook else content), types)
     wanted = lookups.withColumn("slug", slug_normalise(F.col("slug")))
-    return lookup_join(wanted, found, ["site_id", "post_type", "slug"], spread_by="lookup_id")
+    return spread_join(wanted, found, ["site_id", "post_type", "slug"], spread_by="lookup_id")
 
 
 def by_id(
@@ -86,7 +86,7 @@ def by_id(
     found = of_types(
         published(content).select("site_id", "post_id", "post_type", "slug", "title"), types
     )
-    return lookup_join(lookups, found, ["site_id", "post_id"], spread_by="lookup_id")
+    return spread_join(lookups, found, ["site_id", "post_id"], spread_by="lookup_id")
 
 
 def counts_by_type(content: DataFrame, types: Sequence[str] | DataFrame) -> DataFrame:

@@ -83,10 +83,9 @@ def page_documents(
     rows = pages.join(term_strings(terms), ["site_id", "post_id"], "left").join(
         sides, ["site_id", "post_id"], "left"
     )
-    rows = with_author(rows, authors)
-    rows = lookup_join(
-        rows, sites.select("site_id", "site_name", "home_url"), ["site_id"], spread_by="post_id"
-    )
+    rows = with_author(rows, authors, hot_from=content)
+    names = sites.select("site_id", "site_name", "home_url")
+    rows = lookup_join(rows, names, ["site_id"], spread_by="post_id", hot_from=content)
     text = document_text()
     return rows.select(
         "site_id",

@@ -43,9 +43,11 @@ def with_label(rows: DataFrame, type_labels: DataFrame) -> DataFrame:
     ).drop("_label")
 
 
-def with_author(rows: DataFrame, authors: DataFrame) -> DataFrame:
+def with_author(
+    rows: DataFrame, authors: DataFrame, hot_from: DataFrame | None = None
+) -> DataFrame:
     people = authors.select("author_id", "display_name", "archive_url")
-    return lookup_join(rows, people, ["author_id"], spread_by="post_id")
+    return lookup_join(rows, people, ["author_id"], spread_by="post_id", hot_from=hot_from)
 
 
 def listing_source(
@@ -144,20 +146,9 @@ def listing_rows(
     """
     source = listing_source(content, index_types, query_hook)
     rows = _described(source, terms, authors, type_labels)
-    numbered = newest_first_position(
-        rows, ["site_id", "label"], "published_at", "post_id", "position"
-    )
-    firsts = (
-        rows.groupBy("site_id", "label")
-        .agg(F.max(F.struct("published_at", "post_id")).alias("_first"))
-        .withColumn(
-            "section",
-            F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("_first"))),
-        )
-        .drop("_first")
-    )
+    numbered = newest_first_position(rows, "site_id", "label", "published_at", "post_id")
     entry = entry_text(F.col("position"))
-    return lookup_join(numbered, firsts, ["site_id", "label"], spread_by="post_id").select(
+    return numbered.select(
         "site_id",
         "post_id",
         "label",

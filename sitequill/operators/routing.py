@@ -13,7 +13,7 @@ from sitequill.functions.text import client_key, key_normalise, slug_normalise
 from sitequill.operators.agents import agent_name
 from sitequill.operators.content import newest_by_slug, of_types
 from sitequill.operators.limits import ANCHORED, with_limits
-from sitequill.operators.scale import lookup_join
+from sitequill.operators.scale import lookup_join, spread_join
 
 # Routes, states and messages.
 INDEX_ROUTE = r"^/llms\.txt$"
@@ -108,7 +108,7 @@ def with_item(requests: DataFrame, content: DataFrame, settings: DataFrame) -> D
     wanted = requests.withColumn(
         "wanted_type", F.coalesce("route_type", F.when(F.col("endpoint") == "page", "page"))
     ).withColumn("wanted_slug", F.coalesce("route_slug", slug_normalise(F.col("route_page"))))
-    return lookup_join(
+    return spread_join(
         wanted,
         _targets(content, settings),
         ["site_id", "wanted_type", "wanted_slug"],
@@ -159,8 +159,10 @@ def redirects(
     homes = sites.join(fronts, ["site_id", "front_page_id"], "left").select(
         "site_id", "home_url", F.col("slug").alias("front_slug")
     )
-    rows = lookup_join(agents, homes, ["site_id"], spread_by="request_id")
-    rows = lookup_join(rows, viewed, ["site_id", "path"], spread_by="request_id")
+    rows = lookup_join(agents, homes, ["site_id"], spread_by="request_id", sized_by=sites)
+    rows = spread_join(
+        rows, viewed, ["site_id", "path"], spread_by="request_id", hot_from=agents
+    )
     item_target = F.concat(
         "home_url", F.lit(ITEM_PATH), F.col("item.post_type"), F.lit("/"), F.col("item.slug")
     )
@@ -194,18 +196,18 @@ def outcomes(
 
     ``overrides`` (site_id, route_page, content) are fixed texts for page names.
     """
-    rows = with_client(with_site_settings(with_route(requests), settings)).filter(
-        F.col("endpoint").isNotNull()
-    )
-    judged = with_limits(
-        rows,
+    routed = with_route(requests).filter(F.col("endpoint").isNotNull())
+    # The page asked for is found before the limit is applied: the join that can meet hot
+    # pages then counts its keys on the plain log.
+    found = with_item(routed, content, settings)
+    found = with_limits(
+        with_client(with_site_settings(found, settings)),
         ["site_id", "client_ip"],
         F.col("limit_requests"),
         F.col("limit_window_s"),
         mode,
         counted=F.col("enabled") & F.col("limit_enabled"),
     )
-    found = with_item(judged, content, settings)
     if overrides is not None:
         fixed = overrides.select(
             "site_id", "route_page", nonempty(F.col("content")).alias("has_override")

@@ -22,22 +22,44 @@ def lookup_join(
     on: Sequence[str],
     spread_by: str,
     how: str = "left",
+    sized_by: DataFrame | None = None,
+    hot_from: DataFrame | None = None,
     small_side_rows: int = SMALL_SIDE_ROWS,
+) -> DataFrame:
+    """Join a large table with a side table (settings, sites, authors) of one row per key.
+
+    The side is broadcast only after its rows were counted; the count stops one past the
+    limit. ``sized_by`` is a cheaper table with at least as many rows to count instead.
+    Beyond the limit the join shuffles and splits hot keys, see ``spread_join``.
+    """
+    counted = lookup if sized_by is None else sized_by
+    if counted.limit(small_side_rows + 1).count() <= small_side_rows:
+        return fact.join(F.broadcast(lookup), list(on), how)
+    return spread_join(fact, lookup, on, spread_by, how, hot_from)
+
+
+def spread_join(
+    fact: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    spread_by: str,
+    how: str = "left",
+    hot_from: DataFrame | None = None,
     hot_key_rows: int = HOT_KEY_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join a large table with a lookup table that has one row per key.
+    """Shuffle join with a lookup table of one row per key, however large and skewed.
 
-    The lookup side is broadcast only after its rows were counted (the count stops one past
-    the limit). Otherwise the join shuffles, and keys that are hot on the fact side are
-    split: their fact rows get a salt and their lookup row is repeated once per salt. The
-    list of hot keys is at most ``rows / hot_key_rows`` long, so it can be broadcast.
+    Keys that are hot on the fact side are split: their fact rows get a salt and their one
+    lookup row is repeated once per salt. Other rows join as usual. The counts that find hot
+    keys read only the key columns and combine on the map side; ``hot_from`` is an earlier
+    form of ``fact`` with the same keys that is cheaper to read. The list of hot keys is at
+    most ``rows / hot_key_rows`` long, which bounds its broadcast.
     """
     on = list(on)
-    if lookup.limit(small_side_rows + 1).count() <= small_side_rows:
-        return fact.join(F.broadcast(lookup), on, how)
     hot = (
-        fact.groupBy(*on)
+        (fact if hot_from is None else hot_from)
+        .groupBy(*on)
         .count()
         .filter(F.col("count") > hot_key_rows)
         .select(*on, F.lit(True).alias("_hot"))
@@ -88,25 +110,30 @@ def top_n(
 
 def newest_first_position(
     rows: DataFrame,
-    keys: Sequence[str],
+    group: str,
+    part: str,
     ts: str,
     unique_id: str,
-    position: str,
     ids_per_block: int = 65_536,
 ) -> DataFrame:
-    """Number all rows per key, newest first, without sorting a whole key in one task.
+    """Number all rows newest first without sorting a whole group in one task.
 
-    Rows fall into days and, inside one timestamp, into blocks of the unique
-    id. Counts of both levels (combined on the map side) give every block the number of rows
-    before it; a window then numbers rows only inside a block, which holds at most
+    Adds ``position`` (within group and part) and ``section`` (the parts of a group numbered
+    by their newest row). Rows fall into days and, inside one timestamp, into blocks of the
+    unique id. Counts of both levels, combined on the map side, give every block the number
+    of rows before it. A window then numbers rows only inside a block, which holds at most
     ``ids_per_block`` rows because the id is unique.
     """
-    keys = list(keys)
-    marked = rows.withColumn("_bucket", F.col(ts).cast("date")).withColumn(
+    keys = [group, part]
+    marked = rows.withColumn("_day", F.col(ts).cast("date")).withColumn(
         "_block", F.floor(F.col(unique_id) / ids_per_block)
     )
-    blocks = marked.groupBy(*keys, "_bucket", ts, "_block").agg(F.count("*").alias("_n"))
-    buckets = blocks.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bucket_n"))
+    blocks = marked.groupBy(*keys, "_day", ts, "_block").agg(
+        F.count("*").alias("_n"), F.max(unique_id).alias("_last_id")
+    )
+    days = blocks.groupBy(*keys, "_day").agg(
+        F.sum("_n").alias("_day_n"), F.max(F.struct(ts, "_last_id")).alias("_newest")
+    )
 
     def before(over: Sequence[str], order: Sequence[Column], size: str) -> Column:
         window = Window.partitionBy(*over).orderBy(*order).rowsBetween(
@@ -114,23 +141,38 @@ def newest_first_position(
         )
         return F.coalesce(F.sum(size).over(window), F.lit(0))
 
-    bucket_offsets = buckets.select(
-        *keys, "_bucket", before(keys, [F.desc("_bucket")], "_bucket_n").alias("_bucket_before")
+    day_offsets = days.select(
+        *keys, "_day", before(keys, [F.desc("_day")], "_day_n").alias("_day_before")
+    )
+    sections = (
+        days.groupBy(*keys)
+        .agg(F.max("_newest").alias("_newest"))
+        .withColumn(
+            "section",
+            F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_newest"))),
+        )
+        .drop("_newest")
     )
     block_offsets = blocks.select(
         *keys,
-        "_bucket",
+        "_day",
         ts,
         "_block",
-        before([*keys, "_bucket"], [F.desc(ts), F.desc("_block")], "_n").alias("_block_before"),
+        before([*keys, "_day"], [F.desc(ts), F.desc("_block")], "_n").alias("_block_before"),
     )
-    offsets = block_offsets.join(bucket_offsets, [*keys, "_bucket"]).select(
-        *keys, ts, "_block", (F.col("_bucket_before") + F.col("_block_before")).alias("_before")
+    # All of these hold counts, not rows: one line per part, per day, per timestamp and block.
+    offsets = (
+        block_offsets.join(day_offsets, [*keys, "_day"])
+        .join(sections, keys)
+        .select(
+            *keys, ts, "_block", "section",
+            (F.col("_day_before") + F.col("_block_before")).alias("_before"),
+        )
     )
     inside = Window.partitionBy(*keys, ts, "_block").orderBy(F.desc(unique_id))
     return (
-        marked.drop("_bucket")
+        marked.drop("_day")
         .join(offsets, [*keys, ts, "_block"])
-        .withColumn(position, F.col("_before") + F.row_number().over(inside))
+        .withColumn("position", F.col("_before") + F.row_number().over(inside))
         .drop("_before", "_block")
     )

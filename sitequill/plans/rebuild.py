@@ -12,6 +12,7 @@ from sitequill.operators.detail import page_documents
 from sitequill.operators.index import index_entries, site_index
 from sitequill.operators.scale import lookup_join
 from sitequill.plans.tables import Tables
+from sitequill.session import cut_lineage
 from sitequill.sources.tables import append_artifacts
 
 
@@ -30,15 +31,18 @@ def render_items(tables: Tables, content: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def render_listings(tables: Tables, site_ids: DataFrame, now: Column) -> DataFrame:
-    """Index artefacts of the given sites."""
-    keep = lambda rows: rows.join(site_ids, "site_id", "left_semi")
-    content, settings = keep(tables.content), keep(tables.settings)
+def render_listings(tables: Tables, site_ids: DataFrame | None, now: Column) -> DataFrame:
+    """Index artefacts of the given sites, or of all."""
+
+    def keep(rows: DataFrame) -> DataFrame:
+        return rows if site_ids is None else rows.join(site_ids, "site_id", "left_semi")
+
+    content = keep(tables.content)
     entries = index_entries(
-        content, tables.terms, tables.authors, tables.type_labels, settings
+        content, tables.terms, tables.authors, tables.type_labels, tables.settings
     )
-    documents = site_index(entries, content, keep(tables.sites), settings)
-    facts = settings.select("site_id", "post_types", F.col("index_ttl_s").alias("ttl_s"))
+    documents = site_index(entries, content, keep(tables.sites), tables.settings)
+    facts = tables.settings.select("site_id", "post_types", F.col("index_ttl_s").alias("ttl_s"))
     return documents.join(facts, "site_id").select(
         "site_id",
         listing_key(F.col("post_types")).alias("artifact_key"),
@@ -53,7 +57,7 @@ def render_listings(tables: Tables, site_ids: DataFrame, now: Column) -> DataFra
 def render_all(tables: Tables, path: str, now: Column, batch: str | int = 0) -> None:
     """First run: every page and every index."""
     items = render_items(tables, of_types(published(tables.content), tables.settings), now)
-    listings = render_listings(tables, tables.sites.select("site_id"), now)
+    listings = render_listings(tables, None, now)
     append_artifacts(items.unionByName(listings), path, batch)
 
 
@@ -63,6 +67,7 @@ def rebuilt(
     """New artefact rows for one batch of changes, removed ones as rows without content."""
     stale = ch.stale_keys(changes, tables.content, tables.settings)
     keys = stale if artifacts is None else ch.keys_to_rebuild(stale, ch.expired(artifacts, now))
+    keys = cut_lineage(keys, "stale-keys")
     items = render_items(
         tables, ch.items_to_rebuild(tables.content, tables.settings, keys), now
     )

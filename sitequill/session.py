@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
@@ -37,3 +37,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def cut_lineage(rows: DataFrame, name: str) -> DataFrame:
+    """Write a small intermediate table and go on from the written copy.
+
+    Used where a result feeds several branches, so that losing executors costs a read and
+    not a recomputation.
+    """
+    spark = rows.sparkSession
+    path = work_folder(spark, name)
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
