@@ -332,7 +332,7 @@ links AS (
   FROM sites s LEFT JOIN common c ON c.site_id = s.site_id GROUP BY s.site_id)"""
 ORACLE["quick_links"] = f"WITH {CONTENT}, {SITES}, {LINKS} SELECT * FROM links"
 
-ORACLE["site_index"] = f"""WITH {_INDEX}, {SETTINGS}, {LINKS},
+SITE_INDEX = f"""{LINKS},
 sections AS (
   SELECT site_id, count(*) AS items, string_agg(
     CASE WHEN position = 1 THEN '## ' || label || E'\\n\\n' ELSE '' END || entry,
@@ -341,12 +341,14 @@ facts AS (
   SELECT site_id, site_name, home_url,
     CASE WHEN {nonempty("site_description")} THEN site_description ELSE description END AS about,
     CASE WHEN {nonempty("contact_email")} THEN contact_email ELSE admin_email END AS contact
-  FROM sites JOIN settings USING (site_id))
-SELECT f.site_id, coalesce(items, 0) AS items, concat_ws(E'\\n', '# ' || site_name, '',
-  CASE WHEN {nonempty("about")} THEN '> ' || about || E'\\n' END,
-  '> Website: ' || home_url, '> Contact: ' || contact, '', '---', '', body,
-  '---', '', '## Quick Links', '', links, '') AS content
-FROM facts f LEFT JOIN sections USING (site_id) JOIN links USING (site_id)"""
+  FROM sites JOIN settings USING (site_id)),
+site_index AS (
+  SELECT f.site_id, coalesce(items, 0) AS items, concat_ws(E'\\n', '# ' || site_name, '',
+    CASE WHEN {nonempty("about")} THEN '> ' || about || E'\\n' END,
+    '> Website: ' || home_url, '> Contact: ' || contact, '', '---', '', body,
+    '---', '', '## Quick Links', '', links, '') AS content
+  FROM facts f LEFT JOIN sections USING (site_id) JOIN links USING (site_id))"""
+ORACLE["site_index"] = f"WITH {_INDEX}, {SETTINGS}, {SITE_INDEX} SELECT * FROM site_index"
 
 _BY_SITE = (
     "JOIN settings USING (site_id) WHERE status = 'publish' AND list_contains(post_types, post_type)"
@@ -543,24 +545,27 @@ order_tables AS (
   FROM order_rows)"""
 ORACLE["md_tables"] = _converted(ORDER_TABLES, "order_tables", "order_id", _markdown())
 
+PAGE_DOCUMENTS = f"""allowed AS (SELECT content.* FROM content {_BY_SITE}),
+{chain("md", "site_id, post_id", "content", "allowed", _markdown())},
+page_documents AS (
+  SELECT c.site_id, c.post_id, c.post_type, c.slug, concat_ws(E'\\n',
+    '# ' || {clean("c.title")}, '', CASE WHEN {nonempty("h")} THEN h || E'\\n' END,
+    '---', '', '## Details', '',
+    '- **Published:** ' || strftime(published_at, '%B %-d, %Y'),
+    '- **Last Updated:** ' || strftime(modified_at, '%B %-d, %Y'),
+    CASE WHEN {nonempty("display_name")} THEN
+      '- **Author:** [' || display_name || '](' || archive_url || ')' END,
+    CASE WHEN {nonempty("terms")} THEN '- **Categories:** ' || terms END,
+    '- **Permalink:** [' || permalink || '](' || permalink || ')', '',
+    CASE WHEN image_url IS NOT NULL THEN
+      E'## Featured Image\\n\\n![' || image_alt || '](' || image_url || E')\\n' END,
+    '---', '', '*From [' || site_name || '](' || home_url || ')*') AS content
+  FROM allowed c JOIN md USING (site_id, post_id) LEFT JOIN term_strings USING (site_id, post_id)
+  LEFT JOIN media USING (site_id, post_id) LEFT JOIN authors USING (author_id)
+  LEFT JOIN sites USING (site_id))"""
 ORACLE["page_documents"] = f"""WITH {CONTENT}, {TERMS}, {AUTHORS}, {MEDIA}, {SETTINGS},
-allowed AS (SELECT content.* FROM content {_BY_SITE}),
-{chain("md", "site_id, post_id", "content", "allowed", _markdown())}
-SELECT c.site_id, c.post_id, c.post_type, c.slug, concat_ws(E'\\n',
-  '# ' || {clean("c.title")}, '', CASE WHEN {nonempty("h")} THEN h || E'\\n' END,
-  '---', '', '## Details', '',
-  '- **Published:** ' || strftime(published_at, '%B %-d, %Y'),
-  '- **Last Updated:** ' || strftime(modified_at, '%B %-d, %Y'),
-  CASE WHEN {nonempty("display_name")} THEN
-    '- **Author:** [' || display_name || '](' || archive_url || ')' END,
-  CASE WHEN {nonempty("terms")} THEN '- **Categories:** ' || terms END,
-  '- **Permalink:** [' || permalink || '](' || permalink || ')', '',
-  CASE WHEN image_url IS NOT NULL THEN
-    E'## Featured Image\\n\\n![' || image_alt || '](' || image_url || E')\\n' END,
-  '---', '', '*From [' || site_name || '](' || home_url || ')*') AS content
-FROM allowed c JOIN md USING (site_id, post_id) LEFT JOIN term_strings USING (site_id, post_id)
-LEFT JOIN media USING (site_id, post_id) LEFT JOIN authors USING (author_id)
-LEFT JOIN sites USING (site_id)"""
+{PAGE_DOCUMENTS}
+SELECT * FROM page_documents"""
 
 
 def _safe() -> str:
@@ -867,10 +872,46 @@ SELECT site_id, kind, artifact_key, CAST(ttl_s AS BIGINT) AS ttl_s FROM old"""
 ORACLE["rebuild_set"] = f"""WITH {STALE}, {OLD},
 keys AS (SELECT site_id, kind, artifact_key FROM stale
   UNION SELECT site_id, kind, artifact_key FROM old),
-items AS (SELECT c.site_id, c.post_id, 'content_' || post_type || '_' || slug AS artifact_key
-  FROM content c {_BY_SITE})
-SELECT i.site_id, i.post_id, i.artifact_key FROM items i
+items AS (SELECT c.site_id, c.post_id, post_type, slug,
+    'content_' || post_type || '_' || slug AS artifact_key FROM content c {_BY_SITE}
+  QUALIFY row_number() OVER (PARTITION BY c.site_id, post_type, slug
+    ORDER BY published_at DESC, c.post_id DESC) = 1)
+SELECT i.site_id, i.post_id, i.post_type, i.slug FROM items i
 SEMI JOIN keys k ON k.kind = 'item' AND k.site_id = i.site_id AND k.artifact_key = i.artifact_key"""
 ORACLE["cleared_counts"] = f"""WITH {CONTENT}, {SITES}, {ARTIFACTS}
 SELECT site_id, kind, count(*) AS cleared FROM artifacts WHERE starts_with(artifact_key, 'content_')
 GROUP BY ALL"""
+
+_RENDERED = f"""{STALE}, {OLD}, {NEWEST}, {TERMS}, {AUTHORS}, {MEDIA}, {PAGE_DOCUMENTS},
+{_entries(_BY_SITE).replace("@limit", "500")}, {SITE_INDEX},
+all_keys AS (SELECT site_id, kind, artifact_key FROM stale
+  UNION SELECT site_id, kind, artifact_key FROM old),
+rendered AS (
+  SELECT site_id, 'item' AS kind,
+    'content_' || found.post_type || '_' || found.slug AS artifact_key, item_ttl_s AS ttl_s, md5(content) AS content_md5
+  FROM page_documents JOIN found USING (site_id, post_id) JOIN settings USING (site_id)
+  UNION ALL
+  SELECT site_id, 'listing', 'listing_' || md5(array_to_string(post_types, ',')),
+    index_ttl_s, md5(content) FROM site_index JOIN settings USING (site_id))"""
+
+
+def _rebuilt(keys: str) -> str:
+    return f"""SELECT r.site_id, r.artifact_key, r.kind, r.ttl_s, r.content_md5 FROM rendered r
+SEMI JOIN {keys} k ON k.site_id = r.site_id AND k.kind = r.kind
+  AND (r.kind = 'listing' OR k.artifact_key = r.artifact_key)"""
+
+
+ORACLE["rebuilt_artifacts"] = f"""WITH {_RENDERED}
+{_rebuilt("all_keys")}
+UNION ALL
+SELECT a.site_id, a.artifact_key, a.kind, 300, NULL FROM artifacts a
+SEMI JOIN all_keys k ON k.site_id = a.site_id AND k.kind = a.kind
+  AND k.artifact_key = a.artifact_key
+ANTI JOIN rendered r ON r.site_id = a.site_id AND r.artifact_key = a.artifact_key"""
+
+# --- streams: the same results as their batch forms ---------------------------------------
+
+for _stream, _batch in [("stream_limit_fixed", "limit_fixed"), ("stream_limit_refresh", "limit_refresh")]:
+    ORACLE[_stream] = f"SELECT * EXCLUDE (remaining) FROM ({ORACLE[_batch]})"
+ORACLE["stream_agent_activity"] = ORACLE["agent_activity"]
+ORACLE["stream_rebuild"] = f"WITH {_RENDERED} {_rebuilt('stale')}"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequill.functions.text import item_key, listing_key
-from sitequill.operators.content import of_types, published
+from sitequill.operators.content import newest_by_slug, of_types
 from sitequill.operators.scale import lookup_join
 
 # Lifetimes in seconds.
@@ -74,15 +74,22 @@ def keys_to_rebuild(stale: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def items_to_rebuild(content: DataFrame, settings: DataFrame, keys: DataFrame) -> DataFrame:
-    """Published, allowed content whose artefact is stale or expired.
+    """Published, allowed content whose artefact is stale or expired, one post per key.
 
-    Only narrow columns decide; the bodies are read for the surviving rows.
+    A scan of narrow columns finds the posts; bodies are read only for those.
     """
     items = keys.filter(F.col("kind") == "item").select("site_id", "artifact_key")
-    allowed = of_types(published(content), settings)
-    return allowed.withColumn(
-        "artifact_key", item_key(F.col("post_type"), F.col("slug"))
-    ).join(items, ["site_id", "artifact_key"], "left_semi")
+    wanted = (
+        of_types(newest_by_slug(content), settings)
+        .select(
+            "site_id",
+            "post_id",
+            item_key(F.col("post_type"), F.col("slug")).alias("artifact_key"),
+        )
+        .join(items, ["site_id", "artifact_key"], "left_semi")
+        .select("site_id", "post_id")
+    )
+    return content.join(wanted, ["site_id", "post_id"], "left_semi")
 
 
 def cleared_counts(artifacts: DataFrame) -> DataFrame:

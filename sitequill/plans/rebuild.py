@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitequill.functions.text import item_key, listing_key
 from sitequill.operators import changes as ch
-from sitequill.operators.content import of_types, published
+from sitequill.operators.content import newest_by_slug, of_types, published
 from sitequill.operators.detail import page_documents
 from sitequill.operators.index import index_entries, site_index
 from sitequill.operators.scale import lookup_join
@@ -56,7 +56,15 @@ def render_listings(tables: Tables, site_ids: DataFrame | None, now: Column) ->
 
 def render_all(tables: Tables, path: str, now: Column, batch: str | int = 0) -> None:
     """First run: every page and every index."""
-    items = render_items(tables, of_types(published(tables.content), tables.settings), now)
+    # One post per slug: of posts that share a slug only the newest can be reached.
+    newest = of_types(newest_by_slug(tables.content), tables.settings)
+    items = render_items(
+        tables,
+        published(tables.content).join(
+            newest.select("site_id", "post_id"), ["site_id", "post_id"], "left_semi"
+        ),
+        now,
+    )
     listings = render_listings(tables, None, now)
     append_artifacts(items.unionByName(listings), path, batch)
 

@@ -489,7 +489,7 @@ def rebuild_set(spark: SparkSession, sf: str) -> DataFrame:
     keys = changes.keys_to_rebuild(_stale(spark, sf), _expired(spark, sf))
     return changes.items_to_rebuild(
         sample.content(spark, sf), _settings(spark, sf), keys
-    ).select("site_id", "post_id", "artifact_key")
+    ).select("site_id", "post_id", "post_type", "slug")
 
 
 @query
