@@ -91,7 +91,7 @@ def total_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.table(spark, sf, "pages").select(
+    return sample.spread_table(spark, sf, "pages").select(
         "page_id", text.clean_text(F.col("html")).alias("cleaned")
     )
 
@@ -99,7 +99,7 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def excerpt(spark: SparkSession, sf: str) -> DataFrame:
     summary = F.when(F.col("doc_id") % 5 == 0, "0").otherwise("")
-    return sample.table(spark, sf, "documents").select(
+    return sample.spread_table(spark, sf, "documents").select(
         "doc_id",
         text.excerpt(summary, F.col("text")).alias("excerpt"),
         text.clean_text(F.col("text"), 50).alias("teaser"),
@@ -122,7 +122,7 @@ def page_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def slug_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.content(spark, sf).select(
+    return sample.content(spark, sf, heavy=True).select(
         "post_id",
         text.slug_normalise(F.col("title")).alias("title_slug"),
         text.key_normalise(F.col("title")).alias("title_key"),
@@ -151,7 +151,7 @@ def term_strings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     return index.index_entries(
-        sample.content(spark, sf),
+        sample.content(spark, sf, heavy=True),
         sample.terms(spark, sf),
         sample.authors(spark, sf),
         sample.type_labels(spark),
@@ -184,7 +184,7 @@ def site_index(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def index_listing(spark: SparkSession, sf: str) -> DataFrame:
     return index.listing_rows(
-        sample.content(spark, sf),
+        sample.content(spark, sf, heavy=True),
         sample.terms(spark, sf),
         sample.authors(spark, sf),
         sample.type_labels(spark),
@@ -197,7 +197,7 @@ def index_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def md_inline(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.table(spark, sf, "pages").select(
+    return sample.spread_table(spark, sf, "pages").select(
         "page_id", html.inline_markup(html.drop_invisible(F.col("html"))).alias("marked")
     )
 
@@ -225,14 +225,14 @@ def md_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.table(spark, sf, "pages").select(
+    return sample.spread_table(spark, sf, "pages").select(
         "page_id", html.html_to_markdown(F.col("html")).alias("markdown")
     )
 
 
 @query
 def html_to_markdown_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.table(spark, sf, "pages").select(
+    return sample.spread_table(spark, sf, "pages").select(
         "page_id", html.html_to_markdown(F.col("html"), strict=False).alias("markdown")
     )
 
@@ -240,7 +240,7 @@ def html_to_markdown_bounded(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def page_documents(spark: SparkSession, sf: str) -> DataFrame:
     allowed = content.of_types(
-        content.published(sample.content(spark, sf)), _settings(spark, sf)
+        content.published(sample.content(spark, sf, heavy=True)), _settings(spark, sf)
     )
     return detail.page_documents(
         allowed,
@@ -253,7 +253,7 @@ def page_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def safe_markup(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.table(spark, sf, "pages").select(
+    return sample.spread_table(spark, sf, "pages").select(
         "page_id", markup.safe_markup(F.col("html")).alias("safe")
     )
 
@@ -330,7 +330,7 @@ def valid_ranges(spark: SparkSession, sf: str) -> DataFrame:
         .when(event % 9 == 7, F.concat(F.lit("::"), user))
         .otherwise(F.concat(F.lit("host"), user))
     )
-    rows = sample.table(spark, sf, "events").select("event_id", entry.alias("entry"))
+    rows = sample.spread_table(spark, sf, "events").select("event_id", entry.alias("entry"))
     return rows.select(
         "event_id",
         "entry",

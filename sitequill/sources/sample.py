@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitequill.sources.tables import spread
+
 USER_AGENTS = [
     "Mozilla/5.0 (compatible; GPTBot/1.0; +https://example.com/bot)",
     "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36",
@@ -29,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for costly per-row work; the sample files hold one row group each."""
+    key = {"pages": "page_id", "documents": "doc_id", "events": "event_id"}[name]
+    return spread(table(spark, sf_dir, name), key)
+
+
 def _pick(values: list[str | None], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
 
@@ -69,9 +77,11 @@ def _hours_after_start(hours: Column) -> Column:
     )
 
 
-def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+def content(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Posts from pages; ``heavy`` spreads them for work on the bodies."""
     page = F.col("page_id")
-    return table(spark, sf_dir, "pages").select(
+    pages = (spread_table if heavy else table)(spark, sf_dir, "pages")
+    return pages.select(
         _host().alias("site_id"),
         page.alias("post_id"),
         _page_type().alias("post_type"),
@@ -209,7 +219,7 @@ def site_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests_from(table(spark, sf_dir, "events"), spark, sf_dir)
+    return requests_from(spread_table(spark, sf_dir, "events"), spark, sf_dir)
 
 
 def requests_from(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +387,7 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as HTML lists, one item per line of text."""
     items = F.transform(F.split("text", "\n", -1), _li)
     tag = F.when(F.col("doc_id") % 2 == 0, "ol").otherwise("ul")
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(
             F.lit("<p>Lines</p><"), tag, F.lit(' class="x">'), F.array_join(items, "\n"),
@@ -428,7 +438,7 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("html"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", body.alias("html"))
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

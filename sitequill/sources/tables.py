@@ -27,6 +27,15 @@ def stream_table(
     return reader.load(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly per-row work on a scan with fewer splits than cores.
+
+    A scan of large files has more splits than that and stays as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
     """Write index and page texts, one row per address: (site_id, path, content)."""
     documents.select("site_id", "path", "content").write.mode(mode).parquet(path)
