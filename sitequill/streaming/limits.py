@@ -73,7 +73,9 @@ def stream_limits(
 
     Rows are taken in (ts, request_id) order inside a micro-batch. A row older than its
     client's state comes out with ``late`` set and is not judged; route those rows to a side
-    table. A client's state goes when the watermark passes the end of its window.
+    table. Rows older than the watermark are dropped by Spark itself, so ``delay`` has to cover
+    the lateness of the log. A client's state goes when the watermark passes the end of its
+    window.
     """
     keys = list(keys)
     schema = T.StructType(
