@@ -568,7 +568,7 @@ ORACLE["page_documents"] = f"""WITH {CONTENT}, {TERMS}, {AUTHORS}, {MEDIA}, {SET
 SELECT * FROM page_documents"""
 
 
-def _safe() -> str:
+def _safe(text: str) -> str:
     tags = ", ".join(q(t) for t in ALLOWED_TAGS)
     pairs = ", ".join(q(f"{t} {a}") for t, names in ALLOWED_TAGS.items() for a in names)
     links = ", ".join(q(a) for a in LINK_ATTRIBUTES)
@@ -595,12 +595,18 @@ def _safe() -> str:
     )
     tokens = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+|<"
     return (
-        f"array_to_string(list_transform(regexp_extract_all(html, {q(tokens)}),"
+        f"array_to_string(list_transform(regexp_extract_all({text}, {q(tokens)}),"
         f" lambda t: {token}), '')"
     )
 
 
-ORACLE["safe_markup"] = f"SELECT page_id, {_safe()} AS safe FROM pages"
+ORACLE["safe_markup"] = f"SELECT page_id, {_safe('html')} AS safe FROM pages"
+ORACLE["served_documents"] = f"""WITH {_INDEX}, {MEDIA}, {SETTINGS}, {SITE_INDEX},
+{PAGE_DOCUMENTS},
+unsafe AS (
+  SELECT site_id, '/ai/content/' || post_type || '/' || slug AS path, content FROM page_documents
+  UNION ALL SELECT site_id, '/llms.txt', content FROM site_index)
+SELECT site_id, path, {_safe("content")} AS content FROM unsafe"""
 
 # --- agents -----------------------------------------------------------------------------
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitequill.functions.markup import safe_markup
 from sitequill.functions.text import item_key, listing_key
 from sitequill.operators import changes as ch
 from sitequill.operators.content import newest_by_slug, of_types, published
 from sitequill.operators.detail import page_documents
 from sitequill.operators.index import index_entries, site_index
+from sitequill.operators.routing import INDEX_PATH, ITEM_PATH
 from sitequill.operators.scale import lookup_join
 from sitequill.plans.tables import Tables
 from sitequill.session import cut_lineage
@@ -100,6 +102,24 @@ def rebuilt(
     return fresh.unionByName(ch.tombstones(gone, now))
 
 
+def served_documents(pages: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Page and index texts as they go out, one row per address: (site_id, path, content).
+
+    HTML that is left in the Markdown passes the allow-list here and not before, so stored
+    artefacts keep their text.
+    """
+    path = F.concat(F.lit(ITEM_PATH), "post_type", F.lit("/"), "slug")
+    return pages.select(
+        "site_id", path.alias("path"), safe_markup(F.col("content")).alias("content")
+    ).unionByName(
+        indexes.select(
+            "site_id",
+            F.lit(INDEX_PATH).alias("path"),
+            safe_markup(F.col("content")).alias("content"),
+        )
+    )
+
+
 def clear_kind(artifacts: DataFrame, prefix: str, path: str, now: Column, batch: str) -> None:
     """Remove all artefacts whose key starts with ``prefix``; counts are in the batch itself."""
     append_artifacts(ch.tombstones(ch.of_kind(artifacts, prefix), now), path, batch)

@@ -251,6 +251,11 @@ def page_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def served_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return rebuild.served_documents(page_documents(spark, sf), site_index(spark, sf))
+
+
 @query
 def safe_markup(spark: SparkSession, sf: str) -> DataFrame:
     return sample.spread_table(spark, sf, "pages").select(
