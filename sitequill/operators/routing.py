@@ -103,16 +103,29 @@ def _targets(content: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
-def with_item(requests: DataFrame, content: DataFrame, settings: DataFrame) -> DataFrame:
-    """Add found_id: the published, allowed item or page that the request asks for."""
-    wanted = requests.withColumn(
-        "wanted_type", F.coalesce("route_type", F.when(F.col("endpoint") == "page", "page"))
-    ).withColumn("wanted_slug", F.coalesce("route_slug", slug_normalise(F.col("route_page"))))
+def with_item(
+    requests: DataFrame,
+    content: DataFrame,
+    settings: DataFrame,
+    plain_log: DataFrame | None = None,
+) -> DataFrame:
+    """Add found_id: the published, allowed item or page that the request asks for.
+
+    ``plain_log`` has the same routes and is cheaper to read; hot pages are counted on it.
+    """
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        page = F.when(F.col("endpoint") == "page", "page")
+        return rows.withColumn("wanted_type", F.coalesce("route_type", page)).withColumn(
+            "wanted_slug", F.coalesce("route_slug", slug_normalise(F.col("route_page")))
+        )
+
     return spread_join(
-        wanted,
+        wanted(requests),
         _targets(content, settings),
         ["site_id", "wanted_type", "wanted_slug"],
         spread_by="request_id",
+        hot_from=None if plain_log is None else wanted(plain_log),
     ).drop("wanted_type", "wanted_slug")
 
 
@@ -197,17 +210,15 @@ def outcomes(
     ``overrides`` (site_id, route_page, content) are fixed texts for page names.
     """
     routed = with_route(requests).filter(F.col("endpoint").isNotNull())
-    # The page asked for is found before the limit is applied: the join that can meet hot
-    # pages then counts its keys on the plain log.
-    found = with_item(routed, content, settings)
-    found = with_limits(
-        with_client(with_site_settings(found, settings)),
+    judged = with_limits(
+        with_client(with_site_settings(routed, settings)),
         ["site_id", "client_ip"],
         F.col("limit_requests"),
         F.col("limit_window_s"),
         mode,
         counted=F.col("enabled") & F.col("limit_enabled"),
     )
+    found = with_item(judged, content, settings, plain_log=routed)
     if overrides is not None:
         fixed = overrides.select(
             "site_id", "route_page", nonempty(F.col("content")).alias("has_override")
