@@ -163,15 +163,14 @@ def _scanned(index):
     kind = pa.list_(pa.struct([("label", pa.string()), ("phrase", pa.bool_()), ("first_word", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
         for batch in batches:
             sizes, found = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 sizes.append(len(words))
                 found.append([
-                    {"label": own.templates[i].label, "phrase": own.templates[i].phrase, "first_word": a, "end": b, "containment": c}
-                    for i, a, b, c in own.matches(words)
+                    {"label": index.templates[i].label, "phrase": index.templates[i].phrase, "first_word": a, "end": b, "containment": c}
+                    for i, a, b, c in index.matches(words)
                 ])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "matches"]
@@ -195,7 +194,7 @@ def license_blocks(docs: DataFrame, templates: Sequence[Template] = (*PHRASES, *
     counts = texts.select("text").mapInArrow(_counted(context.broadcast(vocabulary)), "word binary, n long")
     frequency = {bytes(r.word): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
     index = Index(templates, frequency)
-    return texts.mapInArrow(_scanned(context.broadcast(index)), f"doc_id long, n_words long, matches {_FOUND}")
+    return texts.mapInArrow(_scanned(index), f"doc_id long, n_words long, matches {_FOUND}")
 
 
 def license_columns(docs: DataFrame) -> DataFrame:

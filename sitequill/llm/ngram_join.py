@@ -1,16 +1,19 @@
 """Similarity join of documents on word n-grams: rare-first prefix filtering.
 
-1. One pass describes each document (set size, key of its set, counts of its n-grams in strata)
+1. One pass describes each document (set size, key of its set, parity bits of its n-grams)
    and counts all n-grams in a sketch of fixed size. The sketch gives the global rare-first order;
    a collision in it only moves an n-gram towards the end, so results don't depend on it.
 2. A second pass emits the prefix n-grams of each distinct set. Those that occur in one set only
    are dropped. Length and positional filters test what is left.
-3. Candidates are first taken in chains: in each n-gram's group every set meets the next one in
-   one of a few random orders, so pairs grow with the rows and not with their square. Verified links give
-   components; then only pairs whose sets are still in different components are left, and all
-   of those are verified. Within a component further pairs cannot change the result.
-4. Before the sets of a pair are compared, the suffix filter bounds their difference by the
-   counts in strata. Each pair is verified once.
+3. Candidates are first taken in chains: in each n-gram's group every set meets the REACH next
+   ones in one of a few random orders, so pairs grow with the rows and not with their square.
+   Verified links give components; then only pairs whose sets are still in different components
+   are left, and all of those are verified. Within a component further pairs cannot change the
+   result.
+4. The suffix filter bounds the difference of two whole sets before they are compared: each
+   n-gram flips one of BITS bits, so the bits in which two sets differ are at most the n-grams
+   in which they differ, and nearly as many while those are few. Each pair is verified once, and
+   texts are read again only for sets that passed.
 
 Copies (equal sets) are one class from the start and are never joined with each other.
 """
@@ -32,13 +35,14 @@ from .shingles import WordHashes, set_key, shingle_set
 #: for corpora far beyond a terabyte raise it, which lowers the noise in the order.
 SKETCH_BITS = 18
 BLOCKS = 256
-STRATA = 16
-#: Random orders in which the sets of a group are chained.
+BITS = 1024
+#: Random orders in which the sets of a group are chained, and how many following sets one meets.
 ORDERS = 4
+REACH = 8
 #: Keys that a task remembers, to emit a set only once per task.
 SEEN = 500_000
 
-_DESCRIBED = "doc_id long, n long, key long, strata array<int>, block int, counts binary"
+_DESCRIBED = "doc_id long, n long, key long, parity array<long>, block int, counts binary"
 
 
 def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -49,14 +53,13 @@ def _described(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("strata", pa.list_(pa.int32())), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             rows, fresh = [], []
             for doc_id, text in _columns(batch):
                 own = shingle_set(text, width, known)
                 key = set_key(own)
-                strata = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=STRATA)
-                rows.append((doc_id, len(own), key, strata))
+                rows.append((doc_id, len(own), key, _parity(own)))
                 if key not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -66,10 +69,10 @@ def _described(width: int):
                     counts += _counted(fresh)
                     fresh = []
             counts += _counted(fresh)
-            ids, sizes, keys, strata = zip(*rows, strict=True) if rows else ((), (), (), ())
+            ids, sizes, keys, parity = zip(*rows, strict=True) if rows else ((), (), (), ())
             none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(strata, pa.list_(pa.int32())), none.cast(pa.int32()), none.cast(pa.binary())],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(parity, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
                 schema=schema,
             )
         parts = counts.reshape(BLOCKS, -1)
@@ -77,13 +80,19 @@ def _described(width: int):
         none = pa.nulls(len(used))
         long = none.cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [long, long, long, none.cast(pa.list_(pa.int32())), pa.array(used, pa.int32()), pa.array([_packed(parts[i]) for i in used], pa.binary())],
+            [long, long, long, none.cast(pa.list_(pa.int64())), pa.array(used, pa.int32()), pa.array([_packed(parts[i]) for i in used], pa.binary())],
             schema=schema,
         )
 
     return run
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Bit b tells whether an odd number of the n-grams hash to b; packed in 64-bit numbers."""
+    slot = (own >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=BITS) & 1).astype(bool)).view(np.int64)
+
+
 def _counted(sets: list[np.ndarray]) -> np.ndarray:
     if not sets:
         return np.zeros(1 << SKETCH_BITS, np.int64)
@@ -218,9 +227,9 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     described = cut_lineage(texts.mapInArrow(_described(width), _DESCRIBED), "described")
     order = spark.sparkContext.broadcast(_sketch(described))
-    rows = described.where(F.col("block").isNull()).select("doc_id", "n", "key", "strata")
+    rows = described.where(F.col("block").isNull()).select("doc_id", "n", "key", "parity")
     classes = cut_lineage(
-        rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("first_id"), F.any_value("strata").alias("strata")),
+        rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("first_id"), F.any_value("parity").alias("parity")),
         "classes",
     )
     prefixes = texts.select("text").mapInArrow(
@@ -236,32 +245,39 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
         .dropDuplicates(["token", "key"]),
         "shared-prefixes",
     )
-    wanted = classes.join(shared.select("key", "n").distinct(), ["key", "n"], "left_semi")
-    wanted = cut_lineage(wanted.select("key", "first_id", "strata"), "wanted-sets")
-    sets = cut_lineage(
-        texts.join(wanted.select("key", "first_id").hint("shuffle_hash"), F.col("doc_id") == F.col("first_id"))
-        .select("key", "text").mapInArrow(_sets(width), "key long, own binary"),
-        "sets",
-    )
-    first = cut_lineage(_chained(shared, num, den), "chained-pairs")
-    links = cut_lineage(_links(first, wanted, sets, num, den), "links")
+    first = cut_lineage(_close(_chained(shared, num, den), classes, num, den), "chained-pairs")
+    sets = _sets_of(first, texts, classes, width)
+    links = cut_lineage(_links(first, sets, num, den), "links")
     roots = cut_lineage(components(links), "roots")
-    left = _across(shared, roots, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    left = cut_lineage(left, "pairs-across")
-    more = _links(left, wanted, sets, num, den)
+    left = cut_lineage(
+        _across(shared, roots, classes, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs-across"
+    )
+    known = sets.select(F.col("key").alias("k"))
+    more = sets.unionByName(_sets_of(left, texts, classes.join(known, F.col("key") == F.col("k"), "left_anti"), width))
     stars = roots.select(F.col("member").alias("a"), F.col("root").alias("b"))
-    roots = cut_lineage(components(stars.unionByName(more)), "roots")
+    roots = cut_lineage(components(stars.unionByName(_links(left, more, num, den))), "roots")
     return _with_ids(rows, classes, roots)
 
 
+def _sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """The whole sets that occur in pairs, from one text of each."""
+    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    wanted = cut_lineage(
+        classes.select("key", "first_id").join(keys, F.col("key") == F.col("k"), "left_semi"), "wanted-sets"
+    )
+    own = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select("key", "text")
+    return cut_lineage(own.mapInArrow(_sets(width), "key long, own binary"), "sets")
+
+
 def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
     chain = Window.partitionBy("token").orderBy(
         F.xxhash64("key", F.pmod("token", F.lit(ORDERS))), "key"
     )
-    pairs = shared.select(
-        "key", "n", "pos", *[F.lag(c).over(chain).alias(f"{c}2") for c in ("key", "n", "pos")]
-    ).where(F.col("key2").isNotNull() & _may_link("n", "pos", "n2", "pos2", num, den))
-    return _pairs(pairs)
+    met = F.array(*[F.lag(F.struct("key", "n", "pos"), k).over(chain) for k in range(1, REACH + 1)])
+    pairs = shared.select("key", "n", "pos", met.alias("met")).select(
+        "key", "n", "pos", F.inline("met").alias("key2", "n2", "pos2")
+    )
+    return _pairs(pairs.where(F.col("key2").isNotNull() & _may_link("n", "pos", "n2", "pos2", num, den)))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -273,7 +289,24 @@ def _pairs(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _across(shared: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _few_bits_apart(x: str, y: str, n_both: Column, num: int, den: int) -> Column:
+    """Suffix filter: the parity bits of two sets don't differ in more than a link allows."""
+    most = n_both - 2 * F.ceil(n_both * num / (num + den) - F.lit(1e-9))
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+    return apart <= most
+
+
+def _close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    bits = classes.select("key", "parity")
+    return (
+        pairs.join(bits.select(F.col("key").alias("a"), F.col("parity").alias("pa")), "a")
+        .join(bits.select(F.col("key").alias("b"), F.col("parity").alias("pb")), "b")
+        .where(_few_bits_apart("pa", "pb", F.col("n_both"), num, den))
+        .select("a", "b")
+    )
+
+
+def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a group whose sets are in different components, by bands of set size."""
     group = Window.partitionBy("token")
     ratio = float(np.log(den / num))
@@ -288,36 +321,39 @@ def _across(shared: DataFrame, roots: DataFrame, num: int, den: int) -> DataFram
         "split-groups",
     )
     # The smaller set of a pair is at most one band below; the margin is for rounding.
+    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1, F.col("band") + 2)
     small = split.select(
-        *[F.col(c).alias(f"{c}2") for c in ("token", "key", "n", "pos", "root")],
-        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1, F.col("band") + 2)).alias("band2"),
+        *[F.col(c).alias(f"{c}2") for c in ("token", "key", "n", "pos", "root")], F.explode(near).alias("band2")
     )
-    met = split.join(
-        small,
+    # Groups and bands in which only one component is left have nothing to compare.
+    placed = (
+        split.select("token", "band", "key", "root").unionByName(
+            split.select("token", F.explode(near).alias("band"), "key", "root")
+        )
+        .groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    )
+    placed = cut_lineage(placed.select(F.col("token").alias("t"), F.col("band").alias("b")), "mixed-bands")
+    bits = classes.select(F.col("key").alias("k"), "parity")
+    live = split.join(placed, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b")), "left_semi")
+    live = cut_lineage(live.join(bits, F.col("key") == F.col("k")).drop("k"), "live-large")
+    less = small.join(placed, (F.col("token2") == F.col("t")) & (F.col("band2") == F.col("b")), "left_semi")
+    less = cut_lineage(less.join(bits, F.col("key2") == F.col("k")).drop("k").withColumnRenamed("parity", "parity2"), "live-small")
+    met = live.join(
+        less,
         (F.col("token") == F.col("token2"))
         & (F.col("band") == F.col("band2"))
         & (F.struct("n", "key") > F.struct("n2", "key2"))
         & (F.col("root") != F.col("root2"))
-        & _may_link("n", "pos", "n2", "pos2", num, den),
+        & _may_link("n", "pos", "n2", "pos2", num, den)
+        & _few_bits_apart("parity", "parity2", F.col("n") + F.col("n2"), num, den),
     )
-    return _pairs(met)
+    return _pairs(met).select("a", "b")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs at the threshold: suffix filter, then one exact comparison each."""
-    strata = classes.select("key", "strata")
-    most = F.col("n_both") - 2 * F.ceil(F.col("n_both") * num / (num + den) - F.lit(1e-9))
-    apart = F.aggregate(
-        F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, d: t + d
-    )
-    close = (
-        pairs.join(strata.select(F.col("key").alias("a"), F.col("strata").alias("sa")), "a")
-        .join(strata.select(F.col("key").alias("b"), F.col("strata").alias("sb")), "b")
-        .where(apart <= most)
-        .select("a", "b")
-    )
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs at the threshold, one exact comparison each."""
     return (
-        close.join(sets.select(F.col("key").alias("a"), F.col("own").alias("xa")), "a")
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("xa")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("own").alias("xb")), "b")
         .select("a", "b", "xa", "xb")
         .mapInArrow(_verified(num, den), "a long, b long")

@@ -203,15 +203,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         for r in rows.where("toxic = 0").select("text").mapInArrow(_counted(wanted), "term string, n long").groupBy("term").agg(total).collect()
     }
     terms = tuple(chosen_terms(toxic, clean, n_toxic, n_clean))
-    measured = rows.mapInArrow(_measured(spark.sparkContext.broadcast(Model(terms))), "toxic int, features array<double>").collect()
+    measured = rows.mapInArrow(_measured(terms), "toxic int, features array<double>").collect()
     x = np.array([r.features for r in measured])
     y = np.array([r.toxic for r in measured], float)
     return Model(terms, tuple(logistic(x, y)))
 
 
-def _measured(model):
+def _measured(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Matches(model.value.terms)
+        known = Matches(terms)
         for batch in batches:
             features = [features_of(hits_of(t or "", known), len(_WORD.findall(t or ""))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -230,8 +230,8 @@ def _scored(model):
     kind = pa.list_(pa.struct([("word", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("addressed", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Matches(model.value.terms)
-        weights = np.array(model.value.weights)
+        known = Matches(model.terms)
+        weights = np.array(model.weights)
         for batch in batches:
             hits, scores = [], []
             for text in batch.column("text").to_pylist():
@@ -257,7 +257,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """
     packed = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), f"row {kind}, hits array<{_HIT}>, score double").select("row.*", "hits", "score")
+    return packed.mapInArrow(_scored(model), f"row {kind}, hits array<{_HIT}>, score double").select("row.*", "hits", "score")
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
