@@ -14,9 +14,11 @@ import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ END = 1
 #: Width of a bin of lengths and most pieces in a pattern, for the least-squares fit.
 BIN = 32
 PARTS = 3
-#: Words whose ids a task keeps.
+#: Words whose ids a task keeps, new words that are encoded in one text, bytes of text in a step.
 CACHE_WORDS = 300_000
+TOGETHER = 256
+TEXT_BYTES = 2_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -39,24 +43,71 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Token ids of a word as little-endian 32-bit numbers, kept for words seen lately.
+class WordIds:
+    """Token ids of words as little-endian 32-bit numbers, kept for words seen lately.
 
     This vocabulary splits at white space and drops it, so a text's ids are those of its words.
+    A word of plain letters is one pre-token, and only the last token of a pre-token carries the
+    end-of-word mark: many new words are encoded in one text and cut apart there. Punctuation
+    after the letters is a pre-token of its own; any other word is encoded alone.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
-        return value
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of words."""
+        new = {w for words in texts for w in words if w not in self.words}
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = {w for words in texts for w in words}
+        self._learn(new)
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in texts]
+
+    def _learn(self, new: set[bytes]) -> None:
+        cut = []
+        for word in new:
+            text = word.decode()
+            letters = text.rstrip(punctuation)
+            if letters.isalpha() and (letters.isascii() or (max(letters) < "\u0250" and "\u0130" not in letters)):
+                cut.append((word, letters.lower(), text[len(letters) :]))
+            else:
+                self.words[word] = self._alone(text)
+        if len(self.letters) + len(cut) > CACHE_WORDS:
+            self.letters.clear()
+        self._learn_letters(sorted({x for _, x, _ in cut if x not in self.letters}))
+        for word, letters, marks in cut:
+            if marks not in self.marks:
+                if len(self.marks) >= CACHE_WORDS:
+                    self.marks = {"": b""}
+                self.marks[marks] = self._alone(marks)
+            self.words[word] = self.letters[letters] + self.marks[marks]
+
+    def _learn_letters(self, new: list[str]) -> None:
+        parts = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, found in zip(parts, encoded, strict=True):
+            ids = np.array(found.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):
+                raise ValueError("the vocabulary doesn't mark ends of words")
+            data, at = ids.tobytes(), 0
+            for word, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.letters[word] = data[at:stop]
+                at = stop
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _tokenised(path: str, length: int):
@@ -64,21 +115,33 @@ def _tokenised(path: str, length: int):
         known = WordIds(path)
         last = np.array([END], "<u4").tobytes()
         for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = b"".join(map(known.__getitem__, text.split() if text else ())) + last
-                for i, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    rows.append((doc_id, i, at // 4, len(part) // 4, part))
-                held += len(ids)
-                if held > 8_000_000:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            yield _batch(rows)
+            for start, end in _stretches(batch.column("text")):
+                part = batch.slice(start, end - start)
+                texts = [text.split() if text else [] for text in part.column("text").to_pylist()]
+                rows = []
+                for doc_id, own in zip(part.column("doc_id").to_pylist(), known.of(texts), strict=True):
+                    ids = own + last
+                    for i, at in enumerate(range(0, len(ids), 4 * length)):
+                        piece = ids[at : at + 4 * length]
+                        rows.append((doc_id, i, at // 4, len(piece) // 4, piece))
+                yield _batch(rows)
 
     return run
 
 
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about TEXT_BYTES of text together, one at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().tolist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > TEXT_BYTES:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[]] * 5
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
