@@ -183,18 +183,15 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "t
     for rule in ordered(docs, rules):
         rows = with_features(rows, rule.features, F.col("__q_kept"))
         rows = rows.withColumn("__q_kept", F.col("__q_kept") & ~rule.column())
-    return rows
+    # Spark moves a later condition on the verdict below all these projections, and so would write
+    # out each feature many times in one expression. A condition on a row number stops it.
+    return rows.withColumn("__q_at", F.monotonically_increasing_id()).where("__q_at >= 0").drop("__q_at")
 
 
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """The rows that no rule rejects, with the columns of the input.
-
-    Spark would move a plain condition on the verdict below all projections, and so write out
-    each feature many times in one expression. It doesn't move a condition on a row number.
-    """
+    """The rows that no rule rejects, with the columns of the input."""
     packed = docs.select(F.struct("*").alias("__q_row"), no_text(docs["text"]).alias("__q_text"))
-    judged = cascade(packed, rules).select("__q_row", "__q_kept", F.monotonically_increasing_id().alias("__q_at"))
-    return judged.where(F.col("__q_kept") & (F.col("__q_at") >= 0)).select("__q_row.*")
+    return cascade(packed, rules).where("__q_kept").select("__q_row.*")
 
 
 def quality_columns(docs: DataFrame) -> DataFrame:
