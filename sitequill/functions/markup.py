@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitequill.functions.basics import let
+from sitequill.functions.text import decode_entities
 
 # The elements that may stay, each with the attributes it may keep.
 ALLOWED_TAGS = {
@@ -49,17 +50,43 @@ LINK_ATTRIBUTES = ["href", "src", "cite"]
 TOKENS = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|[^<]+|<"
 TAG_NAME = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
 ATTRIBUTE = r"""(?s)([a-zA-Z][a-zA-Z0-9-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-SCHEME = r"^[\s\x00-\x20]*([a-zA-Z][a-zA-Z0-9+.\s-]*):"
+# Browsers end a numeric reference at the first other character, with or without its semicolon.
+OPEN_REFERENCE = r"&#([xX][0-9a-fA-F]++|[0-9]++)(?!;)"
+LINK_NAMES = [("colon", ":"), ("Tab", ""), ("NewLine", "")]
+LEFT_REFERENCE = r"&#[xX]?[0-9a-fA-F]+;"
+IGNORED_IN_LINK = r"(?U)[\s\p{Cntrl}\p{Cf}]+"
+SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
+DECODE_ROUNDS = 4
 
 
 def _allowed_pairs() -> list[str]:
     return [f"{tag} {name}" for tag, names in ALLOWED_TAGS.items() for name in names]
 
 
+def _decode_once(value: Column) -> Column:
+    """One round of entity decoding, with the references that matter in a link."""
+    for name, char in LINK_NAMES:
+        value = F.replace(value, F.lit(f"&{name};"), F.lit(char))
+    return decode_entities(F.regexp_replace(value, OPEN_REFERENCE, "&#$1;"))
+
+
+def _plain_link(value: Column) -> Column:
+    """The link as a browser reads it; null if it still changes after DECODE_ROUNDS rounds."""
+    rounds = F.sequence(F.lit(1), F.lit(DECODE_ROUNDS))
+    decoded = F.aggregate(rounds, value, lambda v, _: _decode_once(v))
+    settled = let(decoded, lambda v: F.when(_decode_once(v) == v, v))
+    plain = F.when(value.contains("&"), settled).otherwise(value)
+    return F.regexp_replace(F.regexp_replace(plain, LEFT_REFERENCE, ""), IGNORED_IN_LINK, "")
+
+
 def _safe_link(value: Column) -> Column:
-    """True when the value names no scheme or one of the allowed ones."""
-    scheme = F.lower(F.regexp_replace(F.regexp_extract(value, SCHEME, 1), r"\s", ""))
-    return (scheme == "") | scheme.isin(*ALLOWED_SCHEMES)
+    """True when the decoded value names no scheme or one of the allowed ones."""
+
+    def safe(link: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(link, SCHEME, 1))
+        return F.coalesce((scheme == "") | scheme.isin(*ALLOWED_SCHEMES), F.lit(False))
+
+    return let(_plain_link(value), safe)
 
 
 def _keep_attribute(tag: Column, attribute: Column) -> Column:

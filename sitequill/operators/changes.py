@@ -40,7 +40,6 @@ def stale_keys(changes: DataFrame, content: DataFrame, settings: DataFrame) -> D
         changed_posts(changes, content),
         settings.select("site_id", "post_types"),
         ["site_id"],
-        spread_by="post_id",
     )
     kind = lambda name, key: F.struct(F.lit(name).alias("kind"), key.alias("artifact_key"))
     keys = F.array(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequill.functions.text import slug_normalise
-from sitequill.operators.scale import lookup_join, spread_join, top_n
+from sitequill.operators.scale import lookup_join, newest_first_position, top_n
 
 PUBLISHED = "publish"
 DEFAULT_LIMIT = 500
@@ -28,7 +28,7 @@ def of_types(content: DataFrame, types: Sequence[str] | DataFrame) -> DataFrame:
     """Keep the allowed types: one list for all sites, or settings rows with a list per site."""
     if isinstance(types, DataFrame):
         allowed = types.select("site_id", F.col("post_types").alias("_types"))
-        joined = lookup_join(content, allowed, ["site_id"], spread_by="post_id", how="inner")
+        joined = lookup_join(content, allowed, ["site_id"], "inner")
         return joined.filter(F.array_contains("_types", F.col("post_type"))).drop("_types")
     return content.filter(F.col("post_type").isin(*types))
 
@@ -46,12 +46,21 @@ def newest_published(
 ) -> DataFrame:
     """The newest published items of every site, ranked by ``site_rank``.
 
-    Only for a limit; with no limit use ``index.listing_rows``, which never gathers a site.
+    A limit below zero means all; such a site is numbered by many tasks.
     """
     rows = of_types(published(content), types)
     if query_hook:
         rows = query_hook(rows)
-    return top_n(rows, ["site_id"], newest_first(), limit, "site_rank", spread_by="post_id")
+    return ranked(rows, limit)
+
+
+def ranked(rows: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` rows of every site, or all, with their place in ``site_rank``."""
+    if limit >= 0:
+        return top_n(rows, ["site_id"], newest_first(), limit, "site_rank", spread_by="post_id")
+    whole = rows.withColumn("_site", F.lit(0))
+    numbered = newest_first_position(whole, "site_id", "_site", "published_at", "post_id")
+    return numbered.withColumnRenamed("position", "site_rank").drop("_site", "section")
 
 
 def newest_by_slug(content: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def by_slug(
     """
     found = of_types(newest_by_slug(query_hook(content) if query_hook else content), types)
     wanted = lookups.withColumn("slug", slug_normalise(F.col("slug")))
-    return spread_join(wanted, found, ["site_id", "post_type", "slug"], spread_by="lookup_id")
+    return lookup_join(wanted, found, ["site_id", "post_type", "slug"])
 
 
 def by_id(
@@ -86,7 +95,7 @@ def by_id(
     found = of_types(
         published(content).select("site_id", "post_id", "post_type", "slug", "title"), types
     )
-    return spread_join(lookups, found, ["site_id", "post_id"], spread_by="lookup_id")
+    return lookup_join(lookups, found, ["site_id", "post_id"])
 
 
 def counts_by_type(content: DataFrame, types: Sequence[str] | DataFrame) -> DataFrame:

@@ -60,11 +60,13 @@ def page_documents(
     content_hook: ColumnHook | None = None,
     document_hook: ColumnHook | None = None,
     strict: bool = True,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Documents (site_id, post_id, post_type, slug, content) for the given content rows.
 
-    The body becomes Markdown in the scan stage, before the shuffle that brings terms and
-    images to the page, so the page's HTML itself never travels.
+    ``wanted`` (site_id, post_id) restricts them. Terms, image, author and site are found for
+    narrow rows first. The body becomes Markdown in the scan stage and meets those details in
+    one join, so it travels at most once and the page's HTML never does.
     """
     html = content_hook(F.col("content")) if content_hook else F.col("content")
     pages = content.select(
@@ -72,20 +74,21 @@ def page_documents(
         "post_id",
         "post_type",
         "slug",
-        "author_id",
         "published_at",
         "modified_at",
         "permalink",
         clean_text(F.col("title")).alias("clean_title"),
         html_to_markdown(html, strict).alias("body"),
     )
-    sides = media.select("site_id", "post_id", "image_url", "image_alt")
-    rows = pages.join(term_strings(terms), ["site_id", "post_id"], "left").join(
-        sides, ["site_id", "post_id"], "left"
-    )
-    rows = with_author(rows, authors, hot_from=content)
+    post = ["site_id", "post_id"]
+    details = content.select(*post, "author_id")
+    if wanted is not None:
+        details = details.join(wanted, post, "left_semi")
+    sides = media.select(*post, "image_url", "image_alt")
+    details = details.join(term_strings(terms), post, "left").join(sides, post, "left")
     names = sites.select("site_id", "site_name", "home_url")
-    rows = lookup_join(rows, names, ["site_id"], spread_by="post_id", hot_from=content)
+    details = lookup_join(with_author(details, authors), names, ["site_id"]).drop("author_id")
+    rows = pages.join(details, post)
     text = document_text()
     return rows.select(
         "site_id",

@@ -14,11 +14,11 @@ from sitequill.operators.content import (
     DEFAULT_LIMIT,
     DataFrameHook,
     common_pages,
-    newest_first,
     of_types,
     published,
+    ranked,
 )
-from sitequill.operators.scale import lookup_join, newest_first_position, top_n
+from sitequill.operators.scale import lookup_join, newest_first_position
 from sitequill.operators.terms import term_strings
 
 ColumnHook = Callable[[Column], Column]
@@ -37,17 +37,15 @@ LISTED = [
 def with_label(rows: DataFrame, type_labels: DataFrame) -> DataFrame:
     """Plural label of the type, or the type with its first letter raised."""
     labels = type_labels.select("post_type", F.col("label").alias("_label"))
-    joined = lookup_join(rows, labels, ["post_type"], spread_by="post_id")
+    joined = lookup_join(rows, labels, ["post_type"])
     return joined.withColumn(
         "label", F.coalesce("_label", raise_first(F.col("post_type")))
     ).drop("_label")
 
 
-def with_author(
-    rows: DataFrame, authors: DataFrame, hot_from: DataFrame | None = None
-) -> DataFrame:
+def with_author(rows: DataFrame, authors: DataFrame) -> DataFrame:
     people = authors.select("author_id", "display_name", "archive_url")
-    return lookup_join(rows, people, ["author_id"], spread_by="post_id", hot_from=hot_from)
+    return lookup_join(rows, people, ["author_id"])
 
 
 def listing_source(
@@ -57,16 +55,18 @@ def listing_source(
 ) -> DataFrame:
     """The narrow rows an index needs, with page bodies already cut to their excerpts.
 
-    Cutting before any shuffle keeps whole pages off the network.
+    Bodies are cut in the scan, before the join that finds the allowed types, so whole pages
+    never travel. A query hook sees the published rows.
     """
-    rows = of_types(published(content), types)
+    rows = published(content)
     if query_hook:
         rows = query_hook(rows)
-    return rows.select(
+    narrow = rows.select(
         "*",
         clean_text(F.col("title")).alias("entry_title"),
         excerpt(F.col("excerpt"), F.col("content")).alias("entry_excerpt"),
     ).select(*LISTED)
+    return of_types(narrow, types)
 
 
 def entry_text(position: Column) -> Column:
@@ -110,15 +110,10 @@ def index_entries(
     Output: site_id, post_id, label, section_order (site rank of the section's first item),
     position (1-based within the section), entry.
     """
-    newest = top_n(
-        listing_source(content, index_types, query_hook),
-        ["site_id"],
-        newest_first(),
-        limit,
-        "site_rank",
-        spread_by="post_id",
-    )
+    newest = ranked(listing_source(content, index_types, query_hook), limit)
     rows = _described(newest, terms, authors, type_labels)
+    if limit < 0:
+        return _unlimited_entries(rows, entry_hook)
     # A site has at most `limit` rows here, so windows over a site stay small.
     section = Window.partitionBy("site_id", "label")
     placed = rows.withColumn(
@@ -130,6 +125,16 @@ def index_entries(
     )
 
 
+def _unlimited_entries(rows: DataFrame, entry_hook: ColumnHook | None) -> DataFrame:
+    placed = newest_first_position(rows, "site_id", "label", "published_at", "post_id")
+    first = placed.groupBy("site_id", "label").agg(F.min("site_rank").alias("section_order"))
+    placed = lookup_join(placed, first, ["site_id", "label"])
+    entry = entry_text(F.col("position"))
+    return placed.withColumn("entry", entry_hook(entry) if entry_hook else entry).select(
+        "site_id", "post_id", "post_type", "label", "section_order", "position", "entry"
+    )
+
+
 def listing_rows(
     content: DataFrame,
     terms: DataFrame,

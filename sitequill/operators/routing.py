@@ -13,7 +13,7 @@ from sitequill.functions.text import client_key, key_normalise, slug_normalise
 from sitequill.operators.agents import agent_name
 from sitequill.operators.content import newest_by_slug, of_types
 from sitequill.operators.limits import ANCHORED, with_limits
-from sitequill.operators.scale import lookup_join, spread_join
+from sitequill.operators.scale import lookup_join
 
 # Routes, states and messages.
 INDEX_ROUTE = r"^/llms\.txt$"
@@ -81,7 +81,7 @@ def with_route(requests: DataFrame) -> DataFrame:
 
 
 def with_site_settings(requests: DataFrame, settings: DataFrame) -> DataFrame:
-    return lookup_join(requests, settings, ["site_id"], spread_by="request_id")
+    return lookup_join(requests, settings, ["site_id"])
 
 
 def with_client(requests: DataFrame) -> DataFrame:
@@ -107,12 +107,8 @@ def with_item(
     requests: DataFrame,
     content: DataFrame,
     settings: DataFrame,
-    plain_log: DataFrame | None = None,
 ) -> DataFrame:
-    """Add found_id: the published, allowed item or page that the request asks for.
-
-    ``plain_log`` has the same routes and is cheaper to read; hot pages are counted on it.
-    """
+    """Add found_id: the published, allowed item or page that the request asks for."""
 
     def wanted(rows: DataFrame) -> DataFrame:
         page = F.when(F.col("endpoint") == "page", "page")
@@ -120,12 +116,10 @@ def with_item(
             "wanted_slug", F.coalesce("route_slug", slug_normalise(F.col("route_page")))
         )
 
-    return spread_join(
+    return lookup_join(
         wanted(requests),
         _targets(content, settings),
         ["site_id", "wanted_type", "wanted_slug"],
-        spread_by="request_id",
-        hot_from=None if plain_log is None else wanted(plain_log),
     ).drop("wanted_type", "wanted_slug")
 
 
@@ -172,10 +166,8 @@ def redirects(
     homes = sites.join(fronts, ["site_id", "front_page_id"], "left").select(
         "site_id", "home_url", F.col("slug").alias("front_slug")
     )
-    rows = lookup_join(agents, homes, ["site_id"], spread_by="request_id", sized_by=sites)
-    rows = spread_join(
-        rows, viewed, ["site_id", "path"], spread_by="request_id", hot_from=agents
-    )
+    rows = lookup_join(agents, homes, ["site_id"])
+    rows = lookup_join(rows, viewed, ["site_id", "path"])
     item_target = F.concat(
         "home_url", F.lit(ITEM_PATH), F.col("item.post_type"), F.lit("/"), F.col("item.slug")
     )
@@ -218,12 +210,13 @@ def outcomes(
         mode,
         counted=F.col("enabled") & F.col("limit_enabled"),
     )
-    found = with_item(judged, content, settings, plain_log=routed)
+    found = with_item(judged, content, settings)
     if overrides is not None:
-        fixed = overrides.select(
+        # A null text is no override; an empty one says that there is no page.
+        fixed = overrides.filter(F.col("content").isNotNull()).select(
             "site_id", "route_page", nonempty(F.col("content")).alias("has_override")
         )
-        found = lookup_join(found, fixed, ["site_id", "route_page"], spread_by="request_id")
+        found = lookup_join(found, fixed, ["site_id", "route_page"])
     else:
         found = found.withColumn("has_override", F.lit(None).cast("boolean"))
     item, page = F.col("endpoint") == "item", F.col("endpoint") == "page"

@@ -3,82 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A lookup side up to this many rows is broadcast; the rows are narrow (at most about 1 KB).
-SMALL_SIDE_ROWS = 20_000
-# Keys with more fact rows than this are split over SALTS tasks in the other path.
-HOT_KEY_ROWS = 5_000_000
-SALTS = 256
+from sitequill.session import cut_lineage
 
 
-def lookup_join(
-    fact: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread_by: str,
-    how: str = "left",
-    sized_by: DataFrame | None = None,
-    hot_from: DataFrame | None = None,
-    small_side_rows: int = SMALL_SIDE_ROWS,
-) -> DataFrame:
-    """Join a large table with a side table (settings, sites, authors) of one row per key.
+def lookup_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a large table with a side table of one narrow row per key, however skewed.
 
-    The side is broadcast only after its rows were counted; the count stops one past the
-    limit. ``sized_by`` is a cheaper table with at least as many rows to count instead.
-    Beyond the limit the join shuffles and splits hot keys, see ``spread_join``.
-    """
-    counted = lookup if sized_by is None else sized_by
-    if counted.limit(small_side_rows + 1).count() <= small_side_rows:
-        return fact.join(F.broadcast(lookup), list(on), how)
-    return spread_join(fact, lookup, on, spread_by, how, hot_from)
-
-
-def spread_join(
-    fact: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread_by: str,
-    how: str = "left",
-    hot_from: DataFrame | None = None,
-    hot_key_rows: int = HOT_KEY_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Shuffle join with a lookup table of one row per key, however large and skewed.
-
-    Keys that are hot on the fact side are split: their fact rows get a salt and their one
-    lookup row is repeated once per salt. Other rows join as usual. The counts that find hot
-    keys read only the key columns and combine on the map side; ``hot_from`` is an earlier
-    form of ``fact`` with the same keys that is cheaper to read. The list of hot keys is at
-    most ``rows / hot_key_rows`` long, which bounds its broadcast.
+    Adaptive execution takes the side's real size in bytes and broadcasts it below Spark's own
+    threshold; beyond that it splits the rows of a hot key over many tasks. It can do so only
+    if both inputs are shuffled for the join, so the key is one struct: a side that was grouped
+    by the same columns is then shuffled as well. A null in the key matches nothing.
     """
     on = list(on)
-    hot = (
-        (fact if hot_from is None else hot_from)
-        .groupBy(*on)
-        .count()
-        .filter(F.col("count") > hot_key_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    # A null key matches nothing, so its rows may go anywhere.
-    unmatched = reduce(or_, [F.col(k).isNull() for k in on])
-    salted = fact.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | unmatched, salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = (
-        lookup.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return salted.drop("_hot").join(repeated, [*on, "_salt"], how).drop("_salt")
+    key = F.struct(*on)
+    rest = [c for c in lookup.columns if c not in on]
+    side = lookup.dropna(subset=on).select(key.alias("_key"), *rest)
+    return fact.withColumn("_key", key).join(side, "_key", how).drop("_key")
 
 
 def top_n(
@@ -109,70 +53,34 @@ def top_n(
 
 
 def newest_first_position(
-    rows: DataFrame,
-    group: str,
-    part: str,
-    ts: str,
-    unique_id: str,
-    ids_per_block: int = 65_536,
+    rows: DataFrame, group: str, part: str, ts: str, unique_id: str
 ) -> DataFrame:
     """Number all rows newest first without sorting a whole group in one task.
 
     Adds ``position`` (within group and part) and ``section`` (the parts of a group numbered
-    by their newest row). Rows fall into days and, inside one timestamp, into blocks of the
-    unique id. Counts of both levels, combined on the map side, give every block the number
-    of rows before it. A window then numbers rows only inside a block, which holds at most
-    ``ids_per_block`` rows because the id is unique.
+    by their newest row). Rows are range partitioned by group, part, time and id, so a hot part
+    or a day with a bulk import is cut into many ranges; each partition numbers its own rows,
+    and counts per partition and part say where it starts. The sorted rows are written once,
+    because both steps have to see the same ranges.
     """
     keys = [group, part]
-    marked = rows.withColumn("_day", F.col(ts).cast("date")).withColumn(
-        "_block", F.floor(F.col(unique_id) / ids_per_block)
-    )
-    blocks = marked.groupBy(*keys, "_day", ts, "_block").agg(
-        F.count("*").alias("_n"), F.max(unique_id).alias("_last_id")
-    )
-    days = blocks.groupBy(*keys, "_day").agg(
-        F.sum("_n").alias("_day_n"), F.max(F.struct(ts, "_last_id")).alias("_newest")
-    )
-
-    def before(over: Sequence[str], order: Sequence[Column], size: str) -> Column:
-        window = Window.partitionBy(*over).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return F.coalesce(F.sum(size).over(window), F.lit(0))
-
-    day_offsets = days.select(
-        *keys, "_day", before(keys, [F.desc("_day")], "_day_n").alias("_day_before")
-    )
-    sections = (
-        days.groupBy(*keys)
-        .agg(F.max("_newest").alias("_newest"))
-        .withColumn(
-            "section",
-            F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_newest"))),
-        )
-        .drop("_newest")
-    )
-    block_offsets = blocks.select(
-        *keys,
-        "_day",
-        ts,
-        "_block",
-        before([*keys, "_day"], [F.desc(ts), F.desc("_block")], "_n").alias("_block_before"),
-    )
-    # All of these hold counts, not rows: one line per part, per day, per timestamp and block.
-    offsets = (
-        block_offsets.join(day_offsets, [*keys, "_day"])
-        .join(sections, keys)
-        .select(
-            *keys, ts, "_block", "section",
-            (F.col("_day_before") + F.col("_block_before")).alias("_before"),
-        )
+    order = [F.col(group), F.col(part), F.desc(ts), F.desc(unique_id)]
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper bits of this id are the partition, the lower 33 count its rows.
+    numbered = cut_lineage(spread.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    numbered = numbered.withColumn("_range", F.shiftright("_at", 33))
+    ranges = numbered.groupBy(*keys, "_range").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first"), F.max(F.struct(ts, unique_id)).alias("_newest")
     )
-    inside = Window.partitionBy(*keys, ts, "_block").orderBy(F.desc(unique_id))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    newest = ranges.groupBy(*keys).agg(F.max("_newest").alias("_newest"))
+    sections = newest.withColumn(
+        "section", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_newest")))
+    ).drop("_newest")
+    starts = starts.join(sections, keys).select(*keys, "_range", "_first", "_before", "section")
     return (
-        marked.drop("_day")
-        .join(offsets, [*keys, ts, "_block"])
-        .withColumn("position", F.col("_before") + F.row_number().over(inside))
-        .drop("_before", "_block")
+        lookup_join(numbered, starts, [*keys, "_range"], "inner")
+        .withColumn("position", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int"))
+        .drop("_at", "_range", "_first", "_before")
     )

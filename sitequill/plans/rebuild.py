@@ -18,11 +18,15 @@ from sitequill.session import cut_lineage
 from sitequill.sources.tables import append_artifacts
 
 
-def render_items(tables: Tables, content: DataFrame, now: Column) -> DataFrame:
-    """Item artefacts for the given content rows."""
-    pages = page_documents(content, tables.terms, tables.authors, tables.media, tables.sites)
+def render_items(
+    tables: Tables, content: DataFrame, now: Column, wanted: DataFrame | None = None
+) -> DataFrame:
+    """Item artefacts for the given content rows, or those of ``wanted`` (site_id, post_id)."""
+    pages = page_documents(
+        content, tables.terms, tables.authors, tables.media, tables.sites, wanted=wanted
+    )
     ttl = tables.settings.select("site_id", F.col("item_ttl_s").alias("ttl_s"))
-    return lookup_join(pages, ttl, ["site_id"], spread_by="post_id").select(
+    return lookup_join(pages, ttl, ["site_id"]).select(
         "site_id",
         item_key(F.col("post_type"), F.col("slug")).alias("artifact_key"),
         F.lit("item").alias("kind"),
@@ -61,11 +65,7 @@ def render_all(tables: Tables, path: str, now: Column, batch: str | int = 0) ->
     # One post per slug: of posts that share a slug only the newest can be reached.
     newest = of_types(newest_by_slug(tables.content), tables.settings)
     items = render_items(
-        tables,
-        published(tables.content).join(
-            newest.select("site_id", "post_id"), ["site_id", "post_id"], "left_semi"
-        ),
-        now,
+        tables, published(tables.content), now, newest.select("site_id", "post_id")
     )
     listings = render_listings(tables, None, now)
     append_artifacts(items.unionByName(listings), path, batch)

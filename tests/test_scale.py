@@ -17,25 +17,26 @@ def lookup(spark):
     return spark.createDataFrame([(k, k.upper()) for k in ["hot", "a", "b", "c", "d"]], "k string, v string")
 
 
-def test_spread_join_equals_a_plain_join(spark):
+def test_lookup_join_equals_a_plain_join(spark):
     fact, side = skewed(spark), lookup(spark)
+    side = side.union(spark.createDataFrame([(None, "NONE")], side.schema))
     for how in ("left", "inner"):
         expected = sorted(fact.join(side, "k", how).select("id", "v").collect())
-        spread = scale.spread_join(fact, side, ["k"], "id", how, hot_key_rows=50, salts=8)
-        assert sorted(spread.select("id", "v").collect()) == expected
-        small = scale.lookup_join(fact, side, ["k"], "id", how)
-        large = scale.lookup_join(fact, side, ["k"], "id", how, small_side_rows=2)
-        assert sorted(small.select("id", "v").collect()) == expected
-        assert sorted(large.select("id", "v").collect()) == expected
+        got = scale.lookup_join(fact, side, ["k"], how)
+        assert sorted(got.select("id", "v").collect()) == expected
 
 
-def test_only_a_counted_small_side_is_broadcast(spark):
-    fact, side = skewed(spark), lookup(spark)
-    plan = scale.lookup_join(fact, side, ["k"], "id", small_side_rows=2)
-    hints = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "_hot" in hints
-    plan = scale.lookup_join(fact, side, ["k"], "id")
-    assert "_hot" not in plan._jdf.queryExecution().optimizedPlan().toString()
+def test_both_sides_of_a_large_lookup_are_shuffled_for_the_join(spark):
+    """Only then adaptive execution can split a hot key; a grouped side is no exception."""
+    fact, side = skewed(spark), lookup(spark).groupBy("k").agg(F.max("v").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = scale.lookup_join(fact, side, ["k"])
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        executed = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and executed.count("hashpartitioning(_key") == 2
 
 
 def test_top_n_with_ties(spark):
@@ -69,7 +70,7 @@ def test_positions_equal_row_number(spark):
         .withColumn("f", F.min("r").over(Window.partitionBy("site", "label")))
         .withColumn("s", F.dense_rank().over(Window.partitionBy("site").orderBy("f")))
     )
-    got = scale.newest_first_position(rows, "site", "label", "ts", "id", ids_per_block=16)
+    got = scale.newest_first_position(rows, "site", "label", "ts", "id")
     assert sorted(got.select("id", "position", "section").collect()) == sorted(
         plain.select("id", "p", "s").collect()
     )
