@@ -237,6 +237,8 @@ FROM content JOIN settings USING (site_id)
 WHERE {PUBLISHED} AND list_contains(post_types, post_type)
 QUALIFY site_rank <= 5"""
 
+ORACLE["published_all"] = ORACLE["published_topn"].replace("QUALIFY site_rank <= 5", "")
+
 ORACLE["lookup_by_slug"] = f"""WITH {CONTENT}, {SETTINGS}, {NEWEST}, {LOOKUPS},
 wanted AS (SELECT lookup_id, site_id, post_type,
   regexp_replace(lower(slug), '[^a-z0-9-]', '-', 'g') AS slug FROM lookups)
@@ -601,6 +603,14 @@ def _safe(text: str) -> str:
 
 
 ORACLE["safe_markup"] = f"SELECT page_id, {_safe('html')} AS safe FROM pages"
+ORACLE["safe_links"] = r"""
+SELECT doc_id, '<a' || CASE doc_id % 11
+    WHEN 0 THEN ' href="https://x/' || doc_id || '"'
+    WHEN 6 THEN ' href="mailto://x/' || doc_id || '"'
+    WHEN 7 THEN ' href="/path//x/' || doc_id || '"'
+    WHEN 10 THEN ' href="h&#116;tps://x/' || doc_id || '"'
+    ELSE '' END || ' title="t">' || regexp_extract(text, '[a-zA-Z]+') || '</a>' AS link
+FROM documents"""
 ORACLE["served_documents"] = f"""WITH {_INDEX}, {MEDIA}, {SETTINGS}, {SITE_INDEX},
 {PAGE_DOCUMENTS},
 unsafe AS (
@@ -921,3 +931,9 @@ for _stream, _batch in [("stream_limit_fixed", "limit_fixed"), ("stream_limit_re
     ORACLE[_stream] = f"SELECT * EXCLUDE (remaining) FROM ({ORACLE[_batch]})"
 ORACLE["stream_agent_activity"] = ORACLE["agent_activity"]
 ORACLE["stream_rebuild"] = f"WITH {_RENDERED} {_rebuilt('stale')}"
+
+# After every fifth page went offline and the listings were cleared, only live items are left.
+ORACLE["live_artifacts"] = f"WITH {_RENDERED} SELECT * FROM rendered WHERE kind = 'item'".replace(
+    "CASE WHEN page_id % 10 = 0 THEN 'draft'",
+    "CASE WHEN page_id % 5 = 0 THEN 'trash' WHEN page_id % 10 = 0 THEN 'draft'",
+)

@@ -28,10 +28,23 @@ def relevant(changes: DataFrame) -> DataFrame:
 
 
 def changed_posts(changes: DataFrame, content: DataFrame) -> DataFrame:
-    """Existing posts with a relevant change, each once; a busy post collapses map-side."""
-    touched = relevant(changes).select("site_id", "post_id").distinct()
+    """Posts with a relevant change, each once; a busy post collapses map-side.
+
+    A post that is gone from the content is known only if the change row carries its
+    ``post_type`` and ``slug``, as a deletion should.
+    """
     known = content.select("site_id", "post_id", "post_type", "slug", "status")
-    return touched.join(known, ["site_id", "post_id"])
+    post = ["site_id", "post_id"]
+    if not {"post_type", "slug"} <= set(changes.columns):
+        return relevant(changes).select(*post).distinct().join(known, post)
+    told = relevant(changes).groupBy(*post).agg(F.max(F.struct("ts", "post_type", "slug")).alias("told"))
+    found = told.join(known, post, "left").select(
+        *post,
+        F.coalesce("post_type", "told.post_type").alias("post_type"),
+        F.coalesce("slug", "told.slug").alias("slug"),
+        "status",
+    )
+    return found.dropna(subset=["post_type", "slug"])
 
 
 def stale_keys(changes: DataFrame, content: DataFrame, settings: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from sitequill.operators.routing import INDEX_PATH, ITEM_PATH
 from sitequill.operators.scale import lookup_join
 from sitequill.plans.tables import Tables
 from sitequill.session import cut_lineage
-from sitequill.sources.tables import append_artifacts
+from sitequill.sources.tables import append_artifacts, read_artifacts
 
 
 def render_items(
@@ -74,7 +74,11 @@ def render_all(tables: Tables, path: str, now: Column, batch: str | int = 0) ->
 def rebuilt(
     tables: Tables, changes: DataFrame, artifacts: DataFrame | None, now: Column
 ) -> DataFrame:
-    """New artefact rows for one batch of changes, removed ones as rows without content."""
+    """New artefact rows for one batch of changes, removed ones as rows without content.
+
+    Stored ``artifacts`` add the expired ones, and limit removals to keys that are stored.
+    Without them, as on a stream, every stale key that has no live source gets such a row.
+    """
     stale = ch.stale_keys(changes, tables.content, tables.settings)
     keys = stale if artifacts is None else ch.keys_to_rebuild(stale, ch.expired(artifacts, now))
     keys = cut_lineage(keys, "stale-keys")
@@ -83,9 +87,7 @@ def rebuilt(
     )
     sites = keys.filter(F.col("kind") == "listing").select("site_id").distinct()
     fresh = items.unionByName(render_listings(tables, sites, now))
-    if artifacts is None:
-        return fresh
-    # A stored key that is stale but has no published, allowed source any more is removed.
+    # A key that is stale but has no published, allowed source any more is removed.
     alive = (
         of_types(published(tables.content), tables.settings)
         .select("site_id", item_key(F.col("post_type"), F.col("slug")).alias("artifact_key"))
@@ -95,13 +97,21 @@ def rebuilt(
             )
         )
     )
-    gone = (
-        artifacts.join(keys, ["site_id", "kind", "artifact_key"], "left_semi")
-        .join(alive, ["site_id", "artifact_key"], "left_anti")
-    )
+    gone = keys.join(alive, ["site_id", "artifact_key"], "left_anti")
+    if artifacts is not None:
+        stored = artifacts.select("site_id", "kind", "artifact_key")
+        gone = gone.join(stored, ["site_id", "kind", "artifact_key"], "left_semi")
     return fresh.unionByName(ch.tombstones(gone, now))
 
 
+def rebuild_stored(
+    tables: Tables, changes: DataFrame, path: str, now: Column, batch: str | int
+) -> None:
+    """Batch job: render what changes and expiry make stale in the stored artefacts."""
+    stored = read_artifacts(changes.sparkSession, path)
+    append_artifacts(rebuilt(tables, changes, stored, now), path, batch)
+
+
 def served_documents(pages: DataFrame, indexes: DataFrame) -> DataFrame:
     """Page and index texts as they go out, one row per address: (site_id, path, content).
 

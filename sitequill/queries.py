@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,16 @@ def published_topn(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def published_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sample.content(spark, sf).select(
+        "site_id", "post_id", "post_type", "status", "published_at"
+    )
+    return content.newest_published(rows, _settings(spark, sf), limit=-1).select(
+        "site_id", "post_id", "post_type", "site_rank"
+    )
+
+
 @query
 def lookup_by_slug(spark: SparkSession, sf: str) -> DataFrame:
     found = content.by_slug(
@@ -266,6 +277,25 @@ def safe_markup(spark: SparkSession, sf: str) -> DataFrame:
 # --- agents -----------------------------------------------------------------------------
 
 
+LINK_FORMS = [
+    "https:", "javascript:", "&#106;avascript:", "java&#10;script:", "javascript&colon;",
+    "JAVA\tSCRIPT:", "mailto:", "/path", "data:", "&amp;#106;avascript:", "h&#116;tps:",
+]
+
+
+@query
+def safe_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The allow-list on links with plain, coded and split schemes around words of each text."""
+    form = F.get(F.array(*[F.lit(f) for f in LINK_FORMS]), (F.col("doc_id") % len(LINK_FORMS)).cast("int"))
+    word = F.regexp_extract("text", "[a-zA-Z]+", 0)
+    link = F.concat(
+        F.lit('<a href="'), form, F.lit("//x/"), F.col("doc_id").cast("string"),
+        F.lit('" onclick="x()" title="t">'), word, F.lit("</a>"),
+    )
+    rows = sample.table(spark, sf, "documents")
+    return rows.select("doc_id", markup.safe_markup(link).alias("link"))
+
+
 @query
 def agent_flags(spark: SparkSession, sf: str) -> DataFrame:
     return agents.with_agent(sample.requests(spark, sf)).select("request_id", "is_agent")
@@ -517,6 +547,27 @@ def rebuilt_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def live_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Render everything, then take every fifth page offline, then clear the listings."""
+    folder, now = work_folder(spark, "live"), F.timestamp_seconds(F.lit(NOW_S))
+    tables = Tables.sample(spark, sf)
+    rebuild.render_all(tables, folder, now, 0)
+    gone = F.col("post_id") % 5 == 0
+    later = tables.content.withColumn("status", F.when(gone, "trash").otherwise(F.col("status")))
+    trashed = tables.content.filter(gone).select(
+        "site_id", "post_id", now.alias("ts"), F.lit("trash").alias("event"),
+        F.col("status").alias("old_status"), F.lit("trash").alias("new_status"),
+        F.lit(False).alias("is_autosave"), F.lit(False).alias("is_revision"),
+    )
+    rebuild.rebuild_stored(replace(tables, content=later), trashed, folder, now, 1)
+    stored = read_artifacts(spark, folder)
+    rebuild.clear_kind(stored, text.LISTING_PREFIX, folder, now, "2")
+    return read_artifacts(spark, folder).select(
+        "site_id", "artifact_key", "kind", "ttl_s", F.col("source_hash").alias("content_md5")
+    )
+
+
 # --- streams ----------------------------------------------------------------------------
 
 
@@ -568,7 +619,7 @@ def stream_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark, "stream-rebuild")
     jobs.rebuild_stream(
         sample.changes_from(_event_stream(spark, sf), spark, sf),
-        Tables.sample(spark, sf),
+        lambda: Tables.sample(spark, sf),
         f"{folder}/out",
         f"{folder}/state",
         F.timestamp_seconds(F.lit(NOW_S)),

@@ -67,16 +67,19 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", "false")
         .parquet(f"{path}/batch=*")
     )
-    return latest_artifacts(rows)
+    return latest_artifacts(rows.withColumn("written_at", F.col("_metadata.file_modification_time")))
 
 
 def latest_artifacts(rows: DataFrame) -> DataFrame:
-    """Newest row per key. ``max`` of a struct combines on the map side before the shuffle."""
-    rest = ["generated_at", "content", "ttl_s", "source_hash"]
+    """Newest row per key: by time, and of one time the row that was written last.
+
+    The newest time is found on narrow rows; texts are joined with it once. Rows that were
+    written at once come from one batch, where a key has one row.
+    """
+    key, made = ["site_id", "kind", "artifact_key"], ["generated_at", "written_at"]
+    newest = rows.groupBy(*key).agg(F.max(F.struct(*made)).alias("newest")).select(*key, "newest.*")
     return (
-        rows.groupBy("site_id", "kind", "artifact_key")
-        .agg(F.max(F.struct(*rest)).alias("newest"))
-        .select("site_id", "artifact_key", "kind", *[f"newest.{name}" for name in rest])
-        .filter(F.col("content").isNotNull())
+        rows.filter(F.col("content").isNotNull())
+        .join(newest, [*key, *made], "left_semi")
         .select(*TABLES["artifacts"].fieldNames())
     )

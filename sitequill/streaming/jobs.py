@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,17 +56,21 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
 
 def rebuild_stream(
     changes: DataFrame,
-    tables: Tables,
+    tables: Callable[[], Tables],
     path: str,
     checkpoint: str,
     now: Column | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Follow a change feed: every micro-batch renders only the pages and indexes it touches."""
+    """Follow a change feed: every micro-batch renders only the pages and indexes it touches.
+
+    ``tables`` reads the tables anew for each micro-batch, so posts that came after the start
+    are seen. Keys whose source is gone get a row without content, which readers skip.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         at = F.current_timestamp() if now is None else now
-        append_artifacts(rebuilt(tables, batch, None, at), path, f"stream-{batch_id}")
+        append_artifacts(rebuilt(tables(), batch, None, at), path, f"stream-{batch_id}")
 
     return (
         changes.writeStream.option("checkpointLocation", checkpoint)
