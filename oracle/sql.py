@@ -640,6 +640,8 @@ ORACLE["agent_activity"] = f"""WITH {PG}, {REQUESTS}
 SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start_s, {AGENT} AS agent,
   count(*) AS requests FROM requests WHERE {AGENT} IS NOT NULL GROUP BY ALL"""
 
+ORACLE["site_agent_activity"] = ORACLE["agent_activity"].replace("SELECT CAST(epoch", "SELECT site_id, CAST(epoch")
+
 # --- addresses and settings -------------------------------------------------------------
 
 CLIENTS = f"""addressed AS (
@@ -930,6 +932,11 @@ ANTI JOIN rendered r ON r.site_id = a.site_id AND r.artifact_key = a.artifact_ke
 for _stream, _batch in [("stream_limit_fixed", "limit_fixed"), ("stream_limit_refresh", "limit_refresh")]:
     ORACLE[_stream] = f"SELECT * EXCLUDE (remaining) FROM ({ORACLE[_batch]})"
 ORACLE["stream_agent_activity"] = ORACLE["agent_activity"]
+ORACLE["stream_late_rows"] = """
+SELECT e.event_id AS request_id, CAST(e.user_id AS VARCHAR) AS client,
+  coalesce(e.event_id % 2 = 0 AND date_trunc('second', e.ts) < last, false) AS late
+FROM events e LEFT JOIN (
+  SELECT user_id, max(date_trunc('second', ts)) AS last FROM events WHERE event_id % 2 = 1 GROUP BY ALL) USING (user_id)"""
 ORACLE["stream_rebuild"] = f"WITH {_RENDERED} {_rebuilt('stale')}"
 
 # After every fifth page went offline and the listings were cleared, only live items are left.

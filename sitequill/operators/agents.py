@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,11 +104,16 @@ def with_agent(requests: DataFrame, tokens: Column | None = None) -> DataFrame:
     ).withColumn("is_agent", F.col("agent").isNotNull())
 
 
-def agent_activity(requests: DataFrame, width: str = "1 day") -> DataFrame:
-    """Requests per agent and time window; counted on the map side, so no agent is too busy."""
+def agent_activity(
+    requests: DataFrame, width: str = "1 day", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Requests per agent and time window, and per ``keys`` such as the site.
+
+    Counted on the map side, so no agent is too busy.
+    """
     return (
         requests.filter(F.col("agent").isNotNull())
-        .groupBy(F.window("ts", width).alias("w"), "agent")
+        .groupBy(*keys, F.window("ts", width).alias("w"), "agent")
         .agg(F.count("*").alias("requests"))
-        .select(F.col("w.start").alias("window_start"), "agent", "requests")
+        .select(*keys, F.col("w.start").alias("window_start"), "agent", "requests")
     )

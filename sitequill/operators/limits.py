@@ -81,8 +81,13 @@ STEPS = {ANCHORED: anchored_step, REFRESHED: refreshed_step}
 
 
 def _fold(keys: Sequence[str], mode: str):
-    """Walk through sorted seconds batch by batch, carrying one client's state across."""
+    """Walk through sorted seconds batch by batch, carrying one client's state across.
+
+    A client begins with the state in its columns ``mark`` and ``seen``, if it has one. They
+    come out as the state after the row, where a client's rows end in a batch of rows.
+    """
     step = STEPS[mode]
+    whole = lambda v: None if v is None or v != v else int(v)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, state = None, None
@@ -98,15 +103,20 @@ def _fold(keys: Sequence[str], mode: str):
             ends = np.append(starts[1:], len(rows))
             sec, n = rows["sec"].to_numpy(), rows["n"].to_numpy()
             limits, windows = rows["max_requests"].to_numpy(), rows["window_s"].to_numpy()
+            marks, seen = rows["mark"].tolist(), rows["seen"].tolist()
             base = np.empty(len(rows), dtype="int64")
+            after = pd.DataFrame({"mark": pd.array([pd.NA] * len(rows), "Int64"), "seen": pd.array([pd.NA] * len(rows), "Int64")}, index=rows.index)
             for a, b in zip(starts, ends):
                 key = tuple(values[a] for values in columns)
                 if key != open_key:
                     open_key, state = key, None
+                    if whole(seen[a]) is not None:
+                        state = (whole(marks[a]), whole(seen[a]))
                 base[a:b], state = step(
                     sec[a:b], n[a:b], int(limits[a]), int(windows[a]), state
                 )
-            yield rows[[*keys, "sec"]].assign(base=base)
+                after.iloc[b - 1] = [pd.NA if state[0] is None else state[0], state[1]]
+            yield rows[[*keys, "sec"]].assign(base=base, mark=after["mark"], seen=after["seen"])
 
     return run
 
@@ -119,9 +129,14 @@ def with_limits(
     mode: str = ANCHORED,
     counted: Column | None = None,
     request_id: str = "request_id",
+    state: DataFrame | None = None,
+    keep_state: bool = False,
 ) -> DataFrame:
     """Add request_count, limited, remaining and reset_at to every counted request.
 
+    ``state`` (keys, mark, seen) is what earlier logs left behind. With ``keep_state`` the
+    columns sec, mark and seen stay: of the last second of a client they are its new state.
+
     ``keys`` name the client and must not be null; ``max_requests`` and ``window_s`` are
     constants or columns that are constant per key. Rows where ``counted`` is false pass
     with ``limited`` false and null counts.
@@ -144,9 +159,14 @@ def with_limits(
             F.max("window_s").alias("window_s"),
         )
     )
+    if state is None:
+        none = F.lit(None).cast("bigint")
+        seconds = seconds.withColumn("mark", none).withColumn("seen", none)
+    else:
+        seconds = seconds.join(state.select(*keys, "mark", "seen"), keys, "left")
     key_fields = [requests.schema[k] for k in keys]
     schema = T.StructType(
-        [*key_fields, T.StructField("sec", T.LongType()), T.StructField("base", T.LongType())]
+        [*key_fields, *[T.StructField(name, T.LongType()) for name in ("sec", "base", "mark", "seen")]]
     )
     bases = (
         seconds.repartition(*keys)
@@ -174,7 +194,7 @@ def with_limits(
             "remaining", F.greatest(F.lit(0).cast("bigint"), F.col("max_requests") - shown)
         )
         .withColumn("reset_at", F.when(F.col("_counted"), F.col("sec") + F.col("window_s")))
-        .drop("_counted", "_place", "_reached", "base", "sec")
+        .drop("_counted", "_place", "_reached", "base", *([] if keep_state else ["sec", "mark", "seen"]))
     )
 
 

@@ -26,7 +26,7 @@ from sitequill.session import work_folder
 from sitequill.sources import sample
 from sitequill.sources.tables import read_artifacts
 from sitequill.streaming import jobs
-from sitequill.streaming.limits import stream_limits
+from sitequill.streaming.limits import limit_stream, read_limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,6 +322,14 @@ def agent_activity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def site_agent_activity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = agents.agent_activity(agents.with_agent(sample.requests(spark, sf)), keys=["site_id"])
+    return rows.select(
+        "site_id", F.unix_seconds("window_start").alias("window_start_s"), "agent", "requests"
+    )
+
+
 # --- addresses and settings -------------------------------------------------------------
 
 
@@ -578,18 +586,21 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_limited(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     folder = work_folder(spark, f"stream-{mode}")
-    rows = _event_stream(spark, sf).select(
+    rows = _user_requests(_event_stream(spark, sf))
+    limit_stream(rows, ["client"], f"{folder}/out", f"{folder}/state", mode).awaitTermination()
+    return read_limits(spark, f"{folder}/out").select(
+        "request_id", "client", "request_count", "limited"
+    )
+
+
+def _user_requests(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("request_id"),
         sample.utc("ts").alias("ts"),
         F.col("user_id").cast("string").alias("client"),
         F.lit(LIMIT).cast("bigint").alias("max_requests"),
         F.lit(WINDOW_S).cast("bigint").alias("window_s"),
     )
-    verdicts = stream_limits(rows, ["client"], mode)
-    jobs.append_stream(verdicts, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(
-        "request_id", "client", "request_count", "limited"
-    )
 
 
 @query
@@ -602,12 +613,26 @@ def stream_limit_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return _stream_limited(spark, sf, limits.REFRESHED)
 
 
+@query
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd events first, even ones in a second run: what is older than its client's last second."""
+    folder = work_folder(spark, "stream-late")
+    events = _user_requests(sample.table(spark, sf, "events"))
+    for part in (1, 0):
+        events.filter(F.col("request_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        limit_stream(source, ["client"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    late = read_limits(spark, f"{folder}/out", "late").select("request_id", "client", F.lit(True).alias("late"))
+    judged = read_limits(spark, f"{folder}/out").select("request_id", "client", F.lit(False).alias("late"))
+    return late.unionByName(judged)
+
+
 @query
 def stream_agent_activity(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark, "stream-activity")
     rows = sample.requests_from(_event_stream(spark, sf), spark, sf)
     jobs.activity_stream(
-        agents.with_agent(rows), f"{folder}/out", f"{folder}/state", "1 day", "1 hour"
+        agents.with_agent(rows), f"{folder}/out", f"{folder}/state", "1 day"
     ).awaitTermination()
     return jobs.read_activity(spark, f"{folder}/out").select(
         F.unix_seconds("window_start").alias("window_start_s"), "agent", "requests"

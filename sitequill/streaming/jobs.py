@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,30 +27,28 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> Str
 
 
 def activity_stream(
-    requests: DataFrame, path: str, checkpoint: str, width: str, delay: str, **trigger
+    requests: DataFrame, path: str, checkpoint: str, width: str, keys: Sequence[str] = (), **trigger
 ) -> StreamingQuery:
-    """Requests per agent and window. Each micro-batch writes the counts it changed to its own
-    folder, so a repeated batch replaces itself; ``read_activity`` takes the newest counts."""
+    """Requests per agent and window, and per ``keys``. Each micro-batch writes its own counts to
+    its own folder, so a repeated batch replaces itself, and a late row counts like any other;
+    ``read_activity`` adds the counts up."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        agent_activity(batch, width, keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    counted = agent_activity(requests.withWatermark("ts", delay), width)
     return (
-        counted.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        requests.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    """Counts only grow, so the newest one is the largest."""
+def read_activity(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     return (
         spark.read.parquet(f"{path}/batch=*")
-        .groupBy("window_start", "agent")
-        .agg(F.max("requests").alias("requests"))
+        .groupBy(*keys, "window_start", "agent")
+        .agg(F.sum("requests").alias("requests"))
     )
 
 

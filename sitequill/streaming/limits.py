@@ -1,98 +1,72 @@
-"""Request limits on a stream, with the same rules as the batch form."""
+"""Request limits on a stream, with the same rules and the same fold as the batch form."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from sitequill.operators.limits import ANCHORED, STEPS
+from sitequill.operators.limits import ANCHORED, with_limits
+from sitequill.session import cut_lineage
 
-register_pickle_by_value(sys.modules[__name__])
+STATE = ["mark", "seen", "last_sec"]
 
-STATE = T.StructType(
-    [T.StructField(name, T.LongType()) for name in ("mark", "count", "last_sec")]
-)
 
-
-def _judge(keys: Sequence[str], mode: str):
-    step = STEPS[mode]
-
-    def run(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # The rows of one client in one micro-batch; maxFilesPerTrigger bounds them.
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"], ignore_index=True)
-        known, last = None, None
-        if state.exists:
-            mark, count, last = state.get
-            known = (mark, count)
-        late = rows["sec"] < last if last is not None else pd.Series(False, index=rows.index)
-        judged = rows[~late]
-        out = rows.assign(late=late, request_count=pd.array([pd.NA] * len(rows), "Int64"))
-        out["limited"] = False
-        if len(judged):
-            limit = int(judged["max_requests"].iloc[0])
-            window = int(judged["window_s"].iloc[0])
-            sec, n = np.unique(judged["sec"].to_numpy(), return_counts=True)
-            base, (mark, count) = step(sec, n, limit, window, known)
-            place = judged.groupby("sec").cumcount().to_numpy() + 1
-            reached = np.repeat(base, n) + place
-            shown = reached if mode == ANCHORED else np.minimum(reached, limit)
-            out.loc[judged.index, "request_count"] = shown
-            out.loc[judged.index, "limited"] = reached > limit
-            # A limit of zero never starts a window; such a client needs no mark.
-            mark = int(sec[-1]) if mark is None else mark
-            state.update((mark, count, int(sec[-1])))
-            ends = mark + window if mode == ANCHORED else mark
-            state.setTimeoutTimestamp(
-                max((ends + 1) * 1000, state.getCurrentWatermarkMs() + 1000)
-            )
-        yield out[[*keys, "request_id", "ts", "request_count", "limited", "late"]]
-
-    return run
-
-
-def stream_limits(
+def limit_stream(
     requests: DataFrame,
     keys: Sequence[str],
+    folder: str,
+    checkpoint: str,
     mode: str = ANCHORED,
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """Verdicts for a stream with columns keys, request_id, ts, max_requests, window_s.
+    **trigger,
+) -> StreamingQuery:
+    """Judge a stream with columns keys, request_id, ts, max_requests, window_s.
 
-    Rows are taken in (ts, request_id) order inside a micro-batch. A row older than its
-    client's state comes out with ``late`` set and is not judged; route those rows to a side
-    table. Rows older than the watermark are dropped by Spark itself, so ``delay`` has to cover
-    the lateness of the log. A client's state goes when the watermark passes the end of its
-    window.
+    Every micro-batch writes three tables of its own under ``folder``, which it overwrites if
+    it runs again: ``verdicts``; ``late``, the rows older than the last second that was judged
+    for their client, which are not judged; and ``state``, three numbers per client. No row
+    is lost, and no task holds the rows of a client: they are reduced to counts per second.
     """
     keys = list(keys)
-    schema = T.StructType(
-        [
-            *[requests.schema[k] for k in keys],
-            T.StructField("request_id", T.LongType()),
-            T.StructField("ts", T.TimestampType()),
-            T.StructField("request_count", T.LongType()),
-            T.StructField("limited", T.BooleanType()),
-            T.StructField("late", T.BooleanType()),
-        ]
-    )
-    return (
-        requests.withWatermark("ts", delay)
-        .withColumn("sec", F.unix_seconds("ts"))
-        .groupBy(*keys)
-        .applyInPandasWithState(
-            _judge(keys, mode), schema, STATE, "append", GroupStateTimeout.EventTimeTimeout
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = lambda name, n=batch_id: f"{folder}/{name}/batch={n}"
+        rows = cut_lineage(batch.withColumn("_sec", F.unix_seconds("ts")), "micro-batch")
+        known = spark.read.parquet(at("state", batch_id - 1)) if batch_id else None
+        fresh = rows
+        if known is not None:
+            marked = rows.join(known.select(*keys, "last_sec"), keys, "left")
+            late = F.coalesce(F.col("_sec") < F.col("last_sec"), F.lit(False))
+            fresh = marked.filter(~late).drop("last_sec")
+            marked.filter(late).drop("_sec", "last_sec").write.mode("overwrite").parquet(at("late"))
+        else:
+            rows.limit(0).drop("_sec").write.mode("overwrite").parquet(at("late"))
+        judged = with_limits(
+            fresh.drop("_sec").withColumnsRenamed({"max_requests": "_max", "window_s": "_window"}),
+            keys, F.col("_max"), F.col("_window"), mode, state=known, keep_state=True,
+        )
+        judged = cut_lineage(judged, "judged")
+        judged.select(*keys, "request_id", "ts", "request_count", "limited").write.mode(
+            "overwrite"
+        ).parquet(at("verdicts"))
+        last = judged.groupBy(*keys).agg(F.max(F.struct("sec", "mark", "seen")).alias("s")).select(
+            *keys, "s.mark", "s.seen", F.col("s.sec").alias("last_sec")
         )
+        if known is not None:
+            last = last.unionByName(known.join(last.select(*keys), keys, "left_anti").select(last.columns))
+        last.write.mode("overwrite").parquet(at("state"))
+
+    return (
+        requests.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
+
+
+def read_limits(spark: SparkSession, folder: str, name: str = "verdicts") -> DataFrame:
+    """All rows of ``verdicts`` or ``late``."""
+    return spark.read.parquet(f"{folder}/{name}/batch=*")

@@ -1,12 +1,10 @@
 from datetime import datetime, timezone
 
 import pytest
-from pyspark.sql import functions as F
 
 from sitequill.operators import limits
 from sitequill.session import work_folder
-from sitequill.streaming.jobs import append_stream
-from sitequill.streaming.limits import stream_limits
+from sitequill.streaming.limits import limit_stream, read_limits
 from tests.test_limits import make_rows, plain_fold
 
 SCHEMA = "client string, ts timestamp, request_id long, max_requests long, window_s long"
@@ -22,23 +20,24 @@ def run_stream(spark, batches, mode):
     source = (
         spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     )
-    verdicts = stream_limits(source, ["client"], mode, delay="1 hour")
-    append_stream(verdicts, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    limit_stream(source, ["client"], f"{folder}/out", f"{folder}/state", mode).awaitTermination()
+    return (read_limits(spark, f"{folder}/out", name) for name in ("verdicts", "late"))
 
 
 @pytest.mark.parametrize("mode", [limits.ANCHORED, limits.REFRESHED])
 def test_stream_equals_batch_over_several_micro_batches(spark, mode):
     rows = sorted(make_rows(5, n=300, span=900), key=lambda r: (r[1], r[2]))
-    # Away from the epoch: a watermark starts there and Spark drops rows at or before it.
-    rows = [(c, s + 10**6, i) for i, (c, s, _) in enumerate(rows)]
+    rows = [(c, s, i) for i, (c, s, _) in enumerate(rows)]
     batches = [rows[:90], rows[90:200], rows[200:]]
-    got = {r.request_id: (r.request_count, r.limited) for r in run_stream(spark, batches, mode).collect()}
-    assert got == plain_fold(rows, 3, 60, mode)
-
-
-def test_late_rows_are_set_aside(spark):
-    out = run_stream(spark, [[("a", 1000, 0)], [("a", 990, 1), ("a", 1001, 2)]], limits.ANCHORED)
-    got = {r.request_id: (r.request_count, r.limited, r.late) for r in out.collect()}
-    assert got == {0: (1, False, False), 1: (None, False, True), 2: (2, False, False)}
-    assert out.filter(F.col("late")).count() == 1
+    verdicts, late = run_stream(spark, batches, mode)
+    got = {r.request_id: (r.request_count, r.limited) for r in verdicts.collect()}
+    assert got == plain_fold(rows, 3, 60, mode) and late.count() == 0
+
+
+def test_late_rows_are_set_aside_and_none_is_lost(spark):
+    """However old: a row from long before comes out as late, too."""
+    batches = [[("a", 10**6, 0)], [("a", 990, 1), ("a", 10**6 + 1, 2), ("b", 5, 3)], [("a", 10**6, 4)]]
+    verdicts, late = run_stream(spark, batches, limits.ANCHORED)
+    got = {r.request_id: (r.request_count, r.limited) for r in verdicts.collect()}
+    assert got == {0: (1, False), 2: (2, False), 3: (1, False)}
+    assert sorted(r.request_id for r in late.collect()) == [1, 4]
