@@ -266,3 +266,48 @@ def keys_md5():
     import hashlib
 
     return hashlib.md5(b"post,page").hexdigest()
+
+
+def test_no_limit_means_all(make, sides):
+    rows = make("CONTENT", [post(i) for i in range(620)] + [post(900, post_type="page", slug="p")])
+    top = content.newest_published(rows, ["post", "page"], limit=-1).collect()
+    assert sorted(r.site_rank for r in top) == list(range(1, 622))
+    assert {r.post_id: r.site_rank for r in top}[900] == 1
+    entries = index.index_entries(
+        rows, sides["terms"], sides["authors"], sides["labels"], ["post", "page"], limit=-1
+    ).collect()
+    assert sorted((r.label, r.position) for r in entries) == sorted(
+        [("Pages", 1)] + [("Posts", i) for i in range(1, 621)]
+    )
+    assert {r.label: r.section_order for r in entries} == {"Pages": 1, "Posts": 2}
+
+
+def test_a_null_override_falls_through(make, spark):
+    rows = make("CONTENT", [post(2, post_type="page", slug="about")])
+    texts = [("s", "about", None), ("s", "fixed", "Text"), ("s", "empty", "")]
+    overrides = spark.createDataFrame(texts, "site_id string, route_page string, content string")
+    paths = ["/ai/content/about", "/ai/content/fixed", "/ai/content/empty"]
+    got = routing.outcomes(requests_of(make, paths), rows, settings_of(make), overrides=overrides)
+    assert {r.request_id: r.status for r in got.collect()} == {0: 200, 1: 200, 2: 404}
+
+
+def test_changes_may_carry_what_was_deleted(make):
+    log = make("CONTENT_CHANGES", [(5, datetime(2024, 1, 1), "s", 9, "delete", None, None, False, False)])
+    told = log.withColumn("post_type", F.lit("post")).withColumn("slug", F.lit("gone"))
+    keys = changes.stale_keys(told, make("CONTENT", []), settings_of(make)).collect()
+    assert {k.artifact_key for k in keys} == {"content_post_9", "content_post_gone", f"listing_{keys_md5()}"}
+
+
+def test_bodies_travel_at_most_once(spark, make, sides):
+    """With all sides too large to broadcast, no exchange has HTML and one has the Markdown."""
+    rows = make("CONTENT", [post(1, content="<p>x</p>")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pages = detail.page_documents(rows, sides["terms"], sides["authors"], sides["media"], sides["sites"])
+        plan = spark._jvm.PythonSQLUtils.explainString(pages._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    inputs = [part.split("\n")[1] for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert len(inputs) > 3
+    assert not [x for x in inputs if "content#" in x]
+    assert len([x for x in inputs if "body#" in x]) == 1
