@@ -618,6 +618,17 @@ unsafe AS (
   UNION ALL SELECT site_id, '/llms.txt', content FROM site_index)
 SELECT site_id, path, {_safe("content")} AS content FROM unsafe"""
 
+ORACLE["served_pages"] = f"""WITH {CONTENT}, {SETTINGS}, {NEWEST}, {TERMS}, {AUTHORS}, {MEDIA},
+{PAGE_DOCUMENTS},
+addressed AS (SELECT p.site_id, p.slug AS page, p.content FROM page_documents p
+  JOIN found f ON f.site_id = p.site_id AND f.post_id = p.post_id WHERE p.post_type = 'page'),
+fixed AS (SELECT site_id, 'p1' AS page,
+  CASE WHEN length(site_id) % 2 = 0 THEN '# Fixed text' ELSE '' END AS content FROM sites),
+shown AS (SELECT site_id, page, coalesce(f.content, a.content) AS content
+  FROM addressed a FULL JOIN fixed f USING (site_id, page))
+SELECT site_id, '/ai/content/' || page AS path, {_safe("content")} AS content
+FROM shown WHERE content <> ''"""
+
 # --- agents -----------------------------------------------------------------------------
 
 _UA_TEXT = trim(strip("coalesce(user_agent, '')"))

@@ -130,6 +130,28 @@ def served_documents(pages: DataFrame, indexes: DataFrame) -> DataFrame:
     )
 
 
+def served_pages(pages: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Texts under page addresses, one row each: (site_id, path, content).
+
+    ``pages`` has one document per (site_id, post_type, slug). An override text (site_id,
+    route_page, content) goes before the page; an empty one says that there is no page, a
+    null one that there is no override.
+    """
+    rows = pages.filter(F.col("post_type") == "page").select("site_id", F.col("slug").alias("page"), "content")
+    if overrides is not None:
+        fixed = overrides.filter(F.col("content").isNotNull()).select(
+            "site_id", F.col("route_page").alias("page"), F.col("content").alias("fixed")
+        )
+        rows = rows.join(fixed, ["site_id", "page"], "full").select(
+            "site_id", "page", F.coalesce("fixed", "content").alias("content")
+        )
+    return rows.filter(F.col("content") != "").select(
+        "site_id",
+        F.concat(F.lit(ITEM_PATH), "page").alias("path"),
+        safe_markup(F.col("content")).alias("content"),
+    )
+
+
 def clear_kind(artifacts: DataFrame, prefix: str, path: str, now: Column, batch: str) -> None:
     """Remove all artefacts whose key starts with ``prefix``; counts are in the batch itself."""
     append_artifacts(ch.tombstones(ch.of_kind(artifacts, prefix), now), path, batch)

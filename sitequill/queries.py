@@ -250,15 +250,18 @@ def html_to_markdown_bounded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_documents(spark: SparkSession, sf: str) -> DataFrame:
-    allowed = content.of_types(
-        content.published(sample.content(spark, sf, heavy=True)), _settings(spark, sf)
-    )
+    narrow = content.published(sample.content(spark, sf)).select("site_id", "post_id", "post_type")
+    return _page_documents(spark, sf, content.of_types(narrow, _settings(spark, sf)))
+
+
+def _page_documents(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
     return detail.page_documents(
-        allowed,
+        content.published(sample.content(spark, sf, heavy=True)),
         sample.terms(spark, sf),
         sample.authors(spark, sf),
         sample.media(spark, sf),
         sample.sites(spark, sf),
+        wanted=wanted.select("site_id", "post_id"),
     )
 
 
@@ -267,6 +270,13 @@ def served_documents(spark: SparkSession, sf: str) -> DataFrame:
     return rebuild.served_documents(page_documents(spark, sf), site_index(spark, sf))
 
 
+@query
+def served_pages(spark: SparkSession, sf: str) -> DataFrame:
+    newest = content.newest_by_slug(sample.content(spark, sf))
+    pages = _page_documents(spark, sf, content.of_types(newest, _settings(spark, sf)))
+    return rebuild.served_pages(pages, _overrides(spark, sf))
+
+
 @query
 def safe_markup(spark: SparkSession, sf: str) -> DataFrame:
     return sample.spread_table(spark, sf, "pages").select(

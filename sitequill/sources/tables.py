@@ -41,9 +41,9 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append") -> No
     documents.select("site_id", "path", "content").write.mode(mode).parquet(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append agent, limit and invalidation events."""
-    events.write.mode("append").parquet(path)
+def write_events(events: DataFrame, path: str, run: str | int) -> None:
+    """Add the events of one run; a run owns its folder, so running it again leaves one copy."""
+    events.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def append_artifacts(artifacts: DataFrame, path: str, batch: str | int) -> None:
