@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import components, cut_lineage
-from .shingles import WordHashes, set_key, shingle_set
+from .shingles import WordHashes, mixed, set_key, shingle_set
 
 #: The sketch has 2 ** SKETCH_BITS counters in BLOCKS rows. Its size doesn't follow the input;
 #: for corpora far beyond a terabyte raise it, which lowers the noise in the order.
 SKETCH_BITS = 18
 BLOCKS = 256
+#: Bits of the filter that picks texts; like the sketch, its size doesn't follow the input.
+FILTER_BITS = 24
 BITS = 1024
 #: Random orders in which the sets of a group are chained, and how many following sets one meets.
 ORDERS = 4
@@ -171,18 +173,54 @@ def _prefixes(width: int, num: int, den: int, order):
     return run
 
 
-def _sets(width: int):
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of ids, in blocks; blocks without a bit are left out."""
+    marked = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        marked[_mark(batch.column(0).drop_null().to_numpy())] = True
+    parts = np.packbits(marked).reshape(BLOCKS, -1)
+    used = np.flatnonzero(parts.any(axis=1)).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+
+
+def _mark(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in _columns(batch):
+            total[block] = total.get(block, np.uint8(0)) | np.frombuffer(bits, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "bits"])
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A filter of 2 ** FILTER_BITS bits that passes the ids and few others."""
+    kind = "block int, bits binary"
+    parts = ids.mapInArrow(_marks, kind).repartition("block").mapInArrow(_joined_marks, kind)
+    size = (1 << FILTER_BITS) // BLOCKS // 8
+    bits = np.zeros(BLOCKS * size, np.uint8)
+    for row in parts.collect():
+        bits[row.block * size : (row.block + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        passes = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
-            found = {}
-            for key, text in _columns(batch):
+            ids = batch.column("doc_id")
+            chosen = passes[_mark(ids.fill_null(0).to_numpy())] & ids.is_valid().to_numpy(zero_copy_only=False)
+            rows = []
+            for doc_id, text in _columns(batch.filter(pa.array(chosen))):
                 own = shingle_set(text, width, known)
-                if set_key(own) == key:
-                    found[key] = own.tobytes()
+                rows.append((doc_id, set_key(own), own.tobytes()))
+            ids, keys, sets = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())],
-                names=["key", "own"],
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())],
+                names=["doc_id", "key", "own"],
             )
 
     return run
@@ -260,13 +298,20 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The whole sets that occur in pairs, from one text of each."""
+    """The whole sets that occur in pairs, from one text of each.
+
+    A filter of fixed size picks the texts in the scan, so only sets that are wanted, and a few
+    that the filter lets through, are shuffled to be matched with the exact list.
+    """
     keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     wanted = cut_lineage(
         classes.select("key", "first_id").join(keys, F.col("key") == F.col("k"), "left_semi"), "wanted-sets"
     )
-    own = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select("key", "text")
-    return cut_lineage(own.mapInArrow(_sets(width), "key long, own binary"), "sets")
+    passes = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("first_id")))
+    found = texts.mapInArrow(_sets(width, passes), "doc_id long, key long, own binary")
+    right = wanted.select("first_id", F.col("key").alias("k")).hint("shuffle_hash")
+    own = found.join(right, (F.col("doc_id") == F.col("first_id")) & (F.col("key") == F.col("k")), "left_semi")
+    return cut_lineage(own.select("key", "own"), "sets")
 
 
 def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
