@@ -34,8 +34,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their place in sequences of 4096 ids."""
-    return packing.packed_documents(docs)
+    """Token pieces of all documents with their place in sequences of 4096 ids, in the order of docs."""
+    return packing.packed_in_order(docs)
 
 
 STAGES = [

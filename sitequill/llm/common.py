@@ -18,15 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(rows: DataFrame, keys: list[str], order: str, rank: str) -> DataFrame:
+def ranked(
+    rows: DataFrame, keys: list[str], order: str, rank: str, stretch: int | None = None, then: tuple[str, ...] = ()
+) -> DataFrame:
     """Number the rows of each key from 0 in column `rank`, in the order of a 64-bit column.
 
     No key is sorted in one task: its rows are dealt to ranges of `order`, whose counts give
     each range its first number; only ranges are sorted. `order` should be a hash, so that
     ranges are even. `rows` is read twice and should be a written table. Null keys are one key;
-    rows with equal `order` are numbered in any order.
+    rows with equal `order` are numbered in any order, or by the columns `then`. An order that is
+    no hash comes with the length of its ranges in `stretch`.
     """
-    bucket = F.floor((F.col(order) / F.lit(2.0**64) + F.lit(0.5)) * RANK_BUCKETS).cast("int")
+    if stretch:
+        bucket = F.floor(F.col(order) / stretch)
+    else:
+        bucket = F.floor((F.col(order) / F.lit(2.0**64) + F.lit(0.5)) * RANK_BUCKETS).cast("int")
     rows = rows.withColumn("__bucket", bucket)
     counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,7 +41,7 @@ def ranked(rows: DataFrame, keys: list[str], order: str, rank: str) -> DataFrame
         F.col("__bucket").alias("__b"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"),
     )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(order)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(order, *then)
     numbered = rows.withColumn("__at", F.row_number().over(inside) - 1)
     same = F.col("__bucket") == F.col("__b")
     for i, k in enumerate(keys):

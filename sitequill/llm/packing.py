@@ -5,7 +5,9 @@ patterns that fill a sequence are enumerated over bins of lengths, their repeat
 fitted to the histogram by non-negative least squares and rounded down, and what is left goes
 best fit, longest first, into the room that patterns leave and into new sequences. The plan says
 which numbers of pieces of a length go where; pieces are numbered within their length by counts
-of hash ranges, never in one task, and look their place up in the plan.
+of hash ranges, never in one task, and look their place up in the plan. Where the order of the
+documents counts, pieces are numbered by the place of their document instead, and sequences by
+their first piece.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, ranked
@@ -33,6 +35,9 @@ PARTS = 3
 CACHE_WORDS = 300_000
 TOGETHER = 256
 TEXT_BYTES = 2_000_000
+#: Bits for the number of a row in its file, and rows of a file whose pieces are numbered together.
+ROW_BITS = 40
+STRETCH = 1 << 14
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -118,13 +123,14 @@ def _tokenised(path: str, length: int):
             for start, end in _stretches(batch.column("text")):
                 part = batch.slice(start, end - start)
                 texts = [text.split() if text else [] for text in part.column("text").to_pylist()]
-                rows = []
-                for doc_id, own in zip(part.column("doc_id").to_pylist(), known.of(texts), strict=True):
+                rows, owners = [], []
+                for k, own in enumerate(known.of(texts)):
                     ids = own + last
                     for i, at in enumerate(range(0, len(ids), 4 * length)):
                         piece = ids[at : at + 4 * length]
-                        rows.append((doc_id, i, at // 4, len(piece) // 4, piece))
-                yield _batch(rows)
+                        rows.append((i, at // 4, len(piece) // 4, piece))
+                        owners.append(k)
+                yield _batch(part.drop_columns(["text"]).take(pa.array(owners, pa.int64())), rows)
 
     return run
 
@@ -142,23 +148,26 @@ def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+def _batch(owners: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    doc_id, *more = owners.columns
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-        names=["doc_id", "piece", "start", "length", "ids"],
+        [doc_id, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], *more],
+        names=["doc_id", "piece", "start", "length", "ids", *owners.schema.names[1:]],
     )
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, place: Column | None = None) -> DataFrame:
     """Token pieces of each document: doc_id, piece, start, length, ids (little-endian 32 bit).
 
     Whole texts are tokenised and closed with id END; a null text is empty and has END alone.
-    Only documents beyond `length` are cut. Repeated rows give repeated pieces.
+    Only documents beyond `length` are cut. Repeated rows give repeated pieces. A long `place` of
+    the documents is handed to their pieces as a further column.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_tokenised(path or tokenizer_path(), length), _PIECES)
+    own = [] if place is None else [place.alias("place")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *own)
+    return texts.mapInArrow(_tokenised(path or tokenizer_path(), length), _PIECES + ", place long" * len(own))
 
 
 # --- the plan ------------------------------------------------------------------------------
@@ -344,15 +353,32 @@ def packed(found: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Sequences are gapless and at most `length` long. Lengths must lie between 1 and `length`.
     Carries all columns of the input along, so give narrow rows. An empty table stays empty.
+    Pieces of one length are dealt to sequences in the order of a hash; if there is a column
+    `place`, in its order, and sequences are numbered by the place of their first piece.
     """
     spark = found.sparkSession
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return found.selectExpr("*", "cast(0 as bigint) as sequence_id", "cast(0 as bigint) as offset")
     plan = spark.sparkContext.broadcast(Plan(counts, length).places())
-    numbered = ranked(found.withColumn("__order", F.xxhash64("doc_id", "piece", "start")), ["length"], "__order", "__rank").drop("__order")
+    ordered = "place" in found.columns
+    if ordered:
+        numbered = ranked(found, ["length"], "place", "__rank", STRETCH, ("piece",))
+    else:
+        numbered = ranked(found.withColumn("__order", F.xxhash64("doc_id", "piece", "start")), ["length"], "__order", "__rank").drop("__order")
     kinds = ", ".join(f"`{c}` {k}" for c, k in found.dtypes)
-    return numbered.mapInArrow(_placed(plan), f"{kinds}, sequence_id long, offset long")
+    placed = numbered.mapInArrow(_placed(plan), f"{kinds}, sequence_id long, offset long")
+    return _in_order(cut_lineage(placed, "placed")) if ordered else placed
+
+
+def _in_order(placed: DataFrame) -> DataFrame:
+    """The same sequences, numbered from 0 in the order of their first pieces."""
+    first = placed.groupBy("sequence_id").agg(F.min(F.struct("place", "piece")).alias("first"))
+    first = cut_lineage(first.select(F.col("sequence_id").alias("__sequence"), "first.place", "first.piece"), "first-pieces")
+    numbers = ranked(first, [], "place", "__number", STRETCH, ("piece",)).select("__sequence", "__number")
+    return placed.join(numbers, F.col("sequence_id") == F.col("__sequence")).select(
+        *[F.col("__number").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns]
+    )
 
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -361,6 +387,22 @@ def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return packed(cut_lineage(narrow, "pieces"))
 
 
+def packed_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """As packed_documents, for files whose order counts: by file name, then by row.
+
+    Needs the table as it is read from its files, since the place of a row is taken from them.
+    Documents of one length keep their order, sequences come in the order of their first piece.
+    """
+    names = [r.file for r in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
+    numbers = [(name, i) for i, name in enumerate(sorted(names, key=lambda x: (len(x), x)))]
+    files = docs.sparkSession.createDataFrame(numbers, "__name string, __file long")
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    rows = rows.join(F.broadcast(files), F.col("__path") == F.col("__name"))
+    found = pieces(rows, path, place=F.shiftleft("__file", ROW_BITS) + F.col("__at"))
+    narrow = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "place")
+    return packed(cut_lineage(narrow, "pieces")).drop("place")
+
+
 def sequences(found: DataFrame, length: int = LENGTH) -> DataFrame:
     """Token ids of each sequence: sequence_id, length, ids; from a written table of pieces.
 

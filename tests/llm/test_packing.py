@@ -6,7 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sitequill.llm import packing
+import corpus_pipeline
+from sitequill.llm import mixing, packing
 
 
 def check_plan(counts, length):
@@ -88,3 +89,28 @@ def test_sequences_hold_the_ids(spark, documents, random_texts, tmp_path):
     assert all(len(r.ids) == 4 * r.length <= 4 * 4096 for r in rows)
     assert sum(r.length for r in rows) == sum(r.length for r in found.collect())
     assert packing.packed_documents(documents([])).collect() == []
+
+
+def test_order_of_the_files_decides(spark, documents, tmp_path):
+    """Weights of the mixing stage reach sequence_id: pieces of a length and sequences are in file order."""
+    rows = [(i, "word " * (3 if i % 3 else 2500) + "end") for i in range(400)] + [(7, "word word word end")]
+    docs, seen = documents(rows, lambda i: "ab"[i % 2]), []
+    for k, weights in enumerate(({"a": 9, "b": 1}, {"a": 1, "b": 9})):
+        mixing.in_mixed_order(docs, weights).write.option("maxRecordsPerFile", 70).parquet(str(tmp_path / str(k)))
+        read = spark.read.parquet(str(tmp_path / str(k)))
+        place, n = {}, 0
+        for f in sorted((tmp_path / str(k)).glob("part-*")):
+            for r in spark.read.parquet(str(f)).collect():
+                place.setdefault(r.doc_id, n)
+                n += 1
+        got = corpus_pipeline.packed_sequences(spark, read, "").collect()
+        plain = packing.packed_documents(docs).collect()
+        same = lambda x: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in x)
+        assert same(got) == same(plain) and len({(r.sequence_id, r.offset) for r in got}) == len(got) == len(plain)
+        first = {}
+        for r in got:
+            first[r.sequence_id] = min(first.get(r.sequence_id, n), place[r.doc_id])
+        assert sorted(first) == list(range(len(first)))
+        assert [first[s] for s in sorted(first)] == sorted(first.values())
+        seen.append({(r.doc_id, r.sequence_id) for r in got})
+    assert seen[0] != seen[1]
