@@ -1,83 +1,118 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are dealt to blocks. With integer units u of a period of D slots, block
-k of a source is released at floor((k - 1) D / u) and due at ceil(k D / u); in each slot the
-released block with the earliest deadline goes out. At every slot each source then differs from
-its target by less than one block. The schedule repeats after D slots, so one period is worked
-out from the weights alone and the place of any block follows by arithmetic.
-
-When a source is used up, the others go on with their units in a new period, so every document
-is used exactly once. The driver sees one count per source; documents are numbered inside their
-source by counts of hash ranges, never in one task, and join the table of periods by broadcast.
-That table has at most (sources)^2 rows and (sources) x (UNITS + sources) slots; sources are a
-configured list, and more than MOST_SOURCES are refused.
+Each source's documents are dealt to blocks; a slot holds one block. If all sources were served
+at once, each at its weight over the weights of those not used up, block k of a source would be
+served in a certain stretch of slots. The block is released in the slot in which the stretch
+begins and due at its end; in each slot the released block with the earliest deadline goes out.
+At every slot of the whole schedule each source then differs from its target by less than one
+block. When a source is used up, the others go on with their weights, so every document is used
+exactly once.
+
+Weights are taken as the exact numbers they are, and stretches are worked out in whole numbers
+of any size: nothing is rounded to units that add up to a drift. The schedule is worked out by
+one task that sees one count per source and holds one or two blocks of each; it writes a narrow
+row per block. Documents are numbered inside their source by counts of hash ranges, never in one
+task, and meet the slot of their block in a join.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, ranked
 
-#: Documents in a block, slots of a period that weights are rounded to, sources at most.
+#: Documents in a block, sources at most, slots in a batch of the schedule.
 BLOCK = 32
-UNITS = 1024
 MOST_SOURCES = 1000
+BATCH = 10_000
 #: Without given weights a source weighs its number of documents to this power.
 TEMPERATURE = 0.5
 
 
-def period(units: Mapping[str | None, int]) -> dict[str | None, list[int]]:
-    """Slots of each source in one period of sum(units) slots: earliest deadline first."""
-    total = sum(units.values())
-    names = list(units)
-    released: list[list[tuple[int, int]]] = [[] for _ in range(total)]
-    for i, name in enumerate(names):
-        u = units[name]
-        for k in range(u):
-            released[k * total // u].append((-(-(k + 1) * total // u), i))
-    slots: dict[str | None, list[int]] = {name: [] for name in names}
-    waiting: list[tuple[int, int]] = []
-    for t in range(total):
-        for block in released[t]:
-            heapq.heappush(waiting, block)
-        deadline, i = heapq.heappop(waiting)
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
+    """(source, block) of each slot, sources by their place in the lists: earliest deadline first."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact)) if exact else 1
+    units = [int(w * scale) for w in exact]
+    # The moment n / u as a whole number: keys of different moments differ, as no u has more bits.
+    bits = 2 * max((u.bit_length() for u in units), default=0)
+    ends = sorted(((n << bits) // u, n, u) for n, u in zip(blocks, units, strict=True) if n > 0)
+    keys = [key for key, _, _ in ends]
+    done = [0, *accumulate(n for _, n, _ in ends)]
+    active = [sum(u for _, _, u in ends)]
+    for _, _, u in ends:
+        active.append(active[-1] - u)
+
+    def served(k: int, u: int) -> tuple[int, int]:
+        """Blocks of all sources up to the moment k / u: whole ones, and rounded up."""
+        at = bisect_right(keys, (k << bits) // u)
+        whole, rest = divmod(k * active[at], u)
+        return done[at] + whole, done[at] + whole + (rest > 0)
+
+    coming = [(0, i, 0) for i, n in enumerate(blocks) if n > 0]
+    waiting: list[tuple[int, int, int]] = []
+    for t in range(done[-1]):
+        while coming and coming[0][0] <= t:
+            _, i, k = heapq.heappop(coming)
+            release, deadline = served(k + 1, units[i])
+            heapq.heappush(waiting, (deadline, i, k))
+            if k + 1 < blocks[i]:
+                heapq.heappush(coming, (release, i, k + 1))
+        deadline, i, k = heapq.heappop(waiting)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
+        yield i, k
+
+
+def period(units: Mapping[str | None, int]) -> dict[str | None, list[int]]:
+    """Slots of each source if all have as many blocks as units: one period of these units."""
+    return {s: slots for s, _, _, _, _, _, slots in phases(units, units)}
+
+
+def phases(blocks: Mapping[str | None, int], units: Mapping[str | None, float]) -> list[tuple]:
+    """A small schedule by source: rows (source, first block, blocks, first slot, period, units, slots)."""
+    names = list(blocks)
+    slots: dict[str | None, list[int]] = {s: [] for s in names}
+    for t, (i, _) in enumerate(schedule(list(blocks.values()), [units[s] for s in names])):
         slots[names[i]].append(t)
-    return slots
-
-
-def phases(blocks: Mapping[str | None, int], units: Mapping[str | None, int]) -> list[tuple]:
-    """Rows (source, first block, blocks, first slot, period, units, slots), until all are used."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    rows, start = [], 0
-    while left:
-        own = {s: units[s] for s in left}
-        total = sum(own.values())
-        slots = period(own)
-        end = min((n - 1) // own[s] * total + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items())
-        for s in list(left):
-            used = end // total * own[s] + bisect_left(slots[s], end % total)
-            rows.append((s, done[s], used, start, total, own[s], slots[s]))
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
-        start += end
-    return rows
-
-
-def rounded(weights: Mapping[str | None, float]) -> dict[str | None, int]:
-    """Integer units near UNITS in sum, one at least."""
-    total = sum(weights.values())
-    return {s: max(1, round(UNITS * w / total)) for s, w in weights.items()}
+    return [(s, 0, n, 0, sum(blocks.values()), n, slots[s]) for s, n in blocks.items() if n > 0]
+
+
+def _scheduled(weights: Mapping[str | None, float] | None, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {s: n for b in batches for s, n in zip(b.column("source").to_pylist(), b.column("n").to_pylist(), strict=True)}
+        # Sorted, so that equal counts give the same schedule whatever order they came in.
+        names = sorted(counts, key=lambda s: (s is None, s or ""))
+        if weights is None:
+            target = [counts[s] ** TEMPERATURE for s in names]
+        else:
+            least = min(weights.values(), default=1.0)
+            target = [weights.get(s, least) for s in names]
+        rows: list[tuple] = []
+        for slot, (i, k) in enumerate(schedule([-(-counts[s] // block) for s in names], target)):
+            rows.append((names[i], k, slot))
+            if len(rows) == BATCH:
+                yield _slots(rows)
+                rows = []
+        yield _slots(rows)
+
+    return run
+
+
+def _slots(rows: list[tuple]) -> pa.RecordBatch:
+    s, b, slot = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(s, pa.string()), pa.array(b, pa.int64()), pa.array(slot, pa.int64())], names=["s", "b", "slot"]
+    )
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -89,38 +124,22 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     Weights must be positive; sources without a given weight get the smallest given one. Other
     columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    if weights is not None and not all(0 < w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be positive")
     rows = cut_lineage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
         .distinct().withColumn("order", F.xxhash64(F.lit("mix"), "doc_id")),
         "mix-rows",
     )
-    counts = {r.source: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
+    counts = cut_lineage(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    if counts.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    if weights is None:
-        target = {s: n**TEMPERATURE for s, n in counts.items()}
-    else:
-        if any(w <= 0 for w in weights.values()):
-            raise ValueError("weights must be positive")
-        target = {s: weights.get(s, min(weights.values(), default=1.0)) for s in counts}
-    # Sorted, so that equal counts give the same schedule whatever order they came in.
-    target = dict(sorted(target.items(), key=lambda x: (x[0] is None, x[0] or "")))
-    table = phases({s: -(-counts[s] // block) for s in target}, rounded(target)) if target else []
-    plan = spark.createDataFrame(
-        table, "s string, first long, used long, start long, period long, units long, slots array<int>"
-    )
+    plan = counts.repartition(1).mapInArrow(_scheduled(weights, block), "s string, b long, slot long")
     numbered = ranked(rows, ["source"], "order", "rank").select(
         "doc_id", "source", F.floor(F.col("rank") / block).alias("block"), (F.col("rank") % block).alias("place")
     )
-    at = F.col("block") - F.col("first")
-    return numbered.join(
-        F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")) & (at >= 0) & (at < F.col("used"))
-    ).select(
-        "doc_id", "source", "block",
-        (F.col("start") + F.floor(at / F.col("units")) * F.col("period") + F.get("slots", (at % F.col("units")).cast("int"))).alias("slot"),
-        "place",
-    )
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    return numbered.join(plan, same).select("doc_id", "source", "block", "slot", "place")
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -80,3 +81,40 @@ def test_order_of_rows(spark, documents, tmp_path):
     assert [place[i] for i in ids] == sorted(place[i] for i in ids)
     assert mixing.mixed(documents([])).collect() == []
     assert mixing.in_mixed_order(documents([])).collect() == []
+
+
+@pytest.mark.parametrize(
+    "blocks,weights",
+    [
+        ((14_000, 6_000), (0.7, 0.3)),
+        ((20_000, 3), (0.9999, 0.0001)),
+        ((31_250, *[3_125] * 4), (1_000_000**0.5, *[100_000**0.5] * 4)),
+        ((9_000, 500, 3_000, 1, 40), (0.7, 0.2, 0.1, 1e-7, 1 / 3)),
+    ],
+)
+def test_real_weights_hold_over_the_whole_schedule(blocks, weights):
+    """Less than one block from the exact target at every slot, also after a source is used up."""
+    exact = [Fraction(w) for w in weights]
+    ends = sorted({Fraction(n) / w for n, w in zip(blocks, exact, strict=True)})
+    given_out, seen = [0] * len(blocks), 0
+    moment, at = Fraction(0), 0
+    for t, (i, k) in enumerate(mixing.schedule(list(blocks), list(weights)), 1):
+        assert k == given_out[i]
+        given_out[i] += 1
+        seen = t
+        rest = Fraction(1)  # one slot of fluid service, which may cross the end of a source
+        while rest:
+            rate = sum(w for n, w in zip(blocks, exact, strict=True) if n > moment * w)
+            step = min(rest, (ends[at] - moment) * rate)
+            moment, rest = moment + step / rate, rest - step
+            at += moment == ends[at]
+        if t % 7 == 0 or t > sum(blocks) - 50:
+            assert all(abs(g - min(n, moment * w)) < 1 for g, n, w in zip(given_out, blocks, exact, strict=True))
+    assert seen == sum(blocks) and tuple(given_out) == blocks
+
+
+def test_weights_over_many_slots_of_a_table(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "if(id % 10 < 7, 'a', 'b') as source")
+    slots = [r.slot for r in mixing.mixed(docs, {"a": 0.7, "b": 0.3}, block=1).where("source = 'a'").orderBy("slot").collect()]
+    assert len(slots) == 14_000
+    assert all(abs(k - 0.7 * (slot + 1)) < 1 + 1e-6 for k, slot in enumerate(slots, 1))
