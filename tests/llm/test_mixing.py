@@ -118,3 +118,16 @@ def test_weights_over_many_slots_of_a_table(spark):
     slots = [r.slot for r in mixing.mixed(docs, {"a": 0.7, "b": 0.3}, block=1).where("source = 'a'").orderBy("slot").collect()]
     assert len(slots) == 14_000
     assert all(abs(k - 0.7 * (slot + 1)) < 1 + 1e-6 for k, slot in enumerate(slots, 1))
+
+
+def test_many_sources(spark):
+    """Sources by the thousand: every document has a place, no source is a block from its target."""
+    docs = spark.range(6_000).selectExpr("id as doc_id", "if(id < 3000, concat('s', id % 1500), 'big') as source", "'t' as text")
+    got = mixing.mixed(docs, block=1).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6_000))
+    assert sorted(r.slot for r in got) == list(range(6_000))
+    total = 1500 * 2**0.5 + 3000**0.5
+    big = sorted(r.slot for r in got if r.source == "big")
+    both = 2 / 2**0.5 * total  # slots until the small sources are used up
+    assert all(abs(k - (slot + 1) * 3000**0.5 / total) < 1 + 1e-6 for k, slot in enumerate(big, 1) if slot + 1 <= both)
+    assert mixing.in_mixed_order(docs).count() == 6_000
