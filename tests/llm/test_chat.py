@@ -53,3 +53,25 @@ def test_native_and_empty(spark):
     assert chat.rendered(table(spark, [])).collect() == []
     plan = chat.rendered(table(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_large_parts_are_cut(spark, monkeypatch):
+    """Null keys and repeated rows give no group of more than PART_ROWS rows; the texts stay whole."""
+    rows = [(None, None, f"r{i % 3}", f"t{i}") for i in range(60)] + [(None, 300, "user", "late"), (None, 5, "user", "soon")]
+    rows += [(1, 0, "user", "hi")] * 50 + [(1, 1, " User", "x"), (1, 1, "user", "x"), (2, 0, "user", None), (3, 0, "user", "a")]
+    rows += [(3, 700, "user", f"z{i}") for i in range(25)] + [(4, 0, "user", "hi")] * 30
+    whole = {}
+    for r in chat.rendered(table(spark, rows)).orderBy("part").collect():
+        n, text, copies = whole.get(r.conv_id, (0, "", 0))
+        whole[r.conv_id] = (n + r.n_turns, text + r.text, r.copies)
+    monkeypatch.setattr(chat, "PART_ROWS", 8)
+    got = chat.rendered(table(spark, rows)).orderBy("part").collect()
+    assert max(r.n_turns for r in got) <= 8
+    again = {}
+    for r in got:
+        n, text, copies = again.get(r.conv_id, (0, "", 0))
+        again[r.conv_id] = (n + r.n_turns, text + r.text, r.copies)
+    assert again == whole
+    assert len({(r.conv_id, r.part) for r in got}) == len(got)
+    assert [(r.part, r.n_turns) for r in got if r.conv_id == 1] == [(0, 2)]
+    assert [r.part for r in got if r.conv_id is None] == [-1, 0, 1, 2, 3, 4, 5, 6, 7, 8]
