@@ -212,15 +212,16 @@ def _sets(width: int, wanted):
         passes = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
             ids = batch.column("doc_id")
-            chosen = passes[_mark(ids.fill_null(0).to_numpy())] & ids.is_valid().to_numpy(zero_copy_only=False)
+            chosen = passes[_mark(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False)
             rows = []
             for doc_id, text in _columns(batch.filter(pa.array(chosen))):
                 own = shingle_set(text, width, known)
-                rows.append((doc_id, set_key(own), own.tobytes()))
-            ids, keys, sets = zip(*rows, strict=True) if rows else ((), (), ())
+                key = set_key(own)
+                if doc_id is not None or passes[_mark(np.array([key]))][0]:
+                    rows.append((key, own.tobytes()))
+            keys, sets = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())],
-                names=["doc_id", "key", "own"],
+                [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "own"]
             )
 
     return run
@@ -301,17 +302,18 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int)
     """The whole sets that occur in pairs, from one text of each.
 
     A filter of fixed size picks the texts in the scan, so only sets that are wanted, and a few
-    that the filter lets through, are shuffled to be matched with the exact list.
+    that the filter lets through, are shuffled to be matched with the exact list. It passes the
+    first id of a class or, where all rows of a class have a null id, the key of its set.
     """
     keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     wanted = cut_lineage(
         classes.select("key", "first_id").join(keys, F.col("key") == F.col("k"), "left_semi"), "wanted-sets"
     )
-    passes = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("first_id")))
-    found = texts.mapInArrow(_sets(width, passes), "doc_id long, key long, own binary")
-    right = wanted.select("first_id", F.col("key").alias("k")).hint("shuffle_hash")
-    own = found.join(right, (F.col("doc_id") == F.col("first_id")) & (F.col("key") == F.col("k")), "left_semi")
-    return cut_lineage(own.select("key", "own"), "sets")
+    passes = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.coalesce("first_id", "key"))))
+    found = texts.mapInArrow(_sets(width, passes), "key long, own binary")
+    right = wanted.select(F.col("key").alias("k")).hint("shuffle_hash")
+    own = found.join(right, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"])
+    return cut_lineage(own, "sets")
 
 
 def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:

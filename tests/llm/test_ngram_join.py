@@ -86,3 +86,15 @@ def test_no_pair_twice_and_no_squares(spark, documents):
         ngram_join._links = original
     assert got == {0}
     assert sum(counted) <= 150 * (ngram_join.ORDERS * ngram_join.REACH + 1)
+
+
+def test_a_class_of_null_ids_links_others(documents):
+    """1 and 3 are linked only by a text whose rows all have a null id."""
+    words = [f"w{i}" for i in range(40)]
+    text = lambda k: " ".join([*words[k:], *[f"n{j}" for j in range(k)]])
+    rows = [(1, text(0)), (None, text(2)), (None, text(2)), (3, text(4)), (4, "other words")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_classes(documents(rows), 1, 90, 100).collect()}
+    assert got == {(1, 1), (None, 1), (3, 1), (4, 4)}
+    numbered = [(2 if i is None else i, t) for i, t in rows]
+    want = {(None if i == 2 else i, c) for i, _, c in brute(numbered, 1, 90, 100)}
+    assert got == want
