@@ -262,6 +262,11 @@ def ngram_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     rows with a null doc_id get the id of their class if it has one. Other columns are ignored.
     An empty table gives no rows. Links are exact up to collisions of 64-bit hashes.
     """
+    return _classed(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The same, with the key of the set of each row and the key that stands for its component."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     described = cut_lineage(texts.mapInArrow(_described(width), _DESCRIBED), "described")
@@ -411,36 +416,60 @@ def _with_ids(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
     ids = classes.select("key", "first_id")
     linked = roots.join(ids, F.col("member") == F.col("key"))
     named = cut_lineage(linked.groupBy("root").agg(F.min("first_id").alias("named")), "named")
-    linked = cut_lineage(roots.join(named, "root").select("member", "named"), "linked")
+    linked = cut_lineage(roots.join(named, "root").select("member", "named", "root"), "linked")
     final = cut_lineage(
         classes.join(linked, F.col("key") == F.col("member"), "left").select(
-            F.col("key").alias("k"), F.col("n").alias("m"), F.coalesce("named", "first_id").alias("component_id")
+            F.col("key").alias("k"), F.col("n").alias("m"), F.coalesce("named", "first_id").alias("component_id"),
+            F.coalesce("root", "key").alias("root"),
         ),
         "final-classes",
     )
     some = rows.where("n > 0").select("doc_id", "n", "key").join(final, (F.col("key") == F.col("k")) & (F.col("n") == F.col("m")))
-    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return some.select("doc_id", "n", "component_id").unionByName(none).withColumnRenamed("n", "n_shingles")
+    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "key", F.col("key").alias("root"))
+    return some.select("doc_id", "n", "component_id", "key", "root").unionByName(none).withColumnRenamed("n", "n_shingles")
+
+
+def _keys(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            keys = [set_key(shingle_set(text, width, known)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("hash"), pa.array(keys, pa.int64())], names=["id", "hash", "own"]
+            )
+
+    return run
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, with all columns.
+    """One row of each component, one whose doc_id is the smallest there, with all columns.
 
-    Of rows that repeat such a doc_id one stays; rows with a null doc_id stay.
+    Rows are judged each by its own text: if a doc_id repeats with unlike texts, each of them
+    stays or goes with its component. Of texts without n-grams each doc_id keeps one; rows with
+    a null doc_id stay.
     """
-    found = cut_lineage(ngram_classes(docs, width, num, den), "classed")
-    gone = cut_lineage(
-        found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies"
-    )
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    found = cut_lineage(_classed(docs, width, num, den), "classed")
     repeats = cut_lineage(
         found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"),
         "repeated-ids",
     )
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
     if repeats.isEmpty():
-        return kept
-    packed = kept.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"))
-    same = F.col("__doc") == F.col("__id")
-    one = Window.partitionBy("__id").orderBy(F.xxhash64("__row"))
-    single = packed.join(repeats, same).withColumn("__at", F.row_number().over(one)).where("__at = 1")
-    return packed.join(repeats, same, "left_anti").select("__row.*").unionByName(single.select("__row.*"))
+        return docs.join(cut_lineage(gone, "near-copies"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    # A doc_id that repeats is judged apart, row by row.
+    gone = cut_lineage(gone.unionByName(repeats.select(F.col("__id").alias("__gone"))).distinct(), "near-copies")
+    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    text = F.col("text").cast("binary")
+    packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64(text).alias("__hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    keys = texts.join(repeats, F.col("id") == F.col("__id"), "left_semi").mapInArrow(_keys(width), "id long, hash long, own long")
+    first = found.where("doc_id = component_id").select("doc_id", "key", "root").distinct()
+    first = first.join(repeats, F.col("doc_id") == F.col("__id"), "left_semi")
+    stay = cut_lineage(
+        keys.distinct().join(first, (F.col("id") == F.col("doc_id")) & (F.col("own") == F.col("key"))).select("id", "hash", "root"),
+        "first-of-components",
+    )
+    one = Window.partitionBy("id", "root").orderBy(F.xxhash64("__row"))
+    single = packed.join(stay, (F.col("__doc") == F.col("id")) & (F.col("__hash") == F.col("hash")))
+    single = single.withColumn("__at", F.row_number().over(one)).where("__at = 1")
+    return kept.unionByName(single.select("__row.*"))

@@ -98,3 +98,13 @@ def test_a_class_of_null_ids_links_others(documents):
     numbered = [(2 if i is None else i, t) for i, t in rows]
     want = {(None if i == 2 else i, c) for i, _, c in brute(numbered, 1, 90, 100)}
     assert got == want
+
+
+def test_repeated_ids_with_unlike_texts(documents):
+    """Each text of a repeated doc_id is judged on its own."""
+    words = [f"w{i}" for i in range(30)]
+    a, near, b, c = " ".join(words), " ".join([*words[:-1], "end"]), "all other words here", "and yet some more words"
+    rows = [(1, a), (5, near), (5, b), (5, b), (6, c), (6, b + " x y z"), (6, ""), (6, None), (7, "")]
+    kept = ngram_join.one_of_each(documents(rows), 1, 80, 100)
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == [(1, a), (5, b), (6, ""), (6, b + " x y z"), (6, c), (7, "")]
