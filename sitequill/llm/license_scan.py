@@ -100,6 +100,22 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def overlap(ordered: list[bytes], own: set[bytes], least: int) -> int:
+    """How many of the words are in a block, rarest first; 0 as soon as too few can follow.
+
+    Positional filter: at a place, the words found before it and those from it on bound the count.
+    """
+    if len(own) < least:
+        return 0
+    spare = len(ordered) - least
+    for word in ordered:
+        if word not in own:
+            spare -= 1
+            if spare < 0:
+                return 0
+    return least + spare
+
+
 class Index:
     """Templates with their words in rare-first order, and the prefix words that lead to them."""
 
@@ -109,10 +125,10 @@ class Index:
         self.ordered = [sorted(set(w), key=lambda x: (frequency.get(x, 0), x)) for w in self.words]
         self.least = [max(1, -(-len(o) * round(1000 * t.share) // 1000)) for o, t in zip(self.ordered, templates, strict=True)]
         self.stride = [max(4, len(w)) for w in self.words]
-        self.prefix: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.prefix: dict[bytes, list[int]] = defaultdict(list)
         for i, own in enumerate(self.ordered):
-            for place, word in enumerate(own[: len(own) - self.least[i] + 1]):
-                self.prefix[word].append((i, place))
+            for word in own[: len(own) - self.least[i] + 1]:
+                self.prefix[word].append(i)
 
     def matches(self, words: list[bytes]) -> list[tuple]:
         """(template, first word, end, containment) of each block, and of each phrase's place."""
@@ -120,17 +136,15 @@ class Index:
         for at, word in enumerate(words):
             if word not in prefix:
                 continue
-            for i, place in prefix[word]:
+            for i in prefix[word]:
                 stride, least = self.stride[i], self.least[i]
-                if len(self.ordered[i]) - place < least:
-                    continue
                 for block in (at // stride - 1, at // stride):
                     start, end = block * stride, min(len(words), (block + 2) * stride)
                     if block < 0 or (i, block) in seen or end - start < least:
                         continue
                     seen.add((i, block))
                     own = set(words[start:end])
-                    share = sum(w in own for w in self.ordered[i])
+                    share = overlap(self.ordered[i], own, least)
                     if share < least:
                         continue
                     if not self.templates[i].phrase:

@@ -59,3 +59,21 @@ def test_notices_have_their_labels(documents):
     for i, t in enumerate(NOTICES):
         assert t.label in got[i].labels.split(",") and got[i].score >= t.share
     assert (got[99].labels, got[99].score) == ("", 0.0)
+
+
+def test_positional_filter_rejects_early():
+    """A block that lacks rare words is given up before all words are looked up; counts stay exact."""
+    looked = []
+
+    class Block(set):
+        def __contains__(self, word):
+            looked.append(word)
+            return super().__contains__(word)
+
+    ordered = [b"w%d" % i for i in range(20)]
+    for least in (1, 5, 16, 20):
+        for own in (ordered, ordered[::2], ordered[3:], ordered[:4], [b"x"] * 3):
+            n = len(set(own) & set(ordered))
+            assert license_scan.overlap(ordered, set(own), least) == (n if n >= least else 0)
+    assert license_scan.overlap(ordered, Block([*ordered[5:], b"x"]), 16) == 0
+    assert len(looked) == 5
