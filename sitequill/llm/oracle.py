@@ -136,3 +136,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 100 * n_stutters > 30 * n_words OR 100 * n_upper > 40 * word_chars
     OR word_chars > 20 * n_words OR 2 * word_chars < 3 * n_words) AS kept
 FROM f"""
+
+
+def _crc32(text: str) -> str:
+    """Checksum of a string, bit by bit from its bytes in hexadecimal."""
+    digits = f"hex(encode({text}))"
+    bits = (
+        f"list_transform(range(0, 4 * length({digits})), lambda t: "
+        f"(instr('123456789ABCDEF', {digits}[2 * (t // 8) + CASE WHEN t % 8 < 4 THEN 2 ELSE 1 END]) >> (t % 4)) & 1)"
+    )
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), "
+        "lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    )
+
+
+ORACLE["op12_spelling"] = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, '{_UPPER}', '{_LOWER}') AS r, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents)
+  WHERE length(r) >= 5 GROUP BY ALL),
+h AS (SELECT *, {_crc32("doc_id || ':' || r")} AS h FROM runs),
+v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN r[1 : h % length(r)] || r[h % length(r) + 2 :] ELSE r END AS word, n FROM h)
+  WHERE length(word) >= 5 GROUP BY ALL HAVING sum(n) >= 3),
+less AS (
+  SELECT word, n, i, word[1 : i] || word[i + 2 :] AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM v)),
+pairs AS (
+  SELECT x.word AS a, x.n AS an, y.word AS b, y.n AS bn FROM less x JOIN less y USING (i, rest) WHERE x.word <> y.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM less x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, v.n, x.word, x.n FROM less x JOIN v ON x.rest = v.word),
+best AS (
+  SELECT a, any_value(an) AS an, count(*) AS n_near, first(b ORDER BY bn DESC, encode(b)) AS b, max(bn) AS bn FROM pairs GROUP BY a),
+f AS (
+  SELECT word, CASE WHEN bn >= 2 * n THEN b END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN bn >= 2 * n THEN bn END AS form_n FROM v LEFT JOIN best ON word = a),
+path(word, last) AS (
+  SELECT word, word FROM f UNION ALL SELECT p.word, f.form FROM path p JOIN f ON p.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, p.last AS root, f.n, f.n_near, f.form_n
+FROM f JOIN path p ON p.word = f.word JOIN f z ON z.word = p.last AND z.form IS NULL"""
+
+ORACLE["op13_conversation_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id AS c, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(said ORDER BY turn NULLS FIRST, said) AS said FROM t GROUP BY c),
+h AS (SELECT c, said, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM o),
+r AS (SELECT h.c, list_concat(coalesce(b.said[1 : h], []), h.said[h + 1 :]) AS said FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, d, said[1 : d] AS node, len(said) = d AS ends FROM (SELECT *, unnest(range(0, len(said) + 1)) AS d FROM r)),
+n AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(node[d].text, {_WORD})) ELSE 0 END AS words
+  FROM p GROUP BY node, d),
+k AS (SELECT node[1 : d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+nk AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, d)),
+s AS (
+  SELECT node[1 : e] AS node, e AS d, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM nk) GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM nk x JOIN s USING (node, d) LEFT JOIN nk u ON x.d > 0 AND u.d = x.d - 1 AND u.node = x.node[1 : x.d - 1]"""
