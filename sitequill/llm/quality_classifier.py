@@ -84,14 +84,15 @@ def _buckets(codes: np.ndarray, carried: int) -> np.ndarray:
 def features(text: str | None, known: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text, and values: roots of their shares, so that the norm is 1.
 
-    Very long texts are read in stretches, which share their last two words with the next one.
+    Very long texts are read in stretches. The next one gets the last three words: two for its n-grams, one
+    more to tell whether the first of these says its predecessor again.
     """
     words = map(known.__getitem__, map(re.Match.group, _WORD.finditer(text or "")))
     parts, last = [], []
     while own := list(islice(words, STRETCH)):
         codes = np.fromiter(chain(last, own), np.uint64, len(last) + len(own))
         parts.append(np.unique(_buckets(codes, len(last)), return_counts=True))
-        last = codes[-2:].tolist()
+        last = codes[-3:].tolist()
     if not parts:
         return np.empty(0, np.int64), np.empty(0)
     at, counts = parts[0]
