@@ -8,10 +8,11 @@ The clock counts whole seconds. Two rules exist:
   requests count, and each one restarts the ``w``-second expiry.
 
 Both depend on earlier requests of the client only through the counts of earlier seconds, so
-the log is first reduced to (client, second, count), combined on the map side. The sequential
-part runs over those narrow rows, at most 86,400 per client and day however busy the client
-is, and the verdicts come back by a join on (client, second), which spreads a hot client over
-its seconds.
+the log is first reduced to (client, second, count), combined on the map side. The history of
+a client is cut at pauses of a window, and the sequential part runs over the narrow rows of
+each piece by itself, at most 86,400 a day however busy the client is. The verdicts come back
+by a join on (client, second), which spreads a hot client over its seconds. Only a client that
+never pauses for a window stays one piece; its rows still stream through the task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 # Executors get these few functions with the query and need no installed package.
 register_pickle_by_value(sys.modules[__name__])
 
+DAY_S = 86_400
 ANCHORED = "anchored"
 REFRESHED = "refreshed"
 
@@ -80,14 +82,33 @@ def refreshed_step(sec, n, limit, window, state):
 STEPS = {ANCHORED: anchored_step, REFRESHED: refreshed_step}
 
 
-def _fold(keys: Sequence[str], mode: str):
-    """Walk through sorted seconds batch by batch, carrying one client's state across.
+def chunked(seconds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``chunk`` to rows (keys, sec, window_s): the second after the last pause of a window.
 
-    A client begins with the state in its columns ``mark`` and ``seen``, if it has one. They
-    come out as the state after the row, where a client's rows end in a batch of rows.
+    After a pause at least as long as the window any counter has expired, so chunks are folded
+    like clients of their own. Pauses are found inside each day of a client, and then between
+    its days, which are one row each; no client is sorted as a whole.
     """
+    keys, day = list(keys), [*keys, "_day"]
+    in_day = Window.partitionBy(*day).orderBy("sec")
+    pause = F.col("sec") - F.lag("sec").over(in_day) >= F.col("window_s")
+    marked = seconds.withColumn("_day", F.floor(F.col("sec") / DAY_S)).withColumn("_start", F.when(pause, F.col("sec")))
+    days = marked.groupBy(*day).agg(
+        F.min("sec").alias("_first"), F.max("sec").alias("_last"), F.max("_start").alias("_start"), F.max("window_s").alias("_window")
+    )
+    by_day = Window.partitionBy(*keys).orderBy("_day")
+    opens = F.coalesce(F.col("_first") - F.lag("_last").over(by_day) >= F.col("_window"), F.lit(True))
+    days = days.withColumn("_opened", F.when(opens, F.col("_first")))
+    newest = F.last(F.coalesce("_start", "_opened"), ignorenulls=True)
+    before = newest.over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*day, F.coalesce("_opened", before).alias("_entry"))
+    so_far = F.max("_start").over(in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.join(days, day).withColumn("chunk", F.coalesce(so_far, "_entry")).drop("_day", "_start", "_entry")
+
+
+def _fold(keys: Sequence[str], mode: str):
+    """Walk through sorted seconds batch by batch, carrying the state of one key across."""
     step = STEPS[mode]
-    whole = lambda v: None if v is None or v != v else int(v)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, state = None, None
@@ -103,20 +124,15 @@ def _fold(keys: Sequence[str], mode: str):
             ends = np.append(starts[1:], len(rows))
             sec, n = rows["sec"].to_numpy(), rows["n"].to_numpy()
             limits, windows = rows["max_requests"].to_numpy(), rows["window_s"].to_numpy()
-            marks, seen = rows["mark"].tolist(), rows["seen"].tolist()
             base = np.empty(len(rows), dtype="int64")
-            after = pd.DataFrame({"mark": pd.array([pd.NA] * len(rows), "Int64"), "seen": pd.array([pd.NA] * len(rows), "Int64")}, index=rows.index)
             for a, b in zip(starts, ends):
                 key = tuple(values[a] for values in columns)
                 if key != open_key:
                     open_key, state = key, None
-                    if whole(seen[a]) is not None:
-                        state = (whole(marks[a]), whole(seen[a]))
                 base[a:b], state = step(
                     sec[a:b], n[a:b], int(limits[a]), int(windows[a]), state
                 )
-                after.iloc[b - 1] = [pd.NA if state[0] is None else state[0], state[1]]
-            yield rows[[*keys, "sec"]].assign(base=base, mark=after["mark"], seen=after["seen"])
+            yield rows[[*keys, "sec"]].assign(base=base)
 
     return run
 
@@ -129,14 +145,9 @@ def with_limits(
     mode: str = ANCHORED,
     counted: Column | None = None,
     request_id: str = "request_id",
-    state: DataFrame | None = None,
-    keep_state: bool = False,
 ) -> DataFrame:
     """Add request_count, limited, remaining and reset_at to every counted request.
 
-    ``state`` (keys, mark, seen) is what earlier logs left behind. With ``keep_state`` the
-    columns sec, mark and seen stay: of the last second of a client they are its new state.
-
     ``keys`` name the client and must not be null; ``max_requests`` and ``window_s`` are
     constants or columns that are constant per key. Rows where ``counted`` is false pass
     with ``limited`` false and null counts.
@@ -159,19 +170,15 @@ def with_limits(
             F.max("window_s").alias("window_s"),
         )
     )
-    if state is None:
-        none = F.lit(None).cast("bigint")
-        seconds = seconds.withColumn("mark", none).withColumn("seen", none)
-    else:
-        seconds = seconds.join(state.select(*keys, "mark", "seen"), keys, "left")
+    folded = [*keys, "chunk"]
     key_fields = [requests.schema[k] for k in keys]
-    schema = T.StructType(
-        [*key_fields, *[T.StructField(name, T.LongType()) for name in ("sec", "base", "mark", "seen")]]
-    )
+    schema = T.StructType([*key_fields, *[T.StructField(name, T.LongType()) for name in ("chunk", "sec", "base")]])
     bases = (
-        seconds.repartition(*keys)
-        .sortWithinPartitions(*keys, "sec")
-        .mapInPandas(_fold(keys, mode), schema)
+        chunked(seconds, keys)
+        .repartition(*folded)
+        .sortWithinPartitions(*folded, "sec")
+        .mapInPandas(_fold(folded, mode), schema)
+        .drop("chunk")
     )
     same_second = Window.partitionBy(*keys, "sec").orderBy("ts", request_id)
     place = F.sum(F.col("_counted").cast("bigint")).over(
@@ -194,7 +201,7 @@ def with_limits(
             "remaining", F.greatest(F.lit(0).cast("bigint"), F.col("max_requests") - shown)
         )
         .withColumn("reset_at", F.when(F.col("_counted"), F.col("sec") + F.col("window_s")))
-        .drop("_counted", "_place", "_reached", "base", *([] if keep_state else ["sec", "mark", "seen"]))
+        .drop("_counted", "_place", "_reached", "base", "sec")
     )
 
 

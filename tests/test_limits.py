@@ -84,3 +84,25 @@ def test_rows_that_do_not_count(spark):
     got = {r.request_id: (r.request_count, r.limited) for r in judged.collect()}
     assert got == {0: (1, False), 1: (None, False), 2: (2, False), 3: (None, False),
                    4: (3, True), 5: (None, False)}
+
+
+@pytest.mark.parametrize("mode", [limits.ANCHORED, limits.REFRESHED])
+def test_one_client_over_many_chunks(spark, mode):
+    """Forty days with pauses inside days and over midnight: no chunk is longer than a day."""
+    rng = random.Random(4)
+    top, window, rows = 4, 600, []
+    for day in range(40):
+        for burst in rng.sample([0, 20_000, 50_000, 86_000], rng.choice([1, 2, 3])):
+            # The last burst of a day goes on after midnight.
+            start = 86_400 * day + burst
+            rows += [("a", start + rng.randrange(900), len(rows) + i) for i in range(rng.choice([1, 30]))]
+    judged = limits.with_limits(frame(spark, rows), ["client"], top, window, mode)
+    got = {r.request_id: (r.request_count, r.limited) for r in judged.collect()}
+    assert got == plain_fold(rows, top, window, mode)
+
+    seconds = frame(spark, rows).select("client", F.unix_seconds("ts").alias("sec"), F.lit(window).alias("window_s")).distinct()
+    chunks = limits.chunked(seconds, ["client"]).groupBy("chunk").agg(F.min("sec").alias("a"), F.max("sec").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+    assert len(chunks) > 40 and all(c.chunk == c.a and c.b - c.a < 86_400 for c in chunks)
+    assert all(y.a - x.b >= window for x, y in zip(chunks, chunks[1:]))
+    assert any(c.a // 86_400 < c.b // 86_400 for c in chunks)
+    assert max(c.n for c in chunks) < sum(c.n for c in chunks) / 10

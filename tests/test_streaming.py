@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -41,3 +42,19 @@ def test_late_rows_are_set_aside_and_none_is_lost(spark):
     got = {r.request_id: (r.request_count, r.limited) for r in verdicts.collect()}
     assert got == {0: (1, False), 2: (2, False), 3: (1, False)}
     assert sorted(r.request_id for r in late.collect()) == [1, 4]
+
+
+def test_state_of_a_client_ends(spark):
+    """Clients that stay away leave the state store; one that comes back starts anew."""
+    folder = work_folder(spark, "test-stream-ttl")
+    sizes = []
+    for n, clients in enumerate([[f"c{i}" for i in range(30)], ["x"], ["c0"]]):
+        rows = [(c, datetime.fromtimestamp(100 + n, timezone.utc), 100 * n + i, 1, 60) for i, c in enumerate(clients)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+        query = limit_stream(source, ["client"], f"{folder}/out", f"{folder}/state", ttl_s=1)
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        time.sleep(1.5)
+    assert sizes[0] == 30 and sizes[1] < 5 and sizes[2] < 5
+    assert not any(r.limited for r in read_limits(spark, f"{folder}/out").collect())
