@@ -15,7 +15,7 @@ from sitequill.operators.routing import INDEX_PATH, ITEM_PATH
 from sitequill.operators.scale import lookup_join
 from sitequill.plans.tables import Tables
 from sitequill.session import cut_lineage
-from sitequill.sources.tables import append_artifacts, read_artifacts
+from sitequill.sources.artifacts import append_artifacts, read_artifacts
 
 
 def render_items(

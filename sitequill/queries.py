@@ -24,7 +24,7 @@ from sitequill.plans import rebuild
 from sitequill.plans.tables import Tables
 from sitequill.session import work_folder
 from sitequill.sources import sample
-from sitequill.sources.tables import read_artifacts
+from sitequill.sources.artifacts import merge_artifacts, read_artifacts, remove_merged
 from sitequill.streaming import jobs
 from sitequill.streaming.limits import limit_stream, read_limits
 
@@ -579,6 +579,7 @@ def live_artifacts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(False).alias("is_autosave"), F.lit(False).alias("is_revision"),
     )
     rebuild.rebuild_stored(replace(tables, content=later), trashed, folder, now, 1)
+    merge_artifacts(spark, folder, now)
     stored = read_artifacts(spark, folder)
     rebuild.clear_kind(stored, text.LISTING_PREFIX, folder, now, "2")
     return read_artifacts(spark, folder).select(

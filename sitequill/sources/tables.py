@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitequill.sources.schemas import TABLES
 
@@ -44,42 +43,3 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append") -> No
 def write_events(events: DataFrame, path: str, run: str | int) -> None:
     """Add the events of one run; a run owns its folder, so running it again leaves one copy."""
     events.write.mode("overwrite").parquet(f"{path}/run={run}")
-
-
-def append_artifacts(artifacts: DataFrame, path: str, batch: str | int) -> None:
-    """Add one batch of rendered artefacts.
-
-    A batch owns its directory and overwrites only that, so a batch that runs again after a
-    failure leaves one copy.
-    """
-    (
-        artifacts.select(*TABLES["artifacts"].fieldNames())
-        .write.mode("overwrite")
-        .partitionBy("kind")
-        .parquet(f"{path}/batch={batch}")
-    )
-
-
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every artefact; a null content marks a removed one."""
-    rows = (
-        spark.read.option("basePath", path)
-        .option("recursiveFileLookup", "false")
-        .parquet(f"{path}/batch=*")
-    )
-    return latest_artifacts(rows.withColumn("written_at", F.col("_metadata.file_modification_time")))
-
-
-def latest_artifacts(rows: DataFrame) -> DataFrame:
-    """Newest row per key: by time, and of one time the row that was written last.
-
-    The newest time is found on narrow rows; texts are joined with it once. Rows that were
-    written at once come from one batch, where a key has one row.
-    """
-    key, made = ["site_id", "kind", "artifact_key"], ["generated_at", "written_at"]
-    newest = rows.groupBy(*key).agg(F.max(F.struct(*made)).alias("newest")).select(*key, "newest.*")
-    return (
-        rows.filter(F.col("content").isNotNull())
-        .join(newest, [*key, *made], "left_semi")
-        .select(*TABLES["artifacts"].fieldNames())
-    )

@@ -11,19 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sitequill.operators.agents import agent_activity
 from sitequill.plans.rebuild import rebuilt
 from sitequill.plans.tables import Tables
-from sitequill.sources.tables import append_artifacts
-
-
-def append_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append a stream to a parquet table, exactly once."""
-    return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+from sitequill.sources.artifacts import append_artifacts
 
 
 def activity_stream(
@@ -76,4 +64,3 @@ def rebuild_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-

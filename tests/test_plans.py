@@ -1,7 +1,7 @@
 """Whole jobs on tables written to disk and read back with their schemas."""
 
 import os
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from sitequill.plans import rebuild, traffic
 from sitequill.plans.tables import Tables
 from sitequill.session import work_folder
 from sitequill.sources import sample, schemas
-from sitequill.sources.tables import read_artifacts, read_table, write_documents
+from sitequill.sources.artifacts import append_artifacts, merge_artifacts, read_artifacts, remove_merged, stored_artifacts
+from sitequill.sources.tables import read_table, write_documents
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample data")
@@ -76,3 +77,56 @@ def test_documents_sink(spark, stored):
 
 def test_listable_types(spark):
     assert {r.post_type for r in listable_types(sample.type_labels(spark)).collect()} == {"post", "page"}
+
+
+def _batch(spark, made, rows):
+    return spark.createDataFrame(
+        [("s", k, "item", text, datetime.fromtimestamp(made, timezone.utc), 300, None) for k, text in rows], schemas.ARTIFACTS
+    )
+
+
+def _texts(frame):
+    return sorted((r.artifact_key, r.content) for r in frame.collect())
+
+
+def test_store_before_and_after_merging(spark):
+    path = work_folder(spark, "test-store")
+    later = F.timestamp_seconds(F.lit(2000))
+    append_artifacts(_batch(spark, 1000, [("a", "a0"), ("b", "b0"), ("c", "c0"), ("d", "d0")]), path, 0, buckets=4)
+    append_artifacts(_batch(spark, 1000, [("a", "a1"), ("b", None)]), path, 1)
+    append_artifacts(_batch(spark, 1000, [("c", "c10")]), path, "stream-10")
+    append_artifacts(_batch(spark, 1000, [("c", "c9")]), path, "stream-9")
+    want = [("a", "a1"), ("c", "c10"), ("d", "d0")]
+    assert _texts(read_artifacts(spark, path)) == want
+    assert merge_artifacts(spark, path, F.timestamp_seconds(F.lit(1100))) == 1
+    assert _texts(read_artifacts(spark, path)) == want
+    # The removed key is kept for its lifetime, then dropped.
+    assert ("b", None) in _texts(stored_artifacts(spark, path))
+    append_artifacts(_batch(spark, 900, [("a", "older")]), path, 2)
+    append_artifacts(_batch(spark, 1500, [("d", "d3"), ("e", "e3")]), path, 3)
+    # A merged batch that runs again changes nothing, whatever it writes.
+    append_artifacts(_batch(spark, 3000, [("a", "again")]), path, 0)
+    want = [("a", "a1"), ("c", "c10"), ("d", "d3"), ("e", "e3")]
+    assert _texts(read_artifacts(spark, path)) == want
+    assert merge_artifacts(spark, path, later) == 2
+    assert _texts(stored_artifacts(spark, path)) == want
+    remove_merged(spark, path)
+    assert _texts(read_artifacts(spark, path)) == want
+    assert not os.path.exists(f"{path}/base/version=1") and not [x for x in os.listdir(f"{path}/delta") if x.startswith("batch=")]
+    append_artifacts(_batch(spark, 2500, [("a", None)]), path, 4)
+    assert _texts(read_artifacts(spark, path)) == want[1:]
+
+
+def test_readers_and_merging_exchange_nothing(spark):
+    path = work_folder(spark, "test-store-plan")
+    append_artifacts(_batch(spark, 1000, [(f"k{i}", "x") for i in range(50)]), path, 0, buckets=4)
+    merge_artifacts(spark, path, F.timestamp_seconds(F.lit(1000)))
+    append_artifacts(_batch(spark, 1001, [(f"k{i}", "y") for i in range(25)]), path, 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = read_artifacts(spark, path)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.content for r in rows.collect()) == ["x"] * 25 + ["y"] * 25
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ShuffledHashJoin") == 3 and "Exchange" not in plan
