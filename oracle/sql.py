@@ -894,6 +894,32 @@ stale AS (
   UNION SELECT site_id, 'item', 'content_' || post_type || '_' || slug FROM changed
   UNION SELECT c.site_id, 'listing', 'listing_' || md5(array_to_string(post_types, ','))
   FROM changed c JOIN settings USING (site_id))"""
+SNAPSHOTS = f"""{CONTENT},
+later AS (
+  SELECT * REPLACE (
+    CASE WHEN post_id % 7 <> 3 THEN status WHEN status = 'publish' THEN 'draft' ELSE 'publish' END AS status,
+    CASE WHEN post_id % 13 = 5 THEN slug || '-moved' ELSE slug END AS slug)
+  FROM content WHERE post_id % 11 <> 10),
+met AS (
+  SELECT coalesce(n.site_id, o.site_id) AS site_id, coalesce(n.post_id, o.post_id) AS post_id, o.post_type AS ot, n.post_type AS nt,
+    o.slug AS os, n.slug AS ns, o.status AS old_status, n.status AS new_status
+  FROM (SELECT * FROM content WHERE post_id % 17 <> 4) o FULL JOIN later n ON o.site_id = n.site_id AND o.post_id = n.post_id),
+diff AS (
+  SELECT site_id, post_id, 'save' AS event, nt AS post_type, ns AS slug, old_status, new_status FROM met
+  WHERE nt IS NOT NULL AND (ot IS NULL OR os <> ns OR post_id % 5 = 2)
+  UNION ALL SELECT site_id, post_id, 'transition', nt, ns, old_status, new_status FROM met WHERE old_status <> new_status
+  UNION ALL SELECT site_id, post_id, 'delete', ot, os, old_status, new_status FROM met WHERE nt IS NULL OR os <> ns)"""
+ORACLE["snapshot_changes"] = f"WITH {SNAPSHOTS} SELECT * FROM diff"
+ORACLE["snapshot_stale_keys"] = f"""WITH {SNAPSHOTS}, {SETTINGS},
+told AS (
+  SELECT DISTINCT site_id, post_id, post_type, slug FROM diff
+  WHERE event <> 'transition' OR 'publish' IN (old_status, new_status)
+  UNION SELECT l.site_id, l.post_id, l.post_type, l.slug FROM later l
+  SEMI JOIN (SELECT * FROM diff WHERE event <> 'transition' OR 'publish' IN (old_status, new_status)) d
+  ON d.site_id = l.site_id AND d.post_id = l.post_id)
+SELECT site_id, 'item' AS kind, 'content_' || post_type || '_' || post_id AS artifact_key FROM told
+UNION SELECT site_id, 'item', 'content_' || post_type || '_' || slug FROM told
+UNION SELECT t.site_id, 'listing', 'listing_' || md5(array_to_string(post_types, ',')) FROM told t JOIN settings USING (site_id)"""
 OLD = f"{ARTIFACTS}, old AS (SELECT * FROM artifacts WHERE made_s + ttl_s <= {NOW_S})"
 ORACLE["stale_keys"] = f"WITH {STALE} SELECT * FROM stale"
 ORACLE["expired"] = f"""WITH {CONTENT}, {SITES}, {OLD}

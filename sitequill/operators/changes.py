@@ -28,27 +28,22 @@ def relevant(changes: DataFrame) -> DataFrame:
 
 
 def changed_posts(changes: DataFrame, content: DataFrame) -> DataFrame:
-    """Posts with a relevant change, each once; a busy post collapses map-side.
+    """Addresses (post_type, slug) of posts with a relevant change, each once.
 
-    A post that is gone from the content is known only if the change row carries its
-    ``post_type`` and ``slug``, as a deletion should.
+    Changes may carry ``post_type`` and ``slug``, as a deletion should, since the content no longer
+    has them, and as a move does for the address that was left. Busy posts collapse map-side.
     """
-    known = content.select("site_id", "post_id", "post_type", "slug", "status")
+    known = content.select("site_id", "post_id", "post_type", "slug")
     post = ["site_id", "post_id"]
     if not {"post_type", "slug"} <= set(changes.columns):
         return relevant(changes).select(*post).distinct().join(known, post)
-    told = relevant(changes).groupBy(*post).agg(F.max(F.struct("ts", "post_type", "slug")).alias("told"))
-    found = told.join(known, post, "left").select(
-        *post,
-        F.coalesce("post_type", "told.post_type").alias("post_type"),
-        F.coalesce("slug", "told.slug").alias("slug"),
-        "status",
-    )
-    return found.dropna(subset=["post_type", "slug"])
+    told = relevant(changes).select(*post, "post_type", "slug").distinct()
+    found = told.select(*post).distinct().join(known, post)
+    return found.unionByName(told.dropna(subset=["post_type", "slug"])).distinct()
 
 
 def stale_keys(changes: DataFrame, content: DataFrame, settings: DataFrame) -> DataFrame:
-    """Three keys per changed post: the item by id, the item by slug, the site's listing."""
+    """Three keys per changed address: the item by id, the item by slug, the site's listing."""
     posts = lookup_join(
         changed_posts(changes, content),
         settings.select("site_id", "post_types"),
@@ -67,6 +62,46 @@ def stale_keys(changes: DataFrame, content: DataFrame, settings: DataFrame) -> D
     )
 
 
+def _state(content: DataFrame, name: str) -> DataFrame:
+    """One narrow row per post: address, status and a digest of all else, taken in the scan."""
+    rest = [c for c in content.columns if c not in ("site_id", "post_id", "post_type", "slug", "status")]
+    digest = F.struct(F.xxhash64(*rest).alias("a"), F.xxhash64(F.lit("second"), *reversed(rest)).alias("b"))
+    rows = content.select("site_id", "post_id", F.struct("post_type", "slug", "status", digest.alias("digest")).alias("s"))
+    return rows.groupBy("site_id", "post_id").agg(F.max("s").alias(name))
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, at: Column) -> DataFrame:
+    """The change feed that leads from one snapshot of the content to another.
+
+    A post that came or differs gives a save, one that went a delete, one whose status differs a
+    transition as well; one with a new address gives a delete of the address it left. Rows carry
+    ``post_type`` and ``slug``. Bodies are compared by 128 bits of hash and never shuffled; the
+    snapshots meet in one join on the post. Of rows that share a post one counts.
+    """
+    joined = _state(before, "old").join(_state(after, "new"), ["site_id", "post_id"], "full")
+    old, new = F.col("old"), F.col("new")
+    came, went = old.isNull(), new.isNull()
+    moved = (old["post_type"] != new["post_type"]) | (old["slug"] != new["slug"])
+    kept = ~came & ~went
+
+    def event(name: str, of: Column, when: Column) -> Column:
+        row = F.struct(
+            F.lit(name).alias("event"), of["post_type"].alias("post_type"), of["slug"].alias("slug"),
+            old["status"].alias("old_status"), new["status"].alias("new_status"),
+        )
+        return F.when(F.coalesce(when, F.lit(False)), row)
+
+    events = F.array_compact(F.array(
+        event("save", new, came | (kept & ((old["digest"] != new["digest"]) | moved))),
+        event("transition", new, kept & (old["status"] != new["status"])),
+        event("delete", old, went | (kept & moved)),
+    ))
+    return joined.select("site_id", "post_id", F.explode(events).alias("e")).select(
+        "site_id", "post_id", at.cast("timestamp").alias("ts"), "e.*",
+        F.lit(False).alias("is_autosave"), F.lit(False).alias("is_revision"),
+    )
+
+
 def expired(artifacts: DataFrame, now: Column) -> DataFrame:
     """Artefacts whose lifetime is over at ``now``."""
     return artifacts.filter(
@@ -85,23 +120,25 @@ def keys_to_rebuild(stale: DataFrame, old: DataFrame) -> DataFrame:
     return stale.select(*columns).unionByName(old.select(*columns)).distinct()
 
 
+def live_items(content: DataFrame, settings: DataFrame) -> DataFrame:
+    """One published, allowed post per item key, on narrow columns: site_id, post_id, artifact_key."""
+    return of_types(newest_by_slug(content), settings).select(
+        "site_id", "post_id", item_key(F.col("post_type"), F.col("slug")).alias("artifact_key")
+    )
+
+
+def wanted_items(live: DataFrame, keys: DataFrame) -> DataFrame:
+    """The posts (site_id, post_id) of those live items whose key is stale or expired."""
+    items = keys.filter(F.col("kind") == "item").select("site_id", "artifact_key")
+    return live.join(items, ["site_id", "artifact_key"], "left_semi").select("site_id", "post_id")
+
+
 def items_to_rebuild(content: DataFrame, settings: DataFrame, keys: DataFrame) -> DataFrame:
     """Published, allowed content whose artefact is stale or expired, one post per key.
 
     A scan of narrow columns finds the posts; bodies are read only for those.
     """
-    items = keys.filter(F.col("kind") == "item").select("site_id", "artifact_key")
-    wanted = (
-        of_types(newest_by_slug(content), settings)
-        .select(
-            "site_id",
-            "post_id",
-            item_key(F.col("post_type"), F.col("slug")).alias("artifact_key"),
-        )
-        .join(items, ["site_id", "artifact_key"], "left_semi")
-        .select("site_id", "post_id")
-    )
-    return content.join(wanted, ["site_id", "post_id"], "left_semi")
+    return content.join(wanted_items(live_items(content, settings), keys), ["site_id", "post_id"], "left_semi")
 
 
 def cleared_counts(artifacts: DataFrame) -> DataFrame:

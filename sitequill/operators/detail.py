@@ -85,7 +85,7 @@ def page_documents(
     if wanted is not None:
         details = details.join(wanted, post, "left_semi")
     sides = media.select(*post, "image_url", "image_alt")
-    details = details.join(term_strings(terms), post, "left").join(sides, post, "left")
+    details = details.join(term_strings(terms, wanted), post, "left").join(sides, post, "left")
     names = sites.select("site_id", "site_name", "home_url")
     details = lookup_join(with_author(details, authors), names, ["site_id"]).drop("author_id")
     rows = pages.join(details, post)

@@ -63,6 +63,7 @@ def render_listings(tables: Tables, site_ids: DataFrame | None, now: Column) ->
 def render_all(tables: Tables, path: str, now: Column, batch: str | int = 0) -> None:
     """First run: every page and every index."""
     # One post per slug: of posts that share a slug only the newest can be reached.
+    tables = tables.plain()
     newest = of_types(newest_by_slug(tables.content), tables.settings)
     items = render_items(
         tables, published(tables.content), now, newest.select("site_id", "post_id")
@@ -82,21 +83,18 @@ def rebuilt(
     stale = ch.stale_keys(changes, tables.content, tables.settings)
     keys = stale if artifacts is None else ch.keys_to_rebuild(stale, ch.expired(artifacts, now))
     keys = cut_lineage(keys, "stale-keys")
-    items = render_items(
-        tables, ch.items_to_rebuild(tables.content, tables.settings, keys), now
-    )
+    # From here on only the touched sites are read.
+    touched = cut_lineage(keys.select("site_id").distinct(), "touched-sites")
+    tables = tables.touched(touched)
+    narrow = tables.content.select("site_id", "post_id", "post_type", "slug", "status", "published_at", "permalink")
+    live = cut_lineage(ch.live_items(narrow.join(touched, "site_id", "left_semi"), tables.settings), "live-items")
+    wanted = cut_lineage(ch.wanted_items(live, keys), "wanted-items")
+    items = render_items(tables, tables.content.join(wanted, ["site_id", "post_id"], "left_semi"), now, wanted)
     sites = keys.filter(F.col("kind") == "listing").select("site_id").distinct()
     fresh = items.unionByName(render_listings(tables, sites, now))
     # A key that is stale but has no published, allowed source any more is removed.
-    alive = (
-        of_types(published(tables.content), tables.settings)
-        .select("site_id", item_key(F.col("post_type"), F.col("slug")).alias("artifact_key"))
-        .unionByName(
-            tables.settings.select(
-                "site_id", listing_key(F.col("post_types")).alias("artifact_key")
-            )
-        )
-    )
+    listings = tables.settings.select("site_id", listing_key(F.col("post_types")).alias("artifact_key"))
+    alive = live.select("site_id", "artifact_key").unionByName(listings)
     gone = keys.join(alive, ["site_id", "artifact_key"], "left_anti")
     if artifacts is not None:
         stored = artifacts.select("site_id", "kind", "artifact_key")

@@ -532,6 +532,23 @@ def stale_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _stale(spark, sf)
 
 
+def _snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.snapshot_changes(*sample.snapshots(spark, sf), F.timestamp_seconds(F.lit(NOW_S)))
+
+
+@query
+def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return _snapshot_changes(spark, sf).select(
+        "site_id", "post_id", "event", "post_type", "slug", "old_status", "new_status"
+    )
+
+
+@query
+def snapshot_stale_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The diff of two snapshots as a change feed: moved posts leave the key of their old address stale."""
+    return changes.stale_keys(_snapshot_changes(spark, sf), sample.snapshots(spark, sf)[1], _settings(spark, sf))
+
+
 @query
 def expired(spark: SparkSession, sf: str) -> DataFrame:
     return _expired(spark, sf).select("site_id", "kind", "artifact_key", "ttl_s")

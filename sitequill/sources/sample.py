@@ -350,6 +350,18 @@ def changes_from(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
     )
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the content: some posts came, went, were edited, moved or changed status."""
+    rows, post = content(spark, sf_dir), F.col("post_id")
+    flipped = F.when(F.col("status") == "publish", "draft").otherwise("publish")
+    after = rows.filter(post % 11 != 10).withColumns({
+        "status": F.when(post % 7 == 3, flipped).otherwise(F.col("status")),
+        "slug": F.when(post % 13 == 5, F.concat("slug", F.lit("-moved"))).otherwise(F.col("slug")),
+        "content": F.when(post % 5 == 2, F.concat("content", F.lit("<p>more</p>"))).otherwise(F.col("content")),
+    })
+    return rows.filter(post % 17 != 4), after
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artefacts as an earlier run may have left them: one per page and one per site."""
     from sitequill.functions.text import item_key, listing_key

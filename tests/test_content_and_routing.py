@@ -311,3 +311,31 @@ def test_bodies_travel_at_most_once(spark, make, sides):
     assert len(inputs) > 3
     assert not [x for x in inputs if "content#" in x]
     assert len([x for x in inputs if "body#" in x]) == 1
+
+
+def test_snapshots_give_a_change_feed(make):
+    before = make("CONTENT", [post(1), post(2), post(3, status="draft"), post(4, slug="old"), post(5), post(6)])
+    after = make("CONTENT", [post(1), post(2, content="new"), post(3), post(4, slug="new"), post(6, status="trash"), post(7), post(7)])
+    feed = changes.snapshot_changes(before, after, F.timestamp_seconds(F.lit(9)))
+    got = [(r.post_id, r.event, r.slug, r.old_status, r.new_status) for r in feed.collect()]
+    assert sorted(got) == sorted([
+        (2, "save", "test-post-2", "publish", "publish"), (3, "transition", "test-post-3", "draft", "publish"),
+        (4, "delete", "old", "publish", "publish"), (4, "save", "new", "publish", "publish"),
+        (5, "delete", "test-post-5", "publish", None), (6, "transition", "test-post-6", "publish", "trash"),
+        (7, "save", "test-post-7", None, "publish"),
+    ])
+    keys = {k.artifact_key for k in changes.stale_keys(feed, after, settings_of(make)).collect()}
+    assert {"content_post_old", "content_post_new", "content_post_test-post-5"} <= keys and "content_post_1" not in keys
+    assert changes.snapshot_changes(after, after, F.current_timestamp()).collect() == []
+
+
+def test_bodies_stay_out_of_the_diff(spark, make):
+    rows = make("CONTENT", [post(1)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        feed = changes.snapshot_changes(rows, rows, F.current_timestamp())
+        plan = spark._jvm.PythonSQLUtils.explainString(feed._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    inputs = [part.split("\n")[1] for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert len(inputs) == 2 and not [x for x in inputs if "content#" in x]

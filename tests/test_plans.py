@@ -1,6 +1,7 @@
 """Whole jobs on tables written to disk and read back with their schemas."""
 
 import os
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sitequill.functions.text import ITEM_PREFIX
 from sitequill.operators.content import listable_types
 from sitequill.plans import rebuild, traffic
-from sitequill.plans.tables import Tables
+from sitequill.plans.tables import SITE_BUCKETS, Tables, site_bucket, write_by_site
 from sitequill.session import work_folder
 from sitequill.sources import sample, schemas
 from sitequill.sources.artifacts import append_artifacts, merge_artifacts, read_artifacts, remove_merged, stored_artifacts
@@ -130,3 +131,33 @@ def test_readers_and_merging_exchange_nothing(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("ShuffledHashJoin") == 3 and "Exchange" not in plan
+
+
+def test_only_touched_sites_are_read(spark, stored):
+    """Content, terms and media are scanned in the folders of the touched site; the rows stay the same."""
+    plain, root = Tables.read(spark, stored), work_folder(spark, "test-by-site")
+    for name in ("content", "terms", "media"):
+        write_by_site(getattr(plain, name), f"{root}/{name}")
+    for name in ("authors", "sites", "type_labels", "site_settings"):
+        read_table(spark, name, f"{stored}/{name}").write.parquet(f"{root}/{name}")
+    tables = Tables.read(spark, root)
+    post = plain.content.filter("status = 'publish'").orderBy("post_id").first()
+    change = spark.createDataFrame(
+        [(1, datetime(2024, 1, 1), post.site_id, post.post_id, "save", None, None, False, False)], schemas.CONTENT_CHANGES
+    )
+    touched = tables.touched(change)
+    bucket = spark.range(1).select(site_bucket(F.lit(post.site_id))).first()[0]
+    assert 0 <= bucket < SITE_BUCKETS
+    for name in ("content", "terms", "media"):
+        scanned = getattr(touched, name)
+        plan = scanned._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"PartitionFilters: \[[^\]]*site_bucket#\d+ = {bucket}\)", plan)
+    files = touched.content.select(F.input_file_name()).distinct().collect()
+    assert files and all(f"site_bucket={bucket}/" in f[0] for f in files)
+    now = F.timestamp_seconds(F.lit(1000))
+    got, want = (rebuild.rebuilt(t, change, None, now).select("artifact_key", "source_hash").collect() for t in (tables, plain))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 1
+    # Writing one site again leaves the folders of the others alone.
+    write_by_site(plain.terms.filter(F.col("site_id") == post.site_id).withColumn("name", F.lit("only")), f"{root}/terms")
+    terms = Tables.read(spark, root).terms
+    assert terms.filter("name <> 'only'").count() == plain.terms.filter(site_bucket(F.col("site_id")) != bucket).count()
