@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sitequill.functions.basics import let
 from sitequill.functions.text import header_text
+from sitequill.operators.scale import lookup_join
+from sitequill.session import cut_lineage
 
 # The known agent tokens by vendor. The order decides between overlapping ones.
 KNOWN_AGENTS = {
@@ -104,6 +106,54 @@ def with_agent(requests: DataFrame, tokens: Column | None = None) -> DataFrame:
     ).withColumn("is_agent", F.col("agent").isNotNull())
 
 
+PART = 3
+
+
+def _parts(text: Column) -> Column:
+    """The distinct runs of PART characters of a text, or the whole of a shorter one."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (PART - 1), F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(PART))))
+
+
+def custom_matches(requests: DataFrame, lists: DataFrame) -> DataFrame:
+    """The first listed token in each distinct User-Agent of a site: site_id, lower_agent, token.
+
+    ``lists`` has the site's tokens in ``custom_agents``. A token is filed under its rarest run of
+    three characters, counted over the distinct User-Agents; only User-Agents with that run
+    are compared with it, so a long list is not walked for each of them. Tokens of fewer
+    characters have no such run and are compared with every distinct User-Agent of their site.
+    """
+    lower = F.lower(header_text(F.col("user_agent")))
+    seen = requests.select("site_id", lower.alias("lower_agent")).filter(F.col("lower_agent") != "").distinct()
+    seen = cut_lineage(seen, "user-agents")
+    tokens = lists.select("site_id", F.posexplode("custom_agents").alias("rank", "token"))
+    tokens = tokens.select("site_id", "rank", "token", F.lower("token").alias("lower_token"))
+    parts = seen.select("site_id", "lower_agent", F.explode(_parts(F.col("lower_agent"))).alias("part"))
+    common = parts.groupBy("part").agg(F.count("*").alias("n"))
+    long = tokens.filter(F.length("lower_token") >= PART)
+    wanted = long.select("lower_token").distinct().withColumn("part", F.explode(_parts(F.col("lower_token"))))
+    # A run that no User-Agent has is the rarest there is: its token matches nothing.
+    rarest = lookup_join(wanted, common, ["part"]).groupBy("lower_token").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r")
+    )
+    filed = lookup_join(long, rarest.select("lower_token", F.col("r.part").alias("part")), ["lower_token"], "inner")
+    met = parts.join(filed, ["site_id", "part"]).filter(F.col("lower_agent").contains(F.col("lower_token")))
+    short = tokens.filter(F.length("lower_token") < PART)
+    walked = seen.join(short, "site_id").filter(F.col("lower_agent").contains(F.col("lower_token")))
+    found = met.select("site_id", "lower_agent", "rank", "token").unionByName(walked.select("site_id", "lower_agent", "rank", "token"))
+    return found.groupBy("site_id", "lower_agent").agg(F.min(F.struct("rank", "token")).alias("first")).select(
+        "site_id", "lower_agent", "first.token"
+    )
+
+
+def with_indexed_agent(requests: DataFrame, lists: DataFrame) -> DataFrame:
+    """As ``with_agent`` with the site's own tokens, looked up once per distinct User-Agent."""
+    lower = F.lower(header_text(F.col("user_agent")))
+    rows = lookup_join(requests.withColumn("lower_agent", lower), custom_matches(requests, lists), ["site_id", "lower_agent"])
+    name = F.coalesce(agent_name(F.col("user_agent"), F.col("accept")), F.concat(F.lit(CUSTOM_PREFIX), "token"))
+    return rows.withColumn("agent", name).withColumn("is_agent", F.col("agent").isNotNull()).drop("lower_agent", "token")
+
+
 def agent_activity(
     requests: DataFrame, width: str = "1 day", keys: Sequence[str] = ()
 ) -> DataFrame:

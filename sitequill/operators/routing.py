@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +17,20 @@ from sitequill.operators.agents import agent_name
 from sitequill.operators.content import newest_by_slug, of_types
 from sitequill.operators.limits import ANCHORED, with_limits
 from sitequill.operators.scale import lookup_join
+from sitequill.session import cut_lineage
+
+# Executors get these few functions with the query and need no installed package.
+register_pickle_by_value(sys.modules[__name__])
+
+#: Length of a prefix that names a family of addresses and no bit.
+FAMILY_MARK = 2
 
 # Routes, states and messages.
 INDEX_ROUTE = r"^/llms\.txt$"
 ITEM_ROUTE = "^/ai/content/([^/]+)/([^/]+)/?$"
 PAGE_ROUTE = "^/ai/content/([^/]+)/?$"
+ENDPOINTS = ["index", "item", "page"]
+OTHER = "other"
 INDEX_PATH = "/llms.txt"
 ITEM_PATH = "/ai/content/"
 REDIRECT_STATUS = 307
@@ -62,21 +74,38 @@ MARKDOWN_CONTENT_TYPE = "text/markdown; charset=utf-8"
 SERVICE_NAME = "Site index"
 
 
+def _parameter(path: Column, name: str) -> Column:
+    """The value of a parameter in the query part of an address; null when it isn't there."""
+    pattern = rf"^/(?:index\.php)?[?](?:[^#]*&)?{name}=([^&#]*)"
+    return F.when(path.rlike(pattern), F.regexp_extract(path, pattern, 1))
+
+
 def with_route(requests: DataFrame) -> DataFrame:
-    """Add endpoint (index, item, page or null), route_type, route_slug and route_page."""
+    """Add endpoint (index, item, page, other or null), route_type, route_slug and route_page.
+
+    A front address may name the endpoint in its parameter ``endpoint``, with the parts in
+    ``type``, ``slug`` and ``page``; a name that is none of the endpoints is ``other``.
+    """
     path = F.col("path")
     part = lambda pattern, n: F.regexp_extract(path, pattern, n)
+    named = F.nullif(_parameter(path, "endpoint"), F.lit(""))
     endpoint = (
         F.when(path.rlike(INDEX_ROUTE), "index")
         .when(path.rlike(ITEM_ROUTE), "item")
         .when(path.rlike(PAGE_ROUTE), "page")
+        .when(named.isin(ENDPOINTS), named)
+        .when(named.isNotNull(), OTHER)
     )
     routed = requests.withColumn("endpoint", endpoint)
     is_item, is_page = F.col("endpoint") == "item", F.col("endpoint") == "page"
+
+    def of(pattern: str, n: int, name: str) -> Column:
+        return F.coalesce(F.when(path.rlike(pattern), part(pattern, n)), _parameter(path, name), F.lit(""))
+
     return (
-        routed.withColumn("route_type", F.when(is_item, key_normalise(part(ITEM_ROUTE, 1))))
-        .withColumn("route_slug", F.when(is_item, slug_normalise(part(ITEM_ROUTE, 2))))
-        .withColumn("route_page", F.when(is_page, key_normalise(part(PAGE_ROUTE, 1))))
+        routed.withColumn("route_type", F.when(is_item, key_normalise(of(ITEM_ROUTE, 1, "type"))))
+        .withColumn("route_slug", F.when(is_item, slug_normalise(of(ITEM_ROUTE, 2, "slug"))))
+        .withColumn("route_page", F.when(is_page, key_normalise(of(PAGE_ROUTE, 1, "page"))))
     )
 
 
@@ -107,8 +136,12 @@ def with_item(
     requests: DataFrame,
     content: DataFrame,
     settings: DataFrame,
+    item_hook: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Add found_id: the published, allowed item or page that the request asks for."""
+    """Add found_id: the published, allowed item or page that the request asks for.
+
+    ``item_hook`` changes the content rows before items are looked up.
+    """
 
     def wanted(rows: DataFrame) -> DataFrame:
         page = F.when(F.col("endpoint") == "page", "page")
@@ -118,7 +151,7 @@ def with_item(
 
     return lookup_join(
         wanted(requests),
-        _targets(content, settings),
+        _targets(item_hook(content) if item_hook else content, settings),
         ["site_id", "wanted_type", "wanted_slug"],
     ).drop("wanted_type", "wanted_slug")
 
@@ -196,10 +229,12 @@ def outcomes(
     settings: DataFrame,
     overrides: DataFrame | None = None,
     mode: str = ANCHORED,
+    item_hook: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The verdict on every endpoint request: status, reason, item found, limit columns.
 
-    ``overrides`` (site_id, route_page, content) are fixed texts for page names.
+    ``overrides`` (site_id, route_page, content) are fixed texts for page names; ``item_hook``
+    changes the content rows before items are looked up.
     """
     routed = with_route(requests).filter(F.col("endpoint").isNotNull())
     judged = with_limits(
@@ -210,7 +245,7 @@ def outcomes(
         mode,
         counted=F.col("enabled") & F.col("limit_enabled"),
     )
-    found = with_item(judged, content, settings)
+    found = with_item(judged, content, settings, item_hook)
     if overrides is not None:
         # A null text is no override; an empty one says that there is no page.
         fixed = overrides.filter(F.col("content").isNotNull()).select(
@@ -225,6 +260,7 @@ def outcomes(
         F.when(~F.col("enabled"), "disabled")
         .when(F.col("limited"), "limited")
         .when((F.col("endpoint") == "index") & ~F.col("index_enabled"), "index off")
+        .when(F.col("endpoint") == OTHER, "unknown")
         .when((item | page) & ~F.col("item_endpoints_enabled"), "items off")
         .when(
             item & ~(nonempty(F.col("route_type")) & nonempty(F.col("route_slug"))),
@@ -232,8 +268,7 @@ def outcomes(
         )
         .when(item & F.col("found_id").isNull(), "no item")
         .when(page & ~page_shown, "no page")
-        .when(item | page | (F.col("endpoint") == "index"), "ok")
-        .otherwise("unknown")
+        .otherwise("ok")
     )
     status = F.lit(200)
     for name, (code, *_rest) in ERRORS.items():
@@ -328,30 +363,80 @@ def error_documents(outcome_rows: DataFrame, service: str = SERVICE_NAME) -> Dat
     )
 
 
+def _covers(names: Sequence[str]):
+    """Prefixes come sorted by key; a prefix comes before those inside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_, done = None, [], []
+        schema = None
+
+        def close():
+            done.extend((*now, p) for p in open_)
+            open_.clear()
+
+        for batch in batches:
+            schema = batch.schema
+            for *key, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    close()
+                    now = key
+                if open_ and prefix.startswith(open_[-1]):
+                    continue
+                # A prefix can still be merged only if what comes next lies inside its sibling.
+                waiting = [p for p in open_ if p[-1] == "0" and prefix.startswith(p[:-1] + "1")]
+                done.extend((*now, p) for p in open_ if p not in waiting)
+                open_[:] = [*waiting, prefix]
+                while len(open_) > 1 and open_[-1][-1] == "1" and open_[-2] == open_[-1][:-1] + "0":
+                    open_[-2:] = [open_[-1][:-1]]
+            yield _rows(done, schema)
+            done.clear()
+        if schema is not None:
+            close()
+            yield _rows(done, schema)
+
+    return run
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def prefix_cover(ranges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The smallest set of disjoint prefixes that covers the same addresses, per key.
+
+    A prefix inside another goes, two halves of a range become the range. The sorted prefixes of
+    a key stream through a task, which holds at most one for each bit of an address. Null
+    prefixes and repeats go.
+    """
+    keys = list(keys)
+    rows = ranges.select(*keys, "prefix").filter(F.col("prefix").isNotNull()).distinct()
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "prefix") if keys else rows.repartition(1).sortWithinPartitions("prefix")
+    return ordered.mapInArrow(_covers([*keys, "prefix"]), ordered.schema)
+
+
 def peers_in_ranges(peers: DataFrame, ranges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Semi join of addresses (column ``bits``) with many ranges (column ``prefix``).
 
-    A range join as an equality join: each distinct address is cut to the prefix lengths in
-    use, at most 33 for IPv4 and 129 for IPv6, and the cut text is compared for equality.
+    A range join as an equality join: the ranges of a key are reduced to disjoint prefixes, and
+    each distinct address is cut to the lengths that its own key uses, at most 33 for IPv4 and
+    129 for IPv6; at most one cut is found. A range of all addresses of a family is no join key:
+    its key lets every address of the family pass.
     """
-    keys = list(keys)
-    family = F.substring("bits", 1, 1)
-    lengths = (
-        ranges.select(
-            F.substring("prefix", 1, 1).alias("family"), F.length("prefix").alias("size")
-        )
-        .distinct()
-        .groupBy("family")
-        .agg(F.collect_set("size").alias("sizes"))
-    )
-    # Two rows at most, one per family, each with at most 129 lengths.
+    keys, one = list(keys), F.lit(0).alias("_one")
+    by = [*keys, "family"] if keys else ["_one", "family"]
+    family = lambda c: F.substring(c, 1, 1).alias("family")
+    cover = cut_lineage(prefix_cover(ranges, keys), "prefix-cover").select("*", family("prefix"), *([] if keys else [one]))
+    sizes = cover.groupBy(*by).agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    seen = peers.select(*keys, "bits").filter(F.col("bits").isNotNull()).distinct().select("*", family("bits"), *([] if keys else [one]))
+    asked = lookup_join(seen, sizes, by, "inner")
+    whole = F.array_contains("sizes", F.lit(FAMILY_MARK))
     cuts = (
-        peers.select(*keys, "bits")
-        .filter(F.col("bits").isNotNull())
-        .distinct()
-        .withColumn("family", family)
-        .join(F.broadcast(lengths), "family")
+        asked.filter(~whole)
         .withColumn("size", F.explode("sizes"))
-        .select(*keys, "bits", F.substring(F.col("bits"), F.lit(1), F.col("size")).alias("prefix"))
+        .filter(F.col("size") <= F.length("bits"))
+        .select(*by, "bits", F.substring(F.col("bits"), F.lit(1), F.col("size")).alias("prefix"))
     )
-    return cuts.join(ranges, [*keys, "prefix"], "left_semi").select(*keys, "bits").distinct()
+    # Covers are disjoint, so an address is found once.
+    found = cuts.join(cover.select(*by, "prefix"), [*by, "prefix"], "left_semi")
+    return asked.filter(whole).select(*keys, "bits").unionByName(found.select(*keys, "bits"))

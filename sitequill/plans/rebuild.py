@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sitequill.functions.markup import safe_markup
@@ -15,7 +17,8 @@ from sitequill.operators.routing import INDEX_PATH, ITEM_PATH
 from sitequill.operators.scale import lookup_join
 from sitequill.plans.tables import Tables
 from sitequill.session import cut_lineage
-from sitequill.sources.artifacts import append_artifacts, read_artifacts
+from sitequill.sources.artifacts import append_artifacts, artifacts_of_batch, read_artifacts
+from sitequill.sources.tables import write_events
 
 
 def render_items(
@@ -72,21 +75,35 @@ def render_all(tables: Tables, path: str, now: Column, batch: str | int = 0) ->
     append_artifacts(items.unionByName(listings), path, batch)
 
 
+def keys_of(tables: Tables, changes: DataFrame, artifacts: DataFrame | None, now: Column) -> DataFrame:
+    """The artefact keys that changes make stale and, of stored artefacts, the expired ones."""
+    stale = ch.stale_keys(changes, tables.content, tables.settings)
+    keys = stale if artifacts is None else ch.keys_to_rebuild(stale, ch.expired(artifacts, now))
+    return cut_lineage(keys, "stale-keys")
+
+
 def rebuilt(
-    tables: Tables, changes: DataFrame, artifacts: DataFrame | None, now: Column
+    tables: Tables,
+    changes: DataFrame,
+    artifacts: DataFrame | None,
+    now: Column,
+    keys: DataFrame | None = None,
+    item_hook: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """New artefact rows for one batch of changes, removed ones as rows without content.
 
     Stored ``artifacts`` add the expired ones, and limit removals to keys that are stored.
     Without them, as on a stream, every stale key that has no live source gets such a row.
+    ``keys`` may be given if they are known; ``item_hook`` changes the content rows before items
+    are looked up.
     """
-    stale = ch.stale_keys(changes, tables.content, tables.settings)
-    keys = stale if artifacts is None else ch.keys_to_rebuild(stale, ch.expired(artifacts, now))
-    keys = cut_lineage(keys, "stale-keys")
+    if keys is None:
+        keys = keys_of(tables, changes, artifacts, now)
     # From here on only the touched sites are read.
     touched = cut_lineage(keys.select("site_id").distinct(), "touched-sites")
     tables = tables.touched(touched)
-    narrow = tables.content.select("site_id", "post_id", "post_type", "slug", "status", "published_at", "permalink")
+    found = item_hook(tables.content) if item_hook else tables.content
+    narrow = found.select("site_id", "post_id", "post_type", "slug", "status", "published_at", "permalink")
     live = cut_lineage(ch.live_items(narrow.join(touched, "site_id", "left_semi"), tables.settings), "live-items")
     wanted = cut_lineage(ch.wanted_items(live, keys), "wanted-items")
     items = render_items(tables, tables.content.join(wanted, ["site_id", "post_id"], "left_semi"), now, wanted)
@@ -103,11 +120,51 @@ def rebuilt(
 
 
 def rebuild_stored(
-    tables: Tables, changes: DataFrame, path: str, now: Column, batch: str | int
+    tables: Tables, changes: DataFrame, path: str, now: Column, batch: str | int, events: str | None = None
 ) -> None:
-    """Batch job: render what changes and expiry make stale in the stored artefacts."""
-    stored = read_artifacts(changes.sparkSession, path)
-    append_artifacts(rebuilt(tables, changes, stored, now), path, batch)
+    """Batch job: render what changes and expiry make stale in the stored artefacts.
+
+    With ``events`` the job leaves rows there: before and after, what it invalidated, wrote and
+    removed per site and kind, and, if it ends early, that it failed.
+    """
+    spark = changes.sparkSession
+    stored = read_artifacts(spark, path)
+    keys = keys_of(tables, changes, stored, now)
+    if events is None:
+        append_artifacts(rebuilt(tables, changes, stored, now, keys), path, batch)
+        return
+    gone, total = F.col("content").isNull(), Observation("rebuilt")
+    started = _job_event(spark, "before", 0, now).unionByName(_counted(keys, "invalidated", F.lit(True), now))
+    write_events(started, events, f"{batch}-before")
+    try:
+        rows = rebuilt(tables, changes, stored, now, keys)
+        append_artifacts(rows.observe(total, F.count_if(~gone).alias("written"), F.count_if(gone).alias("removed")), path, batch)
+    except Exception as error:
+        write_events(_job_event(spark, "failed", 0, now, str(error)[:500]), events, f"{batch}-after")
+        raise
+    done = total.get
+    made = artifacts_of_batch(spark, path, batch)
+    ended = (
+        _job_event(spark, "after", done["written"] + done["removed"], now)
+        .unionByName(_counted(made, "written", ~gone, now))
+        .unionByName(_counted(made, "removed", gone, now))
+    )
+    write_events(ended, events, f"{batch}-after")
+
+
+def _counted(rows: DataFrame, event: str, which: Column, now: Column) -> DataFrame:
+    """One event row per site and kind, counted on the map side."""
+    return rows.filter(which).groupBy("site_id", "kind").agg(F.count("*").alias("n")).select(
+        "site_id", "kind", F.lit(event).alias("event"), "n", now.cast("timestamp").alias("at"), F.lit(None).cast("string").alias("message")
+    )
+
+
+def _job_event(spark: SparkSession, event: str, n: int, now: Column, message: str | None = None) -> DataFrame:
+    """A row about the job as a whole."""
+    return spark.range(1).select(
+        F.lit(None).cast("string").alias("site_id"), F.lit("job").alias("kind"), F.lit(event).alias("event"),
+        F.lit(n).cast("bigint").alias("n"), now.cast("timestamp").alias("at"), F.lit(message).cast("string").alias("message"),
+    )
 
 
 def served_documents(pages: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -150,9 +207,19 @@ def served_pages(pages: DataFrame, overrides: DataFrame | None = None) -> DataFr
     )
 
 
-def clear_kind(artifacts: DataFrame, prefix: str, path: str, now: Column, batch: str) -> None:
-    """Remove all artefacts whose key starts with ``prefix``; counts are in the batch itself."""
+def clear_kind(
+    artifacts: DataFrame, prefix: str, path: str, now: Column, batch: str, events: str | None = None
+) -> None:
+    """Remove all artefacts whose key starts with ``prefix``; the counts go to ``events``."""
     append_artifacts(ch.tombstones(ch.of_kind(artifacts, prefix), now), path, batch)
+    if events is not None:
+        made = artifacts_of_batch(artifacts.sparkSession, path, batch)
+        write_events(_counted(made, "cleared", F.lit(True), now), events, f"{batch}-cleared")
+
+
+def read_events(spark: SparkSession, events: str) -> DataFrame:
+    """All event rows: site_id, kind, event, n, at, message; rows about a job have no site."""
+    return spark.read.parquet(f"{events}/run=*")
 
 
 def summary(batch_rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from sitequill.plans import rebuild
 from sitequill.plans.tables import Tables
 from sitequill.session import work_folder
 from sitequill.sources import sample
-from sitequill.sources.artifacts import merge_artifacts, read_artifacts, remove_merged
+from sitequill.sources.artifacts import append_artifacts, merge_artifacts, read_artifacts
 from sitequill.streaming import jobs
 from sitequill.streaming.limits import limit_stream, read_limits
 
@@ -324,6 +324,29 @@ def custom_agents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def custom_agents_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    rows, lists = sample.requests(spark, sf), _settings(spark, sf).select("site_id", "custom_agents")
+    return agents.with_indexed_agent(rows, lists).select("request_id", "agent", "is_agent")
+
+
+@query
+def known_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """The token table beside the number of requests that each token names."""
+    rows = agents.with_agent(sample.requests(spark, sf))
+    counted = rows.groupBy(F.lower("agent").alias("lower_token")).agg(F.count("*").alias("requests"))
+    table = agents.known_agents(spark).withColumn("lower_token", F.lower("token"))
+    return table.join(counted, "lower_token", "left").select("rank", "vendor", "token", F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+@query
+def listable_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Listable types with their posts; attachments and types that are not public have no row."""
+    posts = sample.content(spark, sf).withColumn("post_type", F.when(F.col("post_id") % 9 == 0, "attachment").otherwise(F.col("post_type")))
+    types = content.listable_types(sample.type_labels(spark))
+    return posts.join(types, "post_type").groupBy("post_type", "label").agg(F.count("*").alias("items"))
+
+
 @query
 def agent_activity(spark: SparkSession, sf: str) -> DataFrame:
     rows = agents.agent_activity(agents.with_agent(sample.requests(spark, sf)))
@@ -499,6 +522,29 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def unknown_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Front addresses that name their endpoint; a name that is none of them is not found."""
+    request = F.col("request_id")
+    named = (
+        F.when(request % 8 == 4, F.get(F.array(*[F.lit(x) for x in ("index", "feed", "")]), (request % 3).cast("int")))
+        .when(request % 8 == 7, F.concat(F.lit("item&type=post&slug=p"), request % 50))
+    )
+    rows = sample.requests(spark, sf).withColumn("path", F.coalesce(F.concat(F.lit("/?endpoint="), named), F.col("path")))
+    judged = routing.outcomes(rows, sample.content(spark, sf), _settings(spark, sf))
+    return judged.filter(F.col("path").startswith("/?")).select("request_id", "endpoint", "route_type", "route_slug", "reason", "status")
+
+
+@query
+def hooked_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes where a hook hides every third post from single lookups."""
+    judged = routing.outcomes(
+        sample.requests(spark, sf), sample.content(spark, sf), _settings(spark, sf),
+        item_hook=lambda rows: rows.filter(F.col("post_id") % 3 != 0),
+    )
+    return judged.select("request_id", "found_id", "reason", "status")
+
+
 @query
 def response_headers(spark: SparkSession, sf: str) -> DataFrame:
     return routing.response_headers(_outcomes(spark, sf)).select(
@@ -604,6 +650,18 @@ def live_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def rebuild_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What a rebuild of the stored artefacts and a clearing of the listings leave as events."""
+    folder, now = work_folder(spark, "events"), F.timestamp_seconds(F.lit(NOW_S))
+    append_artifacts(sample.artifacts(spark, sf), f"{folder}/store", 0)
+    log = sample.content_changes(spark, sf)
+    rebuild.rebuild_stored(Tables.sample(spark, sf), log, f"{folder}/store", now, 1, f"{folder}/events")
+    stored = read_artifacts(spark, f"{folder}/store")
+    rebuild.clear_kind(stored, text.LISTING_PREFIX, f"{folder}/store", now, "2", f"{folder}/events")
+    return rebuild.read_events(spark, f"{folder}/events").select("site_id", "kind", "event", "n")
+
+
 # --- streams ----------------------------------------------------------------------------
 
 
@@ -680,3 +738,19 @@ def stream_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     return read_artifacts(spark, f"{folder}/out").select(
         "site_id", "artifact_key", "kind", "ttl_s", F.col("source_hash").alias("content_md5")
     )
+
+
+@query
+def stream_agent_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd events first, even ones in a second run: what is older than the open windows is counted as late."""
+    folder, width, delay = work_folder(spark, "stream-windows"), "1 day", "5 days"
+    events = sample.table(spark, sf, "events")
+    for part in (1, 0):
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        rows = agents.with_agent(sample.requests_from(source, spark, sf)).select("site_id", "ts", "agent")
+        jobs.split_late(rows, folder, f"{folder}/split-state", width, delay).awaitTermination()
+        jobs.window_stream(spark, folder, f"{folder}/window-state", width, delay).awaitTermination()
+    return jobs.read_windows(spark, folder, width).select(
+        "site_id", F.unix_seconds("window_start").alias("window_start_s"), "agent", "requests", "late_requests"
+    )

@@ -81,6 +81,12 @@ def append_artifacts(artifacts: DataFrame, path: str, batch: str | int, buckets:
     rows.repartition(buckets, *KEY).write.insertInto(name, overwrite=True)
 
 
+def artifacts_of_batch(spark: SparkSession, path: str, batch: str | int) -> DataFrame:
+    """The rows that one batch wrote, as long as it is not deleted."""
+    name = _bucketed(spark, path, "delta", _buckets(spark, path, BUCKETS), True)
+    return spark.table(name).filter(F.col("batch") == str(batch))
+
+
 def _merged(spark: SparkSession, path: str) -> tuple[int, list[tuple[str, int]]]:
     """The version of the base, 0 for none, and the last batch of each writer that went into it."""
     if not _exists(spark, f"{path}/merges"):

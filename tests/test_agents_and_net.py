@@ -112,3 +112,57 @@ def test_client_ip(spark):
         "i", net.client_ip(F.col("peer"), proxies, [F.col("a"), F.col("b")]).alias("ip")
     ).orderBy("i")
     assert [r.ip for r in got.collect()] == [c[3] for c in cases]
+
+
+def _prefix(network):
+    return f"{network.version}:" + bin(int(network.network_address))[2:].zfill(network.max_prefixlen)[: network.prefixlen]
+
+
+def test_prefix_cover_is_the_smallest(spark):
+    """Nested ranges, halves that merge over several levels, ranges of all addresses, both families."""
+    rng = random.Random(6)
+    networks = {}
+    for site in "abcdefgh":
+        kind, base = (ipaddress.IPv4Network, 32) if site < "e" else (ipaddress.IPv6Network, 128)
+        top = rng.getrandbits(base)
+        networks[site] = [
+            kind((top ^ (rng.getrandbits(4) << (base - 24)), size), strict=False) for size in rng.choices(range(18, 26), k=40)
+        ]
+    networks["half"] = [ipaddress.ip_network("0.0.0.0/1"), ipaddress.ip_network("128.0.0.0/2"), ipaddress.ip_network("192.0.0.0/2")]
+    networks["all"] = [ipaddress.ip_network(x) for x in ("::/0", "10.0.0.0/8", "2001:db8::/32")]
+    rows = [(site, _prefix(n)) for site, ns in networks.items() for n in ns] + [("a", None), ("none", None)]
+    ranges = spark.createDataFrame(rows, "site_id string, prefix string").repartition(5)
+    got = {}
+    for r in routing.prefix_cover(ranges, ["site_id"]).collect():
+        got.setdefault(r.site_id, []).append(r.prefix)
+    for site, ns in networks.items():
+        families = [[n for n in ns if n.version == v] for v in (4, 6)]
+        want = sorted(_prefix(n) for f in families for n in ipaddress.collapse_addresses(f))
+        assert sorted(got[site]) == want, site
+    assert set(got) == set(networks)
+
+    peers = [(site, str(n.network_address + rng.randrange(4))) for site, ns in networks.items() for n in ns]
+    peers += [(site, rng.choice(["10.1.2.3", "::5", "200.1.1.1", "2001:db8::1"])) for site in networks for _ in range(6)] + [("none", "1.2.3.4")]
+    asked = spark.createDataFrame(peers, "site_id string, ip string").select("site_id", net.ip_bits(F.col("ip")).alias("bits"))
+    found = [tuple(r) for r in routing.peers_in_ranges(asked, ranges, ["site_id"]).collect()]
+    inside = {(s, _bits(ip)) for s, ip in peers if any(ipaddress.ip_address(ip) in n for n in networks.get(s, []))}
+    assert sorted(found) == sorted(inside)
+    everywhere = {r.bits for r in routing.peers_in_ranges(asked.select("bits"), ranges.select("prefix")).collect()}
+    assert everywhere == {_bits(ip) for _, ip in peers if any(ipaddress.ip_address(ip) in n for ns in networks.values() for n in ns)}
+
+
+def test_indexed_tokens_equal_the_walk(spark):
+    rng = random.Random(8)
+    words = ["bot", "Crawl", "spider", "fetch", "ag", "x", "Scan", "reader", "übung", "a.b"]
+    tokens = {s: [rng.choice(words) + rng.choice(words) * rng.randrange(2) for _ in range(rng.randrange(1, 30))] for s in "pqr"} | {"empty": []}
+    agents_seen = [None, "", "x", "AG", "Mozilla GPTBot/1"] + [
+        "/".join(rng.choice(words).upper() if rng.random() < 0.5 else rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(60)
+    ]
+    rows = [(i, rng.choice([*tokens, "unlisted"]), rng.choice(agents_seen), rng.choice([None, "text/markdown"])) for i in range(400)]
+    requests = spark.createDataFrame(rows, "request_id int, site_id string, user_agent string, accept string")
+    lists = spark.createDataFrame(list(tokens.items()), "site_id string, custom_agents array<string>")
+    walked = agents.with_agent(requests.join(lists, "site_id", "left"), F.col("custom_agents"))
+    pick = lambda frame: sorted((r.request_id, r.agent, r.is_agent) for r in frame.select("request_id", "agent", "is_agent").collect())
+    want = pick(walked)
+    assert pick(agents.with_indexed_agent(requests, lists)) == want
+    assert sum((r[1] or "").startswith("custom:") for r in want) > 50

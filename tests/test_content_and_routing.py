@@ -339,3 +339,30 @@ def test_bodies_stay_out_of_the_diff(spark, make):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     inputs = [part.split("\n")[1] for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
     assert len(inputs) == 2 and not [x for x in inputs if "content#" in x]
+
+
+def test_endpoints_named_by_parameters(make):
+    rows = make("CONTENT", [post(1, slug="hello"), post(2, post_type="page", slug="about")])
+    paths = ["/?endpoint=index", "/index.php?a=b&endpoint=item&type=Post&slug=Hello", "/?endpoint=item&type=post", "/?endpoint=page&page=about",
+             "/?endpoint=feed", "/?endpoint=", "/?x=endpoint", "/other?endpoint=index"]
+    got = routing.outcomes(requests_of(make, paths), rows, settings_of(make)).collect()
+    assert {r.request_id: (r.status, r.reason) for r in got} == {
+        0: (200, "ok"), 1: (200, "ok"), 2: (400, "missing part"), 3: (200, "ok"), 4: (404, "unknown"),
+    }
+    text = routing.error_documents(routing.outcomes(requests_of(make, paths[4:5]), rows, settings_of(make))).first().content
+    assert "Unknown endpoint." in text
+
+
+def test_item_hook_hides_items(make):
+    rows = make("CONTENT", [post(1, slug="hello")])
+    got = routing.outcomes(requests_of(make, ["/ai/content/post/hello"]), rows, settings_of(make), item_hook=lambda d: d.filter("post_id > 1"))
+    assert [r.reason for r in got.collect()] == ["no item"]
+
+
+def test_text_hooks_of_a_page(make, sides):
+    rows = make("CONTENT", [post(1, content="<p>there</p>")])
+    text = detail.page_documents(
+        rows, sides["terms"], sides["authors"], sides["media"], sides["sites"],
+        content_hook=lambda c: F.replace(c, F.lit("there"), F.lit("<b>here</b>")), document_hook=lambda d: F.concat(d, F.lit("\nMore")),
+    ).first().content
+    assert "**here**" in text and text.endswith("*\nMore")

@@ -161,3 +161,33 @@ def test_only_touched_sites_are_read(spark, stored):
     write_by_site(plain.terms.filter(F.col("site_id") == post.site_id).withColumn("name", F.lit("only")), f"{root}/terms")
     terms = Tables.read(spark, root).terms
     assert terms.filter("name <> 'only'").count() == plain.terms.filter(site_bucket(F.col("site_id")) != bucket).count()
+
+
+def test_a_failed_rebuild_leaves_an_event(spark, stored):
+    tables, root = Tables.read(spark, stored), work_folder(spark, "test-failed")
+    append_artifacts(_batch(spark, 1000, [("a", "a0")]), f"{root}/store", 0)
+    change = spark.createDataFrame([], schemas.CONTENT_CHANGES)
+    now = F.timestamp_seconds(F.lit(2000))
+
+    def broken(*_):
+        raise RuntimeError("no disk")
+
+    original, rebuild.append_artifacts = rebuild.append_artifacts, broken
+    try:
+        with pytest.raises(RuntimeError):
+            rebuild.rebuild_stored(tables, change, f"{root}/store", now, 1, f"{root}/events")
+    finally:
+        rebuild.append_artifacts = original
+    events = {(r.kind, r.event, r.message) for r in rebuild.read_events(spark, f"{root}/events").collect()}
+    assert events == {("job", "before", None), ("item", "invalidated", None), ("job", "failed", "no disk")}
+
+
+def test_item_hook_of_a_rebuild(spark, stored):
+    tables = Tables.read(spark, stored)
+    post = tables.content.filter("status = 'publish' AND post_type = 'post'").first()
+    change = spark.createDataFrame(
+        [(1, datetime(2024, 1, 1), post.site_id, post.post_id, "save", None, None, False, False)], schemas.CONTENT_CHANGES
+    )
+    hidden = rebuild.rebuilt(tables, change, None, F.timestamp_seconds(F.lit(1)), item_hook=lambda rows: rows.filter(F.col("post_id") != post.post_id))
+    rows = {r.artifact_key: r.content for r in hidden.collect()}
+    assert rows[f"content_post_{post.slug}"] is None

@@ -5,6 +5,7 @@ import pytest
 
 from sitequill.operators import limits
 from sitequill.session import work_folder
+from sitequill.streaming import jobs
 from sitequill.streaming.limits import limit_stream, read_limits
 from tests.test_limits import make_rows, plain_fold
 
@@ -58,3 +59,29 @@ def test_state_of_a_client_ends(spark):
         time.sleep(1.5)
     assert sizes[0] == 30 and sizes[1] < 5 and sizes[2] < 5
     assert not any(r.limited for r in read_limits(spark, f"{folder}/out").collect())
+
+
+def test_windows_lose_no_row(spark):
+    """Rows beyond the watermark go to the late table before the aggregate; its state holds open windows only."""
+    folder, schema = work_folder(spark, "test-windows"), "site_id string, ts timestamp, agent string"
+    day = lambda d, h=1: datetime.fromtimestamp(86_400 * d + 3600 * h, timezone.utc)
+    batches = [
+        [("s", day(d), a) for d in range(10) for a in ("A", "B")],
+        [("s", day(1), "A"), ("s", day(8), "A"), ("s", day(9), None), ("t", day(12), "A")],
+        [("s", day(9, 2), "A"), ("s", day(9, 3), "B"), ("t", day(12), "A"), ("t", day(0), "C")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        jobs.split_late(source, folder, f"{folder}/split", "1 day", "2 days").awaitTermination()
+        query = jobs.window_stream(spark, folder, f"{folder}/windows", "1 day", "2 days")
+        query.awaitTermination()
+    got = {(r.site_id, r.window_start.timestamp() // 86_400, r.agent): (r.requests, r.late_requests) for r in jobs.read_windows(spark, folder, "1 day").collect()}
+    want = {("s", d, a): (1, 0) for d in range(10) for a in ("A", "B")}
+    # After day 9 the windows up to day 6 are closed, after day 12 those up to day 9.
+    want |= {("s", 1, "A"): (1, 1), ("s", 8, "A"): (2, 0), ("t", 12, "A"): (2, 0), ("t", 0, "C"): (0, 1)}
+    want |= {("s", 9, "A"): (1, 1), ("s", 9, "B"): (1, 1)}
+    assert {k: v for k, v in got.items()} == {(s, float(d), a): v for (s, d, a), v in want.items()}
+    assert sum(sum(v) for v in got.values()) == sum(a is not None for rows in batches for *_, a in rows)
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] <= 4 and state["numRowsDroppedByWatermark"] == 0
