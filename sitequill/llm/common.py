@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,9 @@ from sitequill.session import cut_lineage, work_folder
 
 __all__ = ["components", "cut_lineage", "ranked", "table", "work_folder"]
 
+#: Bytes of text that a task works on together.
+TEXT_BYTES = 2_000_000
+
 #: Partition number of a rank: rows of one key are dealt to this many ranges of a hash.
 RANK_BUCKETS = 1024
 
@@ -102,3 +109,25 @@ def _written(pairs: DataFrame) -> tuple[tuple[int, int], DataFrame]:
 
 def no_text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
+
+
+def stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about TEXT_BYTES of text together, one at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().tolist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > TEXT_BYTES:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def used_up(*written: DataFrame) -> None:
+    """Delete tables of `cut_lineage` of which everything that is still needed has been written."""
+    for rows in written:
+        spark = rows.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in rows.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

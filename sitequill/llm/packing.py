@@ -17,29 +17,30 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 from string import punctuation
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, ranked
+from .common import cut_lineage, ranked, stretches
 
 LENGTH = 4096
 END = 1
 #: Width of a bin of lengths and most pieces in a pattern, for the least-squares fit.
 BIN = 32
 PARTS = 3
-#: Words whose ids a task keeps, new words that are encoded in one text, bytes of text in a step.
+#: Words whose ids a task keeps, new words that are encoded in one text.
 CACHE_WORDS = 300_000
 TOGETHER = 256
-TEXT_BYTES = 2_000_000
-#: Bits for the number of a row in its file, and rows of a file whose pieces are numbered together.
-ROW_BITS = 40
+#: Bits for the number of a row in its file and of a file in its task, and rows of a file whose
+#: pieces are numbered together.
+ROW_BITS = 36
+FILE_BITS = 6
 STRETCH = 1 << 14
 
-_PIECES = "doc_id long, piece int, start long, length long, ids binary"
+_PIECES = "doc_id long, piece int, start long, length long"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -115,12 +116,12 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _tokenised(path: str, length: int):
+def _tokenised(path: str, length: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(path)
         last = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for start, end in _stretches(batch.column("text")):
+            for start, end in stretches(batch.column("text")):
                 part = batch.slice(start, end - start)
                 texts = [text.split() if text else [] for text in part.column("text").to_pylist()]
                 rows, owners = [], []
@@ -128,46 +129,35 @@ def _tokenised(path: str, length: int):
                     ids = own + last
                     for i, at in enumerate(range(0, len(ids), 4 * length)):
                         piece = ids[at : at + 4 * length]
-                        rows.append((i, at // 4, len(piece) // 4, piece))
+                        rows.append((i, at // 4, len(piece) // 4, crc32(piece) if digest else piece))
                         owners.append(k)
-                yield _batch(part.drop_columns(["text"]).take(pa.array(owners, pa.int64())), rows)
+                yield _batch(part.drop_columns(["text"]).take(pa.array(owners, pa.int64())), rows, digest)
 
     return run
 
 
-def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Rows of about TEXT_BYTES of text together, one at least."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().tolist()
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size > TEXT_BYTES:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
-def _batch(owners: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+def _batch(owners: pa.RecordBatch, rows: list[tuple], digest: bool) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[]] * 4
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()]
     doc_id, *more = owners.columns
     return pa.RecordBatch.from_arrays(
         [doc_id, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], *more],
-        names=["doc_id", "piece", "start", "length", "ids", *owners.schema.names[1:]],
+        names=["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids", *owners.schema.names[1:]],
     )
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, place: Column | None = None) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, place: Column | None = None, digest: bool = False) -> DataFrame:
     """Token pieces of each document: doc_id, piece, start, length, ids (little-endian 32 bit).
 
     Whole texts are tokenised and closed with id END; a null text is empty and has END alone.
     Only documents beyond `length` are cut. Repeated rows give repeated pieces. A long `place` of
-    the documents is handed to their pieces as a further column.
+    the documents is handed to their pieces as a further column. With `digest` the checksum of
+    the ids, `ids_crc32`, is taken where they are made, and the ids stay in the task.
     """
     own = [] if place is None else [place.alias("place")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *own)
-    return texts.mapInArrow(_tokenised(path or tokenizer_path(), length), _PIECES + ", place long" * len(own))
+    kind = _PIECES + (", ids_crc32 long" if digest else ", ids binary") + ", place long" * len(own)
+    return texts.mapInArrow(_tokenised(path or tokenizer_path(), length, digest), kind)
 
 
 # --- the plan ------------------------------------------------------------------------------
@@ -383,24 +373,22 @@ def _in_order(placed: DataFrame) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    narrow = pieces(docs, path).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packed(cut_lineage(narrow, "pieces"))
+    return packed(cut_lineage(pieces(docs, path, digest=True), "pieces"))
 
 
 def packed_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """As packed_documents, for files whose order counts: by file name, then by row.
+    """As packed_documents, for files whose order counts: by number of the file, then by row.
 
-    Needs the table as it is read from its files, since the place of a row is taken from them.
-    Documents of one length keep their order, sequences come in the order of their first piece.
+    Needs the table as it is read from its files, since the place of a row is taken from them:
+    Spark numbers the files it writes as `part-<task>-...-c<file of the task>`; a file named
+    otherwise comes first. Documents of one length keep their order, sequences come in the order
+    of their first piece. Null texts are empty, repeated rows stay, other columns are ignored; an
+    empty table gives no rows.
     """
-    names = [r.file for r in docs.select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
-    numbers = [(name, i) for i, name in enumerate(sorted(names, key=lambda x: (len(x), x)))]
-    files = docs.sparkSession.createDataFrame(numbers, "__name string, __file long")
-    rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
-    rows = rows.join(F.broadcast(files), F.col("__path") == F.col("__name"))
-    found = pieces(rows, path, place=F.shiftleft("__file", ROW_BITS) + F.col("__at"))
-    narrow = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "place")
-    return packed(cut_lineage(narrow, "pieces")).drop("place")
+    task, more = (F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(_metadata.file_name, '{p}', 1), '') as bigint)"), F.lit(0)) for p in (r"^part-([0-9]+)", r"[.-]c([0-9]+)[.]"))
+    rows = docs.select("doc_id", "text", (task * F.lit(1 << FILE_BITS) + more).alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    found = pieces(rows, path, place=F.shiftleft("__file", ROW_BITS) + F.col("__at"), digest=True)
+    return packed(cut_lineage(found, "pieces")).drop("place")
 
 
 def sequences(found: DataFrame, length: int = LENGTH) -> DataFrame:
