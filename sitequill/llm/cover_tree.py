@@ -302,7 +302,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull()
         & F.coalesce(F.forall("vec", finite), F.lit(False)) & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
     )
-    group = F.concat_ws("/", F.col("label").cast("string"), F.size("vec").cast("string"))
+    # Names of nodes grow by a dot and a number, so a label stands in them as a hash.
+    group = F.concat_ws("/", F.sha2(F.col("label").cast("string").cast("binary"), 256), F.size("vec").cast("string"))
     keyed = cut_lineage(
         rows.select("vec_id", F.when(usable, F.xxhash64("label", "vec")).alias("id"), F.when(usable, group).alias("node"), F.when(usable, F.col("vec")).alias("vec")),
         "vectors",

@@ -78,3 +78,12 @@ def test_tree_covers_and_traversal_is_exact():
 def test_empty(spark):
     assert cover_tree.near_vectors(table(spark, [])).collect() == []
     assert [tuple(r) for r in cover_tree.near_vectors(table(spark, [(3, None, None)])).collect()] == [(3, 0, 3, True)]
+
+
+@pytest.mark.parametrize("label", ["a\nb", "a.1\n.2", "x/3", ""])
+def test_odd_labels_of_large_nodes(spark, monkeypatch, label):
+    monkeypatch.setattr(cover_tree, "NODE", 16)
+    rows = [(i, label if l == 0 else f"{label}.0", v) for i, l, v in vectors(3, 120, 4, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    got = sorted(map(tuple, cover_tree.near_vectors(frame).collect()), key=str)
+    assert got == brute(rows, 0.93) and sum(r[1] for r in got) > 50
