@@ -118,9 +118,8 @@ def rendered(turns: DataFrame) -> DataFrame:
     large = parts.where(F.col("seen") > PART_ROWS).select("c", "p")
     if large.isEmpty():
         return _shown(rows.join(wanted, own), F.col("part"))
-    # At most one key for PART_ROWS rows of the table.
-    small = rows.join(F.broadcast(large), own, "left_anti")
-    cut = _cut(rows.join(F.broadcast(wanted.where("large").select("c", "p")), own, "left_semi"))
+    small = rows.join(large, own, "left_anti")
+    cut = _cut(rows.join(wanted.where("large").select("c", "p"), own, "left_semi"))
     more = cut.groupBy("conv", "part").agg(F.max("piece").alias("more"))
     earlier = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut_lineage(
@@ -131,7 +130,7 @@ def rendered(turns: DataFrame) -> DataFrame:
     )
     number = F.col("part") + F.col("shift")
     whole = _shown(small.join(placed.where("not large"), own), number)
-    return whole.unionByName(_shown(cut.join(F.broadcast(placed.where("large")), own), number + F.col("piece")))
+    return whole.unionByName(_shown(cut.join(placed.where("large"), own), number + F.col("piece")))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -146,7 +145,7 @@ def _cut(rows: DataFrame) -> DataFrame:
     )
     inside = Window.partitionBy("conv", "part", "range").orderBy("at", "role", "text")
     numbered = ranges.withColumn("number", F.row_number().over(inside) - 1).join(
-        F.broadcast(first), (F.col("conv") == F.col("c")) & (F.col("part") == F.col("p")) & (F.col("range") == F.col("r"))
+        first, (F.col("conv") == F.col("c")) & (F.col("part") == F.col("p")) & (F.col("range") == F.col("r"))
     )
     piece = F.floor((F.col("first") + F.col("number")) / PART_ROWS)
     return cut_lineage(numbered.select(*order, "text", piece.alias("piece")), "cut-parts")
