@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, cut_lineage
+from .common import components, cut_lineage, stretches, used_up
 from .shingles import WordHashes, mixed, set_key, shingle_set
 
 #: The sketch has 2 ** SKETCH_BITS counters in BLOCKS rows. Its size doesn't follow the input;
@@ -51,12 +51,19 @@ def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a bounded amount of text."""
+    for batch in batches:
+        for start, end in stretches(batch.column("text")):
+            yield batch.slice(start, end - start)
+
+
 def _described(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
+        for batch in _parts(batches):
             rows, fresh = [], []
             for doc_id, text in _columns(batch):
                 own = shingle_set(text, width, known)
@@ -148,7 +155,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 def _prefixes(width: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, counts = WordHashes(), set(), order.value
-        for batch in batches:
+        for batch in _parts(batches):
             tokens, keys, sizes, places = [], [], [], []
             for (text,) in _columns(batch):
                 own = shingle_set(text, width, known)
@@ -210,7 +217,7 @@ def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         passes = np.unpackbits(wanted.value).astype(bool)
-        for batch in batches:
+        for batch in _parts(batches):
             ids = batch.column("doc_id")
             chosen = passes[_mark(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False)
             rows = []
@@ -279,27 +286,26 @@ def _classed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     prefixes = texts.select("text").mapInArrow(
         _prefixes(width, num, den, order), "token long, key long, n long, pos long"
     )
-    group = Window.partitionBy("token")
+    # Sets of an n-gram in the order of their chain; in it, repeats of a set are neighbours.
+    group = _chain()
     shared = cut_lineage(
         prefixes.repartition("token")
-        .withColumn("low", F.min("key").over(group))
-        .withColumn("high", F.max("key").over(group))
-        .where("low != high")
-        .select("token", "key", "n", "pos")
-        .dropDuplicates(["token", "key"]),
+        .withColumn("before", F.lag("key").over(group))
+        .where("before is null or before != key")
+        .select("token", "key", "n", "pos", F.lag("key").over(group).alias("before"), F.lead("key").over(group).alias("after"))
+        .where("before is not null or after is not null")
+        .select("token", "key", "n", "pos"),
         "shared-prefixes",
     )
     first = cut_lineage(_close(_chained(shared, num, den), classes, num, den), "chained-pairs")
-    sets = _sets_of(first, texts, classes, width)
-    links = cut_lineage(_links(first, sets, num, den), "links")
+    links = cut_lineage(_links(first, texts, classes, width, num, den), "links")
     roots = cut_lineage(components(links), "roots")
     left = cut_lineage(
         _across(shared, roots, classes, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs-across"
     )
-    known = sets.select(F.col("key").alias("k"))
-    more = sets.unionByName(_sets_of(left, texts, classes.join(known, F.col("key") == F.col("k"), "left_anti"), width))
     stars = roots.select(F.col("member").alias("a"), F.col("root").alias("b"))
-    roots = cut_lineage(components(stars.unionByName(_links(left, more, num, den))), "roots")
+    roots = cut_lineage(components(stars.unionByName(_links(left, texts, classes, width, num, den))), "roots")
+    used_up(shared, first, links, left)
     return _with_ids(rows, classes, roots)
 
 
@@ -317,34 +323,31 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int)
     passes = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.coalesce("first_id", "key"))))
     found = texts.mapInArrow(_sets(width, passes), "key long, own binary")
     right = wanted.select(F.col("key").alias("k")).hint("shuffle_hash")
-    own = found.join(right, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"])
-    return cut_lineage(own, "sets")
+    return found.join(right, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"])
+
+
+def _chain() -> Window:
+    return Window.partitionBy("token").orderBy(F.xxhash64("key", F.pmod("token", F.lit(ORDERS))), "key")
 
 
 def _chained(shared: DataFrame, num: int, den: int) -> DataFrame:
-    chain = Window.partitionBy("token").orderBy(
-        F.xxhash64("key", F.pmod("token", F.lit(ORDERS))), "key"
-    )
-    met = F.array(*[F.lag(F.struct("key", "n", "pos"), k).over(chain) for k in range(1, REACH + 1)])
-    pairs = shared.select("key", "n", "pos", met.alias("met")).select(
+    met = F.array(*[F.lag(F.struct("key", "n", "pos"), k).over(_chain()) for k in range(1, REACH + 1)])
+    pairs = shared.repartition("token").select("key", "n", "pos", met.alias("met")).select(
         "key", "n", "pos", F.inline("met").alias("key2", "n2", "pos2")
     )
     return _pairs(pairs.where(F.col("key2").isNotNull() & _may_link("n", "pos", "n2", "pos2", num, den)))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    swap = F.col("key") > F.col("key2")
     return rows.select(
-        F.when(swap, F.col("key2")).otherwise(F.col("key")).alias("a"),
-        F.when(swap, F.col("key")).otherwise(F.col("key2")).alias("b"),
-        (F.col("n") + F.col("n2")).alias("n_both"),
+        F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"), (F.col("n") + F.col("n2")).alias("n_both")
     ).distinct()
 
 
 def _few_bits_apart(x: str, y: str, n_both: Column, num: int, den: int) -> Column:
     """Suffix filter: the parity bits of two sets don't differ in more than a link allows."""
     most = n_both - 2 * F.ceil(n_both * num / (num + den) - F.lit(1e-9))
-    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, d: t + d)
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     return apart <= most
 
 
@@ -361,7 +364,8 @@ def _close(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
 def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a group whose sets are in different components, by bands of set size."""
     group = Window.partitionBy("token")
-    ratio = float(np.log(den / num))
+    # A little wider than the ratio of two sizes that may link, so that rounding moves none out.
+    width = float(np.log(den / num)) * (1 + 1e-6)
     split = cut_lineage(
         shared.join(roots, F.col("key") == F.col("member"), "left")
         .select("token", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
@@ -369,20 +373,18 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, num: int, d
         .withColumn("low", F.min("root").over(group))
         .withColumn("high", F.max("root").over(group))
         .where("low != high")
-        .select("token", "key", "n", "pos", "root", F.floor(F.log(F.col("n")) / ratio).alias("band")),
+        .select("token", "key", "n", "pos", "root", F.floor(F.log(F.col("n")) / width).alias("band")),
         "split-groups",
     )
-    # The smaller set of a pair is at most one band below; the margin is for rounding.
-    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1, F.col("band") + 2)
+    # The larger set of a pair is in the band of the smaller one or the next.
+    near = F.array(F.col("band"), F.col("band") + 1)
     small = split.select(
         *[F.col(c).alias(f"{c}2") for c in ("token", "key", "n", "pos", "root")], F.explode(near).alias("band2")
     )
     # Groups and bands in which only one component is left have nothing to compare.
     placed = (
-        split.select("token", "band", "key", "root").unionByName(
-            split.select("token", F.explode(near).alias("band"), "key", "root")
-        )
-        .groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        small.groupBy(F.col("token2").alias("token"), F.col("band2").alias("band"))
+        .agg(F.min("root2").alias("low"), F.max("root2").alias("high")).where("low != high")
     )
     placed = cut_lineage(placed.select(F.col("token").alias("t"), F.col("band").alias("b")), "mixed-bands")
     bits = classes.select(F.col("key").alias("k"), "parity")
@@ -402,8 +404,12 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, num: int, d
     return _pairs(met).select("a", "b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs at the threshold, one exact comparison each."""
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs at the threshold, one exact comparison each.
+
+    Both sides of a pair take their sets from one and the same shuffle.
+    """
+    sets = _sets_of(pairs, texts, classes, width)
     return (
         pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("xa")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("own").alias("xb")), "b")
