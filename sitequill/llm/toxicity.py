@@ -10,6 +10,7 @@ texts are not shuffled. Lexicon, weights and the labelled sample have fixed boun
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -81,11 +82,14 @@ def hits_of(text: str, known: Matches) -> list[dict]:
     if not at:
         return []
     starts = [m.start() for m in _WORD.finditer(lower)]
+    # Stretches come in order and don't overlap, so only the last one that opens before a word can hold it.
     marks = _quoted(lower)
+    opens = [a for a, _ in marks]
     hits = []
     for i, (term, edits) in at:
         near = {*words[max(0, i - WINDOW) : i], *words[i + 1 : i + 1 + WINDOW]}
-        inside = any(a < starts[i] < b for a, b in marks)
+        last = bisect_left(opens, starts[i]) - 1
+        inside = last >= 0 and starts[i] < marks[last][1]
         hits.append({
             "word": i, "term": term, "edits": edits,
             "quoted": inside or not near.isdisjoint(REPORTING), "addressed": not near.isdisjoint(ADDRESSING),

@@ -100,3 +100,12 @@ def test_empty_tables(spark, documents):
     assert [(r.score, r.predicted) for r in rows] == [(0.0, 0)]
     docs = documents([(1, "a b"), (1, "a b")])
     assert toxicity.clean_documents(docs, label_table(spark, [])).columns == docs.columns
+
+
+def test_quoted_stretches_equal_the_plain_test():
+    known = Matches((("bad", False),))
+    for text in ("bad “bad” bad", "“bad bad", "bad” “x bad y” bad “bad”", '"bad" bad "bad\n bad" bad', "„bad“ «bad» bad", "“” bad"):
+        marks = toxicity._quoted(text)
+        starts = [m.start() for m in toxicity._WORD.finditer(text)]
+        for h in toxicity.hits_of(text, known):
+            assert h["quoted"] == any(a < starts[h["word"]] < b for a, b in marks), text
