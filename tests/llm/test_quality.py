@@ -55,3 +55,35 @@ def test_native_and_lazy(documents, random_texts):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert quality.kept_documents(documents([])).collect() == []
     assert quality.quality_columns(documents([(1, "a"), (1, "a"), (None, None)])).count() == 3
+
+
+def test_best_rule_first():
+    """Most rejections per cost; features already there are free, rows already rejected don't count."""
+    rule = lambda *features: quality.Rule("r", features, "true")
+    rules = [rule("n_repeat_words"), rule("n_stutters"), rule("n_symbols"), rule("n_words")]
+    costs = dict.fromkeys(["words", "hashes", "windows", "sorted", "again", "n_repeat_words", "n_stutters", "n_words"], 1.0)
+    costs["n_symbols"] = 0.5
+    hits = {frozenset({0}): 10, frozenset({1, 3}): 8, frozenset({2}): 3, frozenset(): 70}
+    # 3 rows for 0.5; then 8 for two of words and a count, which leaves rule 3 nothing; 10 for five more.
+    assert quality.best_first(rules, hits, costs) == [2, 1, 0, 3]
+    assert quality.best_first(rules, hits, costs, frozenset({"again", "words", "n_words"}))[0] == 3
+    assert quality.best_first(rules, {}, costs) == [2, 1, 3, 0]
+
+
+def test_sample_reads_few_splits(spark):
+    """The sample is bounded in rows and in length, and takes its rows from the first splits."""
+    texts = spark.range(0, 200_000, 1, 64).selectExpr("concat('text ', id) as __q_text")
+    rows = [int(r[0].split()[1]) for r in quality._sample(texts).collect()]
+    assert len(rows) == quality.SAMPLE_ROWS and max(rows) < 200_000 // 64
+    assert rows != list(range(len(rows)))
+    assert quality._sample(texts.where("false")) is None
+    assert quality._sample(spark.sql("select repeat('x', 40000) as __q_text")) is None
+
+
+def test_long_texts_and_failed_rows(documents):
+    """Texts beyond the sample's length are judged like others; a base failure is never kept."""
+    words = " ".join(f"word{i}" for i in range(9_000))
+    rows = [(1, words), (2, words + " *" * 5_000), (3, "a b"), (4, "*** " * 30)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_columns(documents(rows)).collect()}
+    assert got == {1: (False, True), 2: (True, False), 3: (True, False), 4: (True, False)}
+    assert sorted(r.doc_id for r in quality.kept_documents(documents(rows)).collect()) == [1]
