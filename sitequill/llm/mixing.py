@@ -140,11 +140,15 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """All rows of docs, ordered by slot and place; written files keep that order by name."""
+    """All rows of docs, ordered by slot and place; written files keep that order by name.
+
+    There is a slot row per document, so no size of that side is proven: it is merged, never
+    broadcast, and small tables take the plan of large ones.
+    """
     order = mixed(docs, weights).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("slot").alias("__slot"), F.col("place").alias("__place"))
     packed = docs.select(
         F.struct("*").alias("__row"),
         F.col("doc_id").cast("long").alias("__doc"), F.col("source").cast("string").alias("__from"),
     )
-    placed = packed.join(cut_lineage(order, "mix-order"), F.col("__doc").eqNullSafe(F.col("__id")) & F.col("__from").eqNullSafe(F.col("__source")))
+    placed = packed.join(cut_lineage(order, "mix-order").hint("merge"), F.col("__doc").eqNullSafe(F.col("__id")) & F.col("__from").eqNullSafe(F.col("__source")))
     return placed.select("__row", "__slot", "__place").repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").select("__row.*")
