@@ -961,6 +961,11 @@ diff AS (
   UNION ALL SELECT site_id, post_id, 'transition', nt, ns, old_status, new_status FROM met WHERE old_status <> new_status
   UNION ALL SELECT site_id, post_id, 'delete', ot, os, old_status, new_status FROM met WHERE nt IS NULL OR os <> ns)"""
 ORACLE["snapshot_changes"] = f"WITH {SNAPSHOTS} SELECT * FROM diff"
+_LATER = _entries(_BY_SITE).replace("@limit", "3").replace("FROM content ", "FROM later_bodies ")
+ORACLE["index_after_changes"] = f"""WITH {SNAPSHOTS}, {TERMS}, {AUTHORS}, {SETTINGS},
+later_bodies AS (SELECT * REPLACE (CASE WHEN post_id % 5 = 2 THEN content || '<p>more</p>' ELSE content END AS content) FROM later),
+{_LATER}
+SELECT * FROM entries"""
 ORACLE["snapshot_stale_keys"] = f"""WITH {SNAPSHOTS}, {SETTINGS},
 told AS (
   SELECT DISTINCT site_id, post_id, post_type, slug FROM diff

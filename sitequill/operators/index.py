@@ -111,6 +111,18 @@ def index_entries(
     position (1-based within the section), entry.
     """
     newest = ranked(listing_source(content, index_types, query_hook), limit)
+    return entries_of(newest, terms, authors, type_labels, limit, entry_hook)
+
+
+def entries_of(
+    newest: DataFrame,
+    terms: DataFrame,
+    authors: DataFrame,
+    type_labels: DataFrame,
+    limit: int = DEFAULT_LIMIT,
+    entry_hook: ColumnHook | None = None,
+) -> DataFrame:
+    """Entries of listed rows that already have their ``site_rank``; none is above the limit."""
     rows = _described(newest, terms, authors, type_labels)
     if limit < 0:
         return _unlimited_entries(rows, entry_hook)

@@ -19,10 +19,11 @@ from sitequill.operators import (
     routing,
     settings,
     terms,
+    toplist,
 )
 from sitequill.plans import rebuild
 from sitequill.plans.tables import Tables
-from sitequill.session import work_folder
+from sitequill.session import cut_lineage, work_folder
 from sitequill.sources import sample
 from sitequill.sources.artifacts import append_artifacts, merge_artifacts, read_artifacts
 from sitequill.streaming import jobs
@@ -595,6 +596,24 @@ def snapshot_stale_keys(spark: SparkSession, sf: str) -> DataFrame:
     return changes.stale_keys(_snapshot_changes(spark, sf), sample.snapshots(spark, sf)[1], _settings(spark, sf))
 
 
+@query
+def index_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of the later snapshot, from a list stored for the earlier one and the feed between them."""
+    limit, margin = 3, 1
+    before, after = sample.snapshots(spark, sf)
+    types = _settings(spark, sf)
+    stored = cut_lineage(toplist.first_rows(before, types, limit, margin), "top-list")
+    now = toplist.followed(stored, _snapshot_changes(spark, sf), after, types, limit, margin)
+    rows = index.entries_of(
+        now.filter(F.col("site_rank") <= limit).drop("more"),
+        sample.terms(spark, sf),
+        sample.authors(spark, sf),
+        sample.type_labels(spark),
+        limit,
+    )
+    return rows.select("site_id", "post_id", "label", "section_order", "position", "entry")
+
+
 @query
 def expired(spark: SparkSession, sf: str) -> DataFrame:
     return _expired(spark, sf).select("site_id", "kind", "artifact_key", "ttl_s")
