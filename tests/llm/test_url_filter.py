@@ -1,3 +1,5 @@
+import math
+
 from sitequill.llm import url_filter
 
 RULES = {"net/": ("net", "/", "block"), "example.net/en/": ("example.net", "/en/", "allow"), "example.com/de/": ("example.com", "/de/", "block"), "org/fr/": ("org", "/fr/", "allow")}
@@ -45,3 +47,42 @@ def test_model_separates_and_repeats():
     unseen = [("http://m.cheap-pills.example.com/xx/9", 1), ("https://blog.spam-farm.example.com/en/3", 1), ("https://www.wiki.example.com/page/Art", 0), ("https://blog.museum.example.org/exhibits/2", 0)]
     assert all((url_filter.score(*url_filter.parts(u), weights) >= 0.5) == bool(y) for u, y in unseen)
     assert not url_filter.fit([]).any()
+
+
+def test_names_that_were_held_out():
+    """Whole names are held out, so no URL of a judged name was learnt."""
+    def name(url):
+        return url_filter.parts(url)[0].split(".")[-3]
+
+    rows = url_filter.labelled_urls(names=150, seed=9)
+    held = {n for n in map(name, dict(rows)) if sum(map(ord, n)) % 4 == 0}
+    weights = url_filter.fit([r for r in rows if name(r[0]) not in held])
+    right = {0: [], 1: []}
+    for url, label in rows:
+        if name(url) in held:
+            right[label].append((url_filter.score(*url_filter.parts(url), weights) >= 0.5) == bool(label))
+    assert min(map(len, right.values())) > 50
+    assert sum(right[0]) / len(right[0]) >= 0.98 and sum(right[1]) / len(right[1]) >= 0.7
+
+
+def test_fit_and_score_equal_a_plain_loop():
+    rows = list(url_filter.LABELLED[::12])
+    sets = [sorted(set(url_filter.features(*url_filter.parts(u)).tolist())) for u, _ in rows]
+    own, constant = dict.fromkeys({f for s in sets for f in s}, 0.0), 0.0
+
+    def judge(found):
+        margin = sum(own.get(f, 0.0) for f in found) / max(1, len(found)) ** 0.5 + constant
+        return 1 / (1 + math.exp(-margin))
+
+    for _ in range(200):
+        errors = [judge(s) - y for s, (_, y) in zip(sets, rows, strict=True)]
+        step = dict.fromkeys(own, 0.0)
+        for s, e in zip(sets, errors, strict=True):
+            for f in s:
+                step[f] += e / len(s) ** 0.5 / len(rows)
+        own = {f: w - url_filter.RATE * (step[f] + url_filter.DECAY * w) for f, w in own.items()}
+        constant -= url_filter.RATE * sum(errors) / len(rows)
+    weights = url_filter.fit(rows, rounds=200)
+    for url in [u for u, _ in rows] + ["http://never.seen.example/x", "http://", "none"]:
+        host, path = url_filter.parts(url)
+        assert abs(url_filter.score(host, path, weights) - judge(set(url_filter.features(host, path).tolist()))) < 1e-9
