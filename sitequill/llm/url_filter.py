@@ -26,13 +26,13 @@ RULES = (
 #: Words of unwanted and of wanted sites, words that both use, and letters of made-up names.
 UNWANTED = (
     "pills casino poker jackpot spam adult xxx warez keygen crack payday replica betting slots lottery"
-    " escort hack clickbait ads prize cheap farm win loan viagra"
+    " escort hack clickbait ads prize cheap farm win loan viagra free"
 ).split()
 WANTED = (
     "news library museum university school garden kitchen travel weather history science music forum wiki"
     " docs research hospital council archive recipes theatre railway poetry gallery blog"
 ).split()
-NEUTRAL = "online best world hub city daily free shop live top club".split()
+NEUTRAL = "online best world hub city daily shop live top club".split()
 STARTS = "b c d f g h k l m n p r s t th st tr ch".split()
 ENDS = "n r s t l m nd st nt".split() + [""] * 6
 OWN_PATHS = (
