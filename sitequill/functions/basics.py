@@ -14,7 +14,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Catalyst repeats an expression that a column function mentions twice; a one-element
     array with ``transform`` gives it a name instead, so a long regex chain runs once.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    # `get` works its type out anew for every row, from the whole body; `element_at` does so once.
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def nonempty(c: Column) -> Column:

@@ -11,6 +11,7 @@ does not open on ``<body``), header rows are not repeated when a table has no bo
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,33 +44,33 @@ IMAGE_SRC_ALT = r"""(?is)<img[^>]+src=["']([^"']+)["'][^>]*alt=["']([^"']*)["'][
 IMAGE_ALT_SRC = r"""(?is)<img[^>]+alt=["']([^"']*)["'][^>]*src=["']([^"']+)["'][^>]*/?>"""
 IMAGE_SRC = r"""(?is)<img[^>]+src=["']([^"']+)["'][^>]*/?>"""
 
-# (rule, tag that must be present, pattern, replacement), in order, after the blocks above.
+# (rule, lower-case text that must be present, pattern, replacement), in order, after the blocks above.
 INLINE_RULES = [
-    ("heading 6", "|/h6|", r"(?is)<h6[^>]*>(.*?)</h6>", "\n###### $1\n"),
-    ("heading 5", "|/h5|", r"(?is)<h5[^>]*>(.*?)</h5>", "\n##### $1\n"),
-    ("heading 4", "|/h4|", r"(?is)<h4[^>]*>(.*?)</h4>", "\n#### $1\n"),
-    ("heading 3", "|/h3|", r"(?is)<h3[^>]*>(.*?)</h3>", "\n### $1\n"),
-    ("heading 2", "|/h2|", r"(?is)<h2[^>]*>(.*?)</h2>", "\n## $1\n"),
-    ("heading 1", "|/h1|", r"(?is)<h1[^>]*>(.*?)</h1>", "\n# $1\n"),
-    ("paragraph", "|/p|", r"(?is)<p[^>]*>(.*?)</p>", "$1\n\n"),
-    ("line break", "|br", r"(?i)<br\s*/?>", "\n"),
-    ("strong", "|/strong|", r"(?is)<strong[^>]*>(.*?)</strong>", "**$1**"),
-    ("bold", "|/b|", r"(?is)<b[^>]*>(.*?)</b>", "**$1**"),
-    ("emphasis", "|/em|", r"(?is)<em[^>]*>(.*?)</em>", "*$1*"),
-    ("italic", "|/i|", r"(?is)<i[^>]*>(.*?)</i>", "*$1*"),
-    ("deleted", "|/del|", r"(?is)<del[^>]*>(.*?)</del>", "~~$1~~"),
-    ("struck", "|/s|", r"(?is)<s[^>]*>(.*?)</s>", "~~$1~~"),
-    ("link", "|/a|", r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
-    ("image, src first", "|img", IMAGE_SRC_ALT, "![$2]($1)"),
-    ("image, alt first", "|img", IMAGE_ALT_SRC, "![$1]($2)"),
-    ("image, no alt", "|img", IMAGE_SRC, "![]($1)"),
+    ("heading 6", "</h6>", r"(?is)<h6[^>]*>(.*?)</h6>", "\n###### $1\n"),
+    ("heading 5", "</h5>", r"(?is)<h5[^>]*>(.*?)</h5>", "\n##### $1\n"),
+    ("heading 4", "</h4>", r"(?is)<h4[^>]*>(.*?)</h4>", "\n#### $1\n"),
+    ("heading 3", "</h3>", r"(?is)<h3[^>]*>(.*?)</h3>", "\n### $1\n"),
+    ("heading 2", "</h2>", r"(?is)<h2[^>]*>(.*?)</h2>", "\n## $1\n"),
+    ("heading 1", "</h1>", r"(?is)<h1[^>]*>(.*?)</h1>", "\n# $1\n"),
+    ("paragraph", "</p>", r"(?is)<p[^>]*>(.*?)</p>", "$1\n\n"),
+    ("line break", "<br", r"(?i)<br\s*/?>", "\n"),
+    ("strong", "</strong>", r"(?is)<strong[^>]*>(.*?)</strong>", "**$1**"),
+    ("bold", "</b>", r"(?is)<b[^>]*>(.*?)</b>", "**$1**"),
+    ("emphasis", "</em>", r"(?is)<em[^>]*>(.*?)</em>", "*$1*"),
+    ("italic", "</i>", r"(?is)<i[^>]*>(.*?)</i>", "*$1*"),
+    ("deleted", "</del>", r"(?is)<del[^>]*>(.*?)</del>", "~~$1~~"),
+    ("struck", "</s>", r"(?is)<s[^>]*>(.*?)</s>", "~~$1~~"),
+    ("link", "</a>", r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
+    ("image, src first", "<img", IMAGE_SRC_ALT, "![$2]($1)"),
+    ("image, alt first", "<img", IMAGE_ALT_SRC, "![$1]($2)"),
+    ("image, no alt", "<img", IMAGE_SRC, "![]($1)"),
 ]
 
 ORDERED_LIST = r"(?is)<ol[^>]*>(.*?)</ol>"
 LIST_ITEM = r"(?is)<li[^>]*>(.*?)</li>"
 
 UNORDERED_RULES = [
-    ("list item", "|/li|", LIST_ITEM, "- $1\n"),
+    ("list item", "</li>", LIST_ITEM, "- $1\n"),
     ("list tags", "ul", r"(?i)</?ul[^>]*>", "\n"),
 ]
 
@@ -81,10 +82,10 @@ PREFORMATTED = r"(?is)<pre[^>]*>(.*?)</pre>"
 CODE_TAG = r"(?i)</?code[^>]*>"
 
 CLOSING_RULES = [
-    ("inline code", "|/code|", r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
-    ("rule", "|hr", r"(?i)<hr[^>]*/?>", "\n---\n"),
-    ("abbreviation", "|/abbr|", r"""(?is)<abbr[^>]+title=["']([^"']+)["'][^>]*>(.*?)</abbr>""", "$2 ($1)"),
-    ("highlight", "|/mark|", r"(?is)<mark[^>]*>(.*?)</mark>", "==$1=="),
+    ("inline code", "</code>", r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
+    ("rule", "<hr", r"(?i)<hr[^>]*/?>", "\n---\n"),
+    ("abbreviation", "</abbr>", r"""(?is)<abbr[^>]+title=["']([^"']+)["'][^>]*>(.*?)</abbr>""", "$2 ($1)"),
+    ("highlight", "</mark>", r"(?is)<mark[^>]*>(.*?)</mark>", "==$1=="),
 ]
 
 NEWLINE_RUNS = r"\n{3,}"
@@ -99,23 +100,20 @@ def _bounded(pattern: str) -> str:
 
 
 def tags_present(text: Column) -> Column:
-    """The tag names of a page as ``|p|/p|br|``, or null when a later rule may make new tags.
+    """The page in lower case, or null when a later rule may make new tags.
 
-    Most rules look for a tag that most pages lack, and one look at the names is cheaper than
-    a scan per rule. New tags can only come from decoded ``&lt;`` in a block, or from a '<'
-    that another tag separates from its '>'; for such pages every rule scans.
+    Most rules look for a tag that most pages lack, and a plain search for its last part is
+    cheaper than a pattern. New tags can only come from decoded ``&lt;`` or ``&gt;`` in a block,
+    or from a '<' that another tag separates from its '>'; for such pages every rule scans.
     """
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)<(/?[a-z][a-z0-9]*)"), F.lit(1)))
     open_ended = (
         text.contains("lt;")
+        | text.contains("gt;")
         | text.contains("&#")
         | text.contains("amp;#")
         | text.rlike("<[^>]*<")
     )
-    return F.when(
-        ~open_ended,
-        F.lower(F.concat(F.lit("|"), F.array_join(names, "|"), F.lit("|"))),
-    )
+    return F.when(~open_ended, F.lower(text))
 
 
 def _has(seen: Column | None, fragment: str) -> Column | None:
@@ -149,13 +147,19 @@ def _apply(
 
 def drop_invisible(c: Column) -> Column:
     """Remove scripts, styles and comments."""
-    c = F.regexp_replace(F.regexp_replace(c, SCRIPT, ""), STYLE, "")
-    return let(
-        c,
-        lambda text: F.when(
-            text.contains("<!--"), F.regexp_replace(text, COMMENT, "")
-        ).otherwise(text),
-    )
+
+    def drop(text: Column, low: Column) -> Column:
+        # Only a page with a script can get a style tag that it did not have before.
+        scripts = F.regexp_replace(text, SCRIPT, "")
+        bare = F.when(low.contains("</script>"), F.regexp_replace(scripts, STYLE, "")).when(
+            low.contains("</style>"), F.regexp_replace(text, STYLE, "")
+        )
+        return let(
+            F.coalesce(bare, text),
+            lambda t: F.when(t.contains("<!--"), F.regexp_replace(t, COMMENT, "")).otherwise(t),
+        )
+
+    return let(c, lambda text: let(F.lower(text), lambda low: drop(text, low)))
 
 
 def _every(c: Column, pattern: str) -> Column:
@@ -166,12 +170,15 @@ def _section_rows(section: Column) -> Column:
     """Rows of one table section: header cells, then data cells; empty rows are dropped."""
 
     def row(source: Column, index: Column) -> Column:
-        heads = _every(source, HEADER_CELL)
-        cells = F.concat(heads, _every(source, DATA_CELL))
-        return F.struct(
-            (((index == 0) & section["first_is_header"]) | (F.size(heads) > 0)).alias("is_header"),
-            F.transform(cells, lambda cell: clean_text(cell)).alias("cells"),
-        )
+        def of(heads: Column) -> Column:
+            cells = F.concat(heads, _every(source, DATA_CELL))
+            return F.struct(
+                (((index == 0) & section["first_is_header"]) | (F.size(heads) > 0)).alias("is_header"),
+                F.transform(cells, lambda cell: clean_text(cell)).alias("cells"),
+            )
+
+        heads = F.when(F.lower(source).contains("</th>"), _every(source, HEADER_CELL))
+        return let(F.coalesce(heads, F.array().cast("array<string>")), of)
 
     rows = F.transform(_every(section["html"], TABLE_ROW), row)
     return F.filter(rows, lambda r: F.size(r["cells"]) > 0)
@@ -183,12 +190,12 @@ def _pipe_line(cells: Column) -> Column:
 
 def _table(strict: bool):
     def render(inner: Column) -> Column:
-        has_head = inner.rlike(TABLE_HEAD)
-        has_body = inner.rlike(TABLE_BODY)
+        has_head = F.lower(inner).contains("</thead>") & inner.rlike(TABLE_HEAD)
+        has_body = F.lower(inner).contains("</tbody>") & inner.rlike(TABLE_BODY)
         unsectioned = inner if strict else F.regexp_replace(inner, TABLE_HEAD, "")
         sections = F.array(
             F.struct(
-                F.regexp_extract(inner, TABLE_HEAD, 1).alias("html"),
+                F.when(has_head, F.regexp_extract(inner, TABLE_HEAD, 1)).otherwise("").alias("html"),
                 F.lit(True).alias("first_is_header"),
             ),
             F.struct(
@@ -219,7 +226,7 @@ def _table(strict: bool):
 
 
 def convert_tables(c: Column, strict: bool = True, seen: Column | None = None) -> Column:
-    return block_replace(c, TABLE, _table(strict), _has(seen, "|/table|"))
+    return block_replace(c, TABLE, _table(strict), _has(seen, "</table>"))
 
 
 def convert_definitions(c: Column, seen: Column | None = None) -> Column:
@@ -241,7 +248,7 @@ def convert_definitions(c: Column, seen: Column | None = None) -> Column:
         )
         return F.concat(F.lit("\n"), F.array_join(pairs, ""))
 
-    return block_replace(c, DEFINITIONS, render, _has(seen, "|/dl|"))
+    return block_replace(c, DEFINITIONS, render, _has(seen, "</dl>"))
 
 
 def convert_figures(c: Column, seen: Column | None = None) -> Column:
@@ -267,7 +274,7 @@ def convert_figures(c: Column, seen: Column | None = None) -> Column:
         ).otherwise(F.lit(""))
         return F.concat(F.lit("\n"), picture, caption, F.lit("\n"))
 
-    return block_replace(c, FIGURE, render, _has(seen, "|/figure|"))
+    return block_replace(c, FIGURE, render, _has(seen, "</figure>"))
 
 
 def convert_ordered_lists(c: Column, seen: Column | None = None) -> Column:
@@ -280,7 +287,7 @@ def convert_ordered_lists(c: Column, seen: Column | None = None) -> Column:
         )
         return F.concat(F.lit("\n"), F.array_join(items, ""), F.lit("\n"))
 
-    return block_replace(c, ORDERED_LIST, render, _has(seen, "|/ol|"))
+    return block_replace(c, ORDERED_LIST, render, _has(seen, "</ol>"))
 
 
 def convert_quotes(c: Column, seen: Column | None = None) -> Column:
@@ -292,7 +299,7 @@ def convert_quotes(c: Column, seen: Column | None = None) -> Column:
         quoted = F.transform(lines, lambda line: F.concat(F.lit("> "), line, F.lit("\n")))
         return F.concat(F.lit("\n"), F.array_join(quoted, ""), F.lit("\n"))
 
-    return block_replace(c, QUOTE, render, _has(seen, "|/blockquote|"))
+    return block_replace(c, QUOTE, render, _has(seen, "</blockquote>"))
 
 
 def convert_code_blocks(c: Column, seen: Column | None = None) -> Column:
@@ -310,7 +317,7 @@ def convert_code_blocks(c: Column, seen: Column | None = None) -> Column:
     def plain(inner: Column) -> Column:
         return fence(F.lit(""), F.regexp_replace(decode_entities(inner), CODE_TAG, ""))
 
-    guard = _has(seen, "|/pre|")
+    guard = _has(seen, "</pre>")
     c = block_replace(c, CODE_WITH_LANGUAGE, with_language, guard, group=0)
     return block_replace(c, PREFORMATTED, plain, guard)
 
@@ -333,15 +340,24 @@ def closing_markup(c: Column, strict: bool = True, seen: Column | None = None) -
     return _apply(c, CLOSING_RULES, strict, seen)
 
 
+def _while_tags(text: Column, step: Callable[[Column], Column]) -> Column:
+    """Go on with the rules while there is a '<'; every pattern needs one, so the rest is left out."""
+    return let(text, lambda t: F.when(t.contains("<"), step(t)).otherwise(t))
+
+
 def html_to_markdown(c: Column, strict: bool = True) -> Column:
-    def convert(page: Column, seen: Column) -> Column:
-        text = convert_tables(page, strict, seen)
-        text = convert_figures(convert_definitions(text, seen), seen)
-        text = inline_markup(text, strict, seen)
+    def blocks(text: Column, seen: Column) -> Column:
         text = unordered_lists(convert_ordered_lists(text, seen), strict, seen)
         text = convert_code_blocks(convert_quotes(text, seen), seen)
-        text = closing_markup(text, strict, seen)
-        return tidy_whitespace(decode_entities(strip_tags(text)))
+        return strip_tags(closing_markup(text, strict, seen))
+
+    def convert(page: Column, seen: Column) -> Column:
+        def inline(text: Column) -> Column:
+            marked = inline_markup(convert_figures(convert_definitions(text, seen), seen), strict, seen)
+            return _while_tags(marked, lambda t: blocks(t, seen))
+
+        text = _while_tags(convert_tables(page, strict, seen), inline)
+        return tidy_whitespace(decode_entities(text))
 
     return let(
         drop_invisible(c),

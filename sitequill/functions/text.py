@@ -24,6 +24,9 @@ WORD_CUT_SHARE = 0.8
 LISTING_PREFIX = "listing_"
 ITEM_PREFIX = "content_"
 
+# A single word of ASCII without tag, entity or white space; cleaning leaves it as it is.
+CLEAN_WORD = r"^[!-%'-;=-~]*\z"
+
 # The HTML 4.01 named entities come from the standard library, as "name=codepoint" pairs.
 NAMED_ENTITIES = ",".join(f"{name}={code}" for name, code in sorted(name2codepoint.items()))
 
@@ -40,7 +43,11 @@ def strip_tags(c: Column) -> Column:
 
 # One token of the text: an entity becomes its character, anything else stays. Written as SQL
 # so that the driver sends one expression instead of building it call by call.
+# The most frequent names come before the search in the whole list.
 _DECODE_TOKEN = f"""token -> CASE
+  WHEN NOT startswith(token, '&') THEN token
+  WHEN token = '&amp;' THEN '&' WHEN token = '&lt;' THEN '<' WHEN token = '&gt;' THEN '>'
+  WHEN token = '&quot;' THEN '"' WHEN token = '&nbsp;' THEN '\u00a0'
   WHEN token LIKE '&_%' THEN get(transform(
     array(CAST(coalesce(
       nullif(regexp_extract(token, '^&#0*([0-9]{{1,7}});$', 1), ''),
@@ -90,7 +97,12 @@ def truncate_words(c: Column, max_length: int) -> Column:
 
 def clean_text(c: Column, max_length: int | None = None) -> Column:
     """Strip tags, decode entities, collapse Unicode white space, trim; optionally truncate."""
-    text = trim_all(F.regexp_replace(decode_entities(strip_tags(c)), UNICODE_SPACES, " "))
+
+    def clean(raw: Column) -> Column:
+        text = trim_all(F.regexp_replace(decode_entities(strip_tags(raw)), UNICODE_SPACES, " "))
+        return F.when(raw.rlike(CLEAN_WORD), raw).otherwise(text)
+
+    text = let(c, clean)
     return truncate_words(text, max_length) if max_length else text
 
 

@@ -93,3 +93,12 @@ def test_safe_markup(apply):
     assert apply(markup.unsafe_links, ["[x](javascript:y) [z](http://a)"]) == [
         "[x](#) [z](http://a)"
     ]
+
+
+def test_steps_keep_their_type_and_guards_see_decoded_brackets(apply, monkeypatch):
+    """A step's type is worked out once, not for every row; `&gt;` can complete a tag in code."""
+    assert "element_at" in str(html.let(F.col("x"), F.upper))
+    sources = ["<pre><mark>x</mark&gt; a > b</pre>", "<PRE><hr&gt;</PRE>", "<script>s</script><style>t</STYLE>u"]
+    guarded = apply(html.html_to_markdown, sources)
+    monkeypatch.setattr(html, "tags_present", lambda t: F.lit(None).cast("string"))
+    assert apply(html.html_to_markdown, sources) == guarded and guarded[2] == "u"
