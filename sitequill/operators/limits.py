@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitequill.session import cut_lineage
+
 # Executors get these few functions with the query and need no installed package.
 register_pickle_by_value(sys.modules[__name__])
 
@@ -161,14 +163,17 @@ def with_limits(
         as_column(max_requests).cast("bigint").alias("max_requests"),
         as_column(window_s).cast("bigint").alias("window_s"),
     )
-    seconds = (
+    # Three branches read the counts. Each would work out all requests again, with their routes and
+    # addresses, because it needs other columns; so the counts are written once.
+    seconds = cut_lineage(
         marked.filter("_counted")
         .groupBy(*keys, "sec")
         .agg(
             F.count("*").alias("n"),
             F.max("max_requests").alias("max_requests"),
             F.max("window_s").alias("window_s"),
-        )
+        ),
+        "seconds",
     )
     folded = [*keys, "chunk"]
     key_fields = [requests.schema[k] for k in keys]

@@ -106,3 +106,19 @@ def test_one_client_over_many_chunks(spark, mode):
     assert all(y.a - x.b >= window for x, y in zip(chunks, chunks[1:]))
     assert any(c.a // 86_400 < c.b // 86_400 for c in chunks)
     assert max(c.n for c in chunks) < sum(c.n for c in chunks) / 10
+
+
+def test_requests_are_worked_out_at_most_twice(spark):
+    """Once for the counts, which are written, and once for the verdicts; not for each branch."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [("a", datetime.fromtimestamp(s, timezone.utc), s) for s in range(50)]
+    frame = spark.createDataFrame(rows, "client string, ts timestamp, request_id long")
+    frame = frame.mapInPandas(count, frame.schema)
+    assert limits.with_limits(frame, ["client"], 3, 60).count() == 50
+    assert seen.value <= 100
