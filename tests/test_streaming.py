@@ -85,3 +85,33 @@ def test_windows_lose_no_row(spark):
     assert sum(sum(v) for v in got.values()) == sum(a is not None for rows in batches for *_, a in rows)
     state = query.lastProgress["stateOperators"][0]
     assert state["numRowsTotal"] <= 4 and state["numRowsDroppedByWatermark"] == 0
+
+
+def test_a_client_asks_the_state_store_once():
+    """Every question is a round trip; a missing counter is an answer of its own."""
+    import pandas as pd
+
+    from sitequill.streaming.limits import LimitState
+
+    class Counter:
+        asked, value = 0, None
+
+        def exists(self):
+            self.asked += 1
+            return self.value is not None
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    for ids in ([3, 1, 2], ["c", "a", "b"]):
+        state = LimitState(["client"], limits.ANCHORED, 60)
+        state.counter = counter = Counter()
+        rows = pd.DataFrame({"request_id": ids, "at_us": [5_000_000, 4_000_000, 4_000_000], "max_requests": 2, "window_s": 60})
+        for asked, first, late in ((1, [1, 2, 3], [False] * 3), (2, [0, 0, 4], [True, True, False])):
+            out = next(state.handleInputRows(("x",), iter([rows[:2], rows[2:]]), None))
+            assert counter.asked == asked and list(out["request_id"]) == sorted(ids)
+            assert list(out["request_count"]) == first and list(out["late"]) == late
